@@ -4,14 +4,16 @@ Every distinct shingle set gets TREES signature orders. In an order, the sets th
 MIN_DEPTH values form a region. A region of at most REGION sets is compared in full; a denser one is
 deepened, value by value, until its parts are that small, and there each set meets its neighbours of
 longest common prefix; besides, every set of a dense region meets the region's hub. Candidates are
-confirmed on full sets, and links are joined into components by star contraction.
+confirmed on full sets, and links are joined into components by star contraction. Where a dense region
+then still holds several components, the sets outside its largest one are compared with the others
+through the rarest shingles that a linked pair must share, so deepening loses no link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,8 +86,8 @@ def _orders(classes: DataFrame) -> DataFrame:
     return classes.select("node", "copies", "sig").mapInArrow(run, schema)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of classes that are neighbours in some order, with the number of orders."""
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of classes that are neighbours in some order, with the number of orders; dense regions' rows."""
     rows = _orders(classes)
     hub = F.max_by("node", F.struct("copies", -F.col("node"))).alias("hub")
     regions = rows.groupBy("region").agg(F.count("*").alias("n"), hub).where("n > 1")
@@ -103,7 +105,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     pairs = _pairs(rows.where(F.col("n") <= REGION).select("region", "label", "node"), REGION)
     pairs = pairs.union(_pairs(near, NEIGHBOURS))
     star = dense.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders"))
+    return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders")), dense.select("region", "node")
 
 
 def _pairs(rows: DataFrame, reach: int) -> DataFrame:
@@ -144,6 +146,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _across(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs that may link different components of one dense region; None if no such region holds two."""
+    own = saved(dense.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
+    by_root = own.groupBy("region", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("region").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1")
+    members = saved(own.join(mixed, "region").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("minor")))
+    if members.isEmpty():
+        return None
+    words = sets.join(members, "node").select("node", "root", "minor", F.size("members").alias("n"), F.explode("members").alias("h"))
+    rarity = words.groupBy("h").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
+    prefix = saved(words.join(rarity.where("df > 1"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where(F.expr(f"rank <= n - ceil({percent} * n / 100) + 1 AND df > 1")).select("h", "node", "root", "minor", "n"))
+    x, y = prefix.where("minor").alias("x"), prefix.alias("y")
+    may = (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return x.join(y, (F.col("x.h") == F.col("y.h")) & may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id (smallest id of its group), kept.
 
@@ -158,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = saved(map_texts(keyed, "text", lambda: _sketches(size), sketch_schema, ["id", "text_key"]))
     full = sketches.where("n_shingles > 0")
     classes = saved(full.groupBy(F.col("fp").alias("node"), "fp2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig")))
-    pairs = saved(_candidates(classes))
+    pairs, dense = _candidates(classes)
+    pairs = saved(pairs)
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_key"), "node")
     texts = keyed.select("text_key", "text").join(needed, "text_key").groupBy("text_key", "node").agg(F.first("text").alias("text"))
@@ -174,6 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = pairs.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = saved(_confirmed(rest, sets, percent))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    across = _across(dense, roots, sets, percent)
+    if across is not None:
+        last = saved(_confirmed(across, sets, percent))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
     grouped = classes.join(roots, "node", "left").select("node", "fp2", "first_id", F.coalesce("root", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
