@@ -2,22 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
 
-from .near_dedup import near_duplicates
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import byte_model, decontaminate, language_id, licences, mixing, near_dedup, pii, quality, secrets, token_counts
+from .sql import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _kind_counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    of = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    return [of(k).alias(f"n_{k}") for k in kinds]
+
+
+def _digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    base = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    return [F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(spans).alias("spans")]
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), size=4)
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), size=4)
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_documents(spark, sf_dir).select("doc_id", "text"), out_col="found")
+    # one array and one lambda: the spans are made once for each row
+    made = pii.let(F.col("found"), lambda x: F.struct(*_kind_counts(x, pii.BASE), *_digest(x, pii.BASE)))
+    return found.select("doc_id", made.alias("made")).select("doc_id", "made.*")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.token_counts(_documents(spark, sf_dir), Path(tokenizer).read_text(), 2048, keep=["doc_id"])
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_model.score_texts(_documents(spark, sf_dir), ~byte_model.held_out())
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(_documents(spark, sf_dir).select("doc_id", "text"))
+    q = rows.select("doc_id", "quality.*", "rejected_by")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir)).drop("source")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_documents(spark, sf_dir), keep=["doc_id"])
+    spans = F.col("secrets")
+    return found.select("doc_id", *_kind_counts(spans, secrets.KINDS[:3]), *_digest(spans, secrets.KINDS[:3]))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.train(docs.where(~language_id.held_out()))
+    out = language_id.identify(docs, model, keep=["doc_id"])
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated_words(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    n_hit = F.size("hit_words").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licence_sentences", " ").alias("sentences"), F.array_join("licences", ",").alias("licences"), F.size("licences").cast("long").alias("n_licences"), "partly")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_near_duplicates,)}
+    numbered = (op1_near_duplicates, op2_personal_data, op3_token_counts, op4_language_model, op5_quality_rules, op6_mix_sources, op7_secrets, op8_language_id, op9_decontamination, op10_licences)
+    return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
