@@ -45,7 +45,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def checkpoint_lines(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """The last record of each key. A torn last line of a file is dropped; one further up is an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
     parsed = lines.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("last", F.max("at").over(Window.partitionBy("file")))
     torn = F.col("r").isNull() | F.col(f"r.{key}").isNull()
     good = parsed.where(~(torn & (F.col("at") == F.col("last")))).withColumn("r", F.when(torn, F.raise_error(F.lit("torn line inside a checkpoint")).cast(parsed.schema["r"].dataType)).otherwise(F.col("r")))
