@@ -52,11 +52,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(_documents(spark, sf_dir).select("doc_id", "text"))
     q = rows.select("doc_id", "quality.*", "rejected_by")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_documents(spark, sf_dir)).drop("source")
+    return mixing.mix_sources(_documents(spark, sf_dir)).withColumn("target", F.round("target", 4)).drop("source")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

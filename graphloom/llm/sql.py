@@ -1,3 +1,57 @@
 """DuckDB SQL of the numbered queries that SQL can express in reasonable time."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import string
+
+from .decontaminate import WINDOW
+from .licences import RULES, SENTENCES
+
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = a"""
+
+_QUALITY = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, array_to_string(w[i:i + 4], ' ') AS s FROM t), d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+p AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM d) GROUP BY 1),
+f AS (SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_lettered FROM t LEFT JOIN p USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 40 * n_lines OR 10 * n_lettered < 5 * n_words) AS kept FROM f"""
+
+# The level at which capped targets use up the total: sources by the level at which each is full.
+_MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY 1),
+o AS (SELECT *, 2.0::DOUBLE * source_size / w AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+i AS (SELECT *, row_number() OVER (ORDER BY full_at, source) AS i FROM o),
+v AS (SELECT *, (total - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS level FROM i),
+h AS (SELECT arg_min(level, i) FILTER (level <= full_at) AS level FROM v),
+t AS (SELECT source, source_size, least(level * w, 2.0::DOUBLE * source_size) AS target FROM o, h),
+r AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 4) AS target, (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * size + greatest(0, least(size, floor(target) - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size - before)))::BIGINT AS taken FROM r"""
+
+_TOKENS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LEAKS = f"""WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_TOKENS.format(_LOWER)} AS w FROM benchmark), bw AS (SELECT item, least({WINDOW}, len(w)) AS m, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i, w FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM bw), d AS (SELECT doc_id, {_TOKENS.format(_LOWER)} AS w FROM documents),
+ms AS (SELECT DISTINCT m FROM g), dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, array_to_string(w[i:i + m - 1], ' ') AS s FROM d, ms WHERE len(w) >= m),
+hit AS (SELECT doc_id, i, dw.m, item FROM dw JOIN g ON dw.m = g.m AND dw.s = g.s), n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+_RULES = ", ".join(f"('{n}', '{i.replace(' ', '  ')}')" for n, i in RULES)
+_ANY = "|".join(f" {i.replace(' ', '  ')} " for _, i in RULES)
+_LICENCES = f"""WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS x(s, id)), n AS (SELECT * FROM (VALUES {_RULES}) AS x(name, ids)),
+t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+')) AS s, generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+'), 1) AS i FROM documents WHERE regexp_matches(text, '(?i)licens|permission|warrant|redistribut|public domain|copyright')),
+m AS (SELECT doc_id, i, id FROM t JOIN k ON k.s = trim(regexp_replace(lower(t.s), '[^a-z0-9]+', ' ', 'g'))), q AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM m GROUP BY 1),
+f AS (SELECT doc_id, ids, regexp_extract_all(' ' || array_to_string(ids, '  ') || ' ', '{_ANY}') AS found FROM q),
+e AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT name) AS n FROM (SELECT doc_id, trim(unnest(found)) AS x FROM f) JOIN n ON x = ids GROUP BY 1)
+SELECT d.doc_id, coalesce(array_to_string(ids, ' '), '') AS sentences, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_licences, coalesce(list_sum(list_transform(found, lambda x: len(string_split(trim(x), '  ')))), 0) < coalesce(len(ids), 0) AS partly FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_near_duplicates": _NEAR, "op5_quality_rules": _QUALITY, "op6_mix_sources": _MIX, "op9_decontamination": _LEAKS, "op10_licences": _LICENCES}
