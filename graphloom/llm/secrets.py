@@ -44,7 +44,7 @@ def _is_jwt(found: str) -> bool:
 FORMATS = {
     **{f"gh{c}_": ("github", re.compile(rf"gh{c}_[A-Za-z0-9]{{36}}{_EDGE}"), _crc_tail) for c in "pousr"},
     "npm_": ("npm", re.compile(rf"npm_[A-Za-z0-9]{{36}}{_EDGE}"), _crc_tail),
-    "eyj": ("jwt", re.compile(rf"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _is_jwt),
+    "eyj": ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{2,65536}\.[A-Za-z0-9_-]+"), _is_jwt),
     "-----begin": ("private_key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), None),
     **{f"xox{c}-": ("slack", re.compile(rf"xox{c}-[0-9]{{8,}}-[A-Za-z0-9-]{{16,}}{_EDGE}"), None) for c in "abprs"},
     "sk_live_": ("stripe", re.compile(rf"sk_live_[A-Za-z0-9]{{24,}}{_EDGE}"), None),

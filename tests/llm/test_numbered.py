@@ -240,6 +240,14 @@ def test_secret_formats():
     assert secrets.redacted("ab token=abcdef cd", [(3, 15, "assign"), (9, 15, "hex")], "[S]") == "ab [S] cd"
 
 
+def test_runs_of_keywords_take_linear_time():
+    import time
+
+    began = time.time()
+    assert secrets.spans_of("eyJ" * 100_000 + " " + "token" * 50_000 + "password" + " " * 100_000) == []
+    assert time.time() - began < 20
+
+
 def test_redaction_keeps_nulls(spark, edges):
     out = {r.doc_id: r.redacted for r in secrets.find_secrets(edges, redact="[S]").collect()}
     assert out[1] is None and out[2] == "" and "hunter22" not in out[9] and out[4] == "one two three"
