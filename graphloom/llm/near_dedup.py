@@ -3,17 +3,18 @@
 Every distinct shingle set gets TREES signature orders. In an order, the sets that share a prefix of
 MIN_DEPTH values form a region. A region of at most REGION sets is compared in full; a denser one is
 deepened, value by value, until its parts are that small, and there each set meets its neighbours of
-longest common prefix; besides, every set of a dense region meets the region's hub. Candidates are
-confirmed on full sets, and links are joined into components by star contraction. Where a dense region
-then still holds several components, the sets outside its largest one are compared with the others
-through the rarest shingles that a linked pair must share, so deepening loses no link.
+longest common prefix; besides, every set of a dense region meets the region's hub, the set whose labels
+are shared by most sets over all orders. Candidates are confirmed on full sets, and links are joined into
+components by star contraction. Where sets of one hub then still are in several components, those outside
+the largest are the query set of an exact comparison with all of the hub's sets, in blocks, so that
+deepening loses no link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,8 @@ from .common import map_texts, saved
 from .textkit import LOWER, U, mix, shingles, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, REGION, NEIGHBOURS = 20, 9, 4, 16, 3
+#: Sets on either side of an exact comparison's block.
+BLOCK = 256
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TREES * DEPTH, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
@@ -87,12 +90,14 @@ def _orders(classes: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of classes that are neighbours in some order, with the number of orders; dense regions' rows."""
+    """Pairs a < b of classes that are neighbours in some order, with the number of orders; (hub, node) of dense regions."""
     rows = _orders(classes)
-    hub = F.max_by("node", F.struct("copies", -F.col("node"))).alias("hub")
-    regions = rows.groupBy("region").agg(F.count("*").alias("n"), hub).where("n > 1")
+    regions = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     rows = saved(rows.join(regions, "region"))
     dense = rows.where(F.col("n") > REGION)
+    shared = dense.groupBy("region", "label").agg(F.count("*").alias("sharing"))
+    central = dense.join(shared, ["region", "label"]).groupBy("node").agg(F.sum("sharing").alias("central"))
+    hubs = dense.join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("central", "copies", -F.col("node"))).alias("hub"))
     depths = F.array(*[F.struct(F.lit(d).alias("d"), F.xxhash64("region", F.substring("label", 1, 4 * d)).alias("part")) for d in range(1, DEPTH - MIN_DEPTH + 1)])
     deeper = dense.select("node", "region", "label", F.explode(depths).alias("x")).select("node", "region", "label", "x.*")
     counts = deeper.groupBy("part").agg(F.count("*").alias("m"))
@@ -104,8 +109,9 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = chosen.select(F.xxhash64("x.part", salt).alias("region"), "label", "node")
     pairs = _pairs(rows.where(F.col("n") <= REGION).select("region", "label", "node"), REGION)
     pairs = pairs.union(_pairs(near, NEIGHBOURS))
-    star = dense.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders")), dense.select("region", "node")
+    around = saved(dense.join(hubs, "region").select("hub", "node").distinct())
+    star = around.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders")), around
 
 
 def _pairs(rows: DataFrame, reach: int) -> DataFrame:
@@ -146,21 +152,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _across(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs that may link different components of one dense region; None if no such region holds two."""
-    own = saved(dense.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
-    by_root = own.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("region").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1")
-    members = saved(own.join(mixed, "region").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("minor")))
-    if members.isEmpty():
-        return None
-    words = sets.join(members, "node").select("node", "root", "minor", F.size("members").alias("n"), F.explode("members").alias("h"))
-    rarity = words.groupBy("h").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
-    prefix = saved(words.join(rarity.where("df > 1"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where(F.expr(f"rank <= n - ceil({percent} * n / 100) + 1 AND df > 1")).select("h", "node", "root", "minor", "n"))
-    x, y = prefix.where("minor").alias("x"), prefix.alias("y")
-    may = (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    return x.join(y, (F.col("x.h") == F.col("y.h")) & may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _across(around: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components around one hub: for each set outside the largest, one to each other component."""
+    own = saved(around.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")))
+    by_root = own.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("hub").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("k > 1")
+    rows = own.join(mixed, "hub").select("hub", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / BLOCK).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_asks"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    refs = rows.select("hub", "node", "root", F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
+    asks = rows.where("asks").select("hub", "node", "root", "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
+    blocks = refs.union(asks).join(sets, "node").groupBy("hub", "block", "ask_block")
+
+    def compare(table: pa.Table) -> pa.Table:
+        lists = table.column("members").combine_chunks()
+        offsets, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        asking = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+        given = np.flatnonzero(~table.column("asks").to_numpy(zero_copy_only=False))
+        size = np.diff(offsets)
+        one, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)  # a shingle of one set alone is in no intersection
+        place = np.full(len(one), -1, np.int64)
+        place[shared] = np.arange(len(shared))
+        row, column = np.repeat(np.arange(len(size)), size), place[inverse]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(asking), len(given)), np.float32)
+        for lo in range(0, len(shared), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            has = np.zeros((len(size), 4096), np.float32)
+            has[row[a:b], column[a:b] - lo] = 1
+            both += has[asking] @ has[given].T
+        total = size[asking][:, None] + size[given][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * total) & (root[asking][:, None] != root[given][None, :]))
+        _, first = np.unique(np.stack([asking[x], root[given[y]]], axis=1), axis=0, return_index=True) if len(x) else (None, [])
+        return pa.table({"a": node[asking[x[first]]], "b": node[given[y[first]]]}) if len(x) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return blocks.applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -177,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = saved(map_texts(keyed, "text", lambda: _sketches(size), sketch_schema, ["id", "text_key"]))
     full = sketches.where("n_shingles > 0")
     classes = saved(full.groupBy(F.col("fp").alias("node"), "fp2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig")))
-    pairs, dense = _candidates(classes)
+    pairs, around = _candidates(classes)
     pairs = saved(pairs)
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_key"), "node")
@@ -194,9 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = pairs.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = saved(_confirmed(rest, sets, percent))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    across = _across(dense, roots, sets, percent)
-    if across is not None:
-        last = saved(_confirmed(across, sets, percent))
+
+    last = saved(_across(around, roots, sets, percent))
+    if not last.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
     grouped = classes.join(roots, "node", "left").select("node", "fp2", "first_id", F.coalesce("root", "node").alias("root"))
