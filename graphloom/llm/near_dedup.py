@@ -205,12 +205,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch_schema = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sig", T.BinaryType())])
     sketches = saved(map_texts(keyed, "text", lambda: _sketches(size), sketch_schema, ["id", "text_key"]))
     full = sketches.where("n_shingles > 0")
-    classes = saved(full.groupBy(F.col("fp").alias("node"), "fp2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig")))
+    classes = saved(full.groupBy(F.col("fp").alias("node"), "fp2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("text_key", "id")).alias("member"), F.min("sig").alias("sig")))
     pairs, around = _candidates(classes)
     pairs = saved(pairs)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_key"), "node")
-    texts = keyed.select("text_key", "text").join(needed, "text_key").groupBy("text_key", "node").agg(F.first("text").alias("text"))
+    # one member's text for each class, found by text and id, so that a group of copies is not dealt to one task
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "member"), "node").select("node", F.col("member.text_key").alias("text_key"), F.col("member.id").alias("member_id"))
+    found = (keyed["text_key"] == needed["text_key"]) & keyed["id"].eqNullSafe(needed["member_id"])
+    texts = keyed.join(needed, found).groupBy("node").agg(F.first("text").alias("text"))
     sets = saved(map_texts(texts, "text", lambda: _set_arrays(size), T.StructType([T.StructField("members", T.ArrayType(T.LongType()))]), ["node"]))
 
     # first each class with its likeliest partner; then only pairs that could still join two components
