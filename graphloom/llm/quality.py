@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .pii import let
 
 #: Rows of the sample on which costs and rejections are estimated, and the words of a repeated window.
-SAMPLE_ROWS, WINDOW = 500, 5
+SAMPLE_ROWS, WINDOW = 200, 5
 _SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -65,7 +65,8 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
 def cascade_order(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """The rules, most rejections per second first; ties by name. At most sample_rows rows are read."""
     spark = docs.sparkSession
-    sample = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).limit(sample_rows).select("t", words_of(F.col("t")).alias("w")).persist()
+    first = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).head(sample_rows)  # from as few files as hold them
+    sample = spark.createDataFrame(first, "t string").select("t", words_of(F.col("t")).alias("w")).persist()
     try:
         sample.count()
         worth = {}
