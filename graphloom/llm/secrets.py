@@ -40,6 +40,32 @@ def _is_jwt(found: str) -> bool:
         return False
 
 
+# What stands between the words of a key's body: blanks, line breaks (escaped ones too), marks of comments and strings.
+_GAP = r"""(?:[\s>#*|"'`+;,/]|\\[nrt]|\\(?=[\r\n]))*+"""
+_KEY_END = r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+_MARK = re.compile(rf"{_KEY_END}|-----BEGIN\x20")
+#: Six words in a row, or letters of other scripts: no key's body.
+_PROSE = re.compile(r"(?<!\w)[^\W\d_]++(?:[\x20,]++[^\W\d_]++){5}(?![\w+/=])|[^\x00-\x7F]{4}")
+_BODY = re.compile(
+    rf"(?:{_GAP}(?:[A-Z][A-Za-z]*-[A-Z][A-Za-z]*|Comment|Version):\x20[^\r\n\\]*+)*+"  # Proc-Type: 4,ENCRYPTED
+    rf"(?:(?:{_GAP}(?![a-z]++(?![A-Za-z0-9+/=]))[A-Za-z0-9+/=]{{16,}}+)++"
+    rf"(?:[\x20\t\"'+;,]*+(?:\r?\n|(?:\\r)?\\n){_GAP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t\"'+;,]*+(?:[\r\n\\]|\Z)))?)?"  # a short last line
+    rf"(?:{_GAP}{_KEY_END})?"
+)
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where the private key ends whose BEGIN line ends at ``at``: after its END line, or else its last base64 line.
+
+    A BEGIN with no body and no END ends where it is. The scan stops at the next BEGIN, so all keys of a text are one pass.
+    """
+    mark = _MARK.search(text, at)
+    if mark and not mark[0].startswith("-----BEGIN") and not _PROSE.search(text, at, mark.start()):
+        return mark.end()
+    body = _BODY.match(text, at).end()
+    return body if text[at:body].strip() else at
+
+
 # keyword in lower case -> kind, expression anchored at the keyword, test of the match
 FORMATS = {
     **{f"gh{c}_": ("github", re.compile(rf"gh{c}_[A-Za-z0-9]{{36}}{_EDGE}"), _crc_tail) for c in "pousr"},
@@ -84,7 +110,7 @@ def spans_of(text: str, automaton=None) -> list[tuple[int, int, str]]:
         if start < passed.get(kind, 0):
             continue
         if found := pattern.match(text, start):
-            passed[kind] = found.end()
+            end = passed[kind] = _key_end(text, found.end()) if kind == "private_key" else found.end()
             if kind == "assign":
                 good = len(found[1]) >= 6
             elif kind == "access":
@@ -92,7 +118,7 @@ def spans_of(text: str, automaton=None) -> list[tuple[int, int, str]]:
             else:
                 good = test is None or test(found[0])
             if good:
-                out.append((start, found.end(), kind))
+                out.append((start, end, kind))
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 

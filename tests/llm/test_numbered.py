@@ -240,6 +240,31 @@ def test_secret_formats():
     assert secrets.redacted("ab token=abcdef cd", [(3, 15, "assign"), (9, 15, "hex")], "[S]") == "ab [S] cd"
 
 
+def test_private_keys_whole():
+    body = ["MIIEowIBAAKCAQEA" + "aB3/" * 12, "q+Zt" * 16, "Zm9v" * 16, "aQ=="]
+    begin, end, info = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n"
+    whole = lambda sep, p="": p + sep.join([begin, *(p + x for x in body), p + end])
+    forms = [whole("\n"), whole("\r\n"), whole("\\n"), whole(" "), whole("\n", "# "), whole("\n", "    "), begin + "\n" + info + "\n" + "\n".join([*body, end])]
+    forms += ["\n".join([begin, *body]), begin + "\n" + "\n".join(["x" * 63 + "Q"] * 50_000) + "\n" + end]
+    for form in forms:
+        text = f"before {form}\nAnd after it stands a text that goes on for long."
+        left = secrets.redacted(text, secrets.spans_of(text), "[S]")
+        assert left.replace("# ", "").split() == "before [S] And after it stands a text that goes on for long.".split(), form[:300]
+    two = f"{begin}\n{body[0]}\n{whole(chr(10))} end"
+    assert "MII" not in secrets.redacted(two, secrets.spans_of(two), "[S]")
+    prose = f"look for {begin} in files, since it is what a key begins with, and for {end} too"
+    assert [prose[a:b] for a, b, _ in secrets.spans_of(prose)] == [begin]
+
+
+def test_many_private_keys_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(secrets.spans_of("-----BEGIN PRIVATE KEY-----\n" * 40_000 + "ab " * 300_000)) == 40_000
+    secrets.spans_of("-----BEGIN PRIVATE KEY-----" + "a" * 2_000_000 + " -----END PRIVATE KEY-----" + "-" * 1_000_000)
+    assert time.time() - began < 20
+
+
 def test_runs_of_keywords_take_linear_time():
     import time
 
