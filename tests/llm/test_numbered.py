@@ -265,6 +265,25 @@ def test_many_private_keys_take_linear_time():
     assert time.time() - began < 20
 
 
+def test_long_web_tokens():
+    import base64
+    import time
+
+    part = lambda x: base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
+    head, sign = part({"alg": "RS256", "x5c": ["MIIC" * 900, "MIID" * 900]}), part(b"s" * 256)
+    for token in (f"{head}.{part({'sub': 1})}.{sign}", f"{part({'alg': 'none'})}.{part({'x': 'y' * 90_000})}.{sign}"):
+        text = f"bearer {token} end"
+        assert [(k, text[a:b]) for a, b, k in secrets.spans_of(text) if k == "jwt"] == [("jwt", token)]
+        assert secrets.redacted(text, secrets.spans_of(text), "[S]") == "bearer [S] end"
+    mixed = f"eyjeyJnothing then eyj{head}.e30.{sign}"
+    assert [mixed[a:b] for a, b, k in secrets.spans_of(mixed) if k == "jwt"] == [f"{head}.e30.{sign}"]
+    deep = part(b'{"a":' * 200_000)
+    assert secrets.spans_of(f"{deep}.e30.c2ln") == []
+    began = time.time()
+    assert secrets.spans_of("eyJ" * 300_000 + ".a." + "eyJ" * 300_000 + " " + "eyJabcdefgh." * 100_000) == []
+    assert time.time() - began < 20
+
+
 def test_runs_of_keywords_take_linear_time():
     import time
 
