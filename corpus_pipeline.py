@@ -6,6 +6,7 @@ of docs; the last adds what the mixture takes. run() writes every stage as Parqu
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,16 @@ from graphloom.llm.common import saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter (or text) go."""
+    """Documents in a learned language: those without any letter (or text) go, and those that score below what
+    all but one in a thousand of the labelled texts reach. Where no language was learned, all with letters stay.
+    """
     model = language_id.train(docs.where(~language_id.held_out()))
+    least = language_id.least_score(docs, model)
+    if not model[0]:
+        model = ["any"], np.ones((1, language_id.DIMENSIONS))  # only tells which texts have letters
     found = language_id.identify(docs.withColumn("__lang_in", F.col("lang")), model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    far = F.floor(F.col("score") * language_id.SCALE) < round(least * language_id.SCALE)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~far).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

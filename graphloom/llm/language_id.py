@@ -131,6 +131,28 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     return map_texts(docs, text_col, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), keep)
 
 
+#: One in so many labelled texts may score below the least score; SCALE: its steps.
+ONE_IN, SCALE = 1000, 10_000
+
+
+def least_score(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score that all but one in ONE_IN of the labelled texts reach, cut to SCALE steps; 0 for an empty model.
+
+    All labelled rows with letters are scored and counted by step; at most SCALE + 1 counts reach the driver.
+    """
+    if not model[0]:
+        return 0.0
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("__text"))
+    scored = identify(rows, model, "__text", []).where(F.col("lang_pred") != UNKNOWN)
+    steps = scored.groupBy(F.floor(F.col("score") * SCALE).alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect()
+    below, total = 0, sum(r.n for r in steps)
+    for r in steps:
+        below += r.n
+        if below * ONE_IN > total:
+            return r.step / SCALE
+    return 0.0
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id as text leaves 2 modulo ``parts``; false where the id is null."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == 2, F.lit(False))

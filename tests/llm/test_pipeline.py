@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from graphloom.llm import secrets
+from graphloom.llm import language_id, secrets
 
 from . import brute
 from .conftest import SMALL
@@ -36,3 +36,24 @@ def test_stages_on_edges(spark, edges, edge_dir):
         docs = out
     ids = sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
     assert 1 not in ids and 6 not in ids and len(ids) == len(set(ids))
+
+
+def test_language_stage_decides(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Это русский текст о погоде и людях, который стоит здесь", "这是一个中文句子没有空格而且很长", "0x1f a"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*foreign, "123 !", None])], "doc_id long, text string, lang string")
+    both = docs.unionByName(more)
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids(corpus_pipeline.language(spark, both, SMALL)) == ids(docs)
+    unlabelled = both.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
+    assert ids(corpus_pipeline.language(spark, unlabelled, SMALL)) == ids(docs) | {-1, -2, -3}
+
+
+def test_least_score_counts_all_labelled_rows(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "lang")
+    many = docs.crossJoin(spark.range(20))
+    model = language_id.train(docs)
+    scores = sorted(r.score for r in language_id.identify(many, model, keep=[]).where("lang_pred != 'und'").collect())
+    least = language_id.least_score(many, model)
+    below = sum(int(x * language_id.SCALE) < round(least * language_id.SCALE) for x in scores)
+    assert below * language_id.ONE_IN <= len(scores) and int(scores[len(scores) // language_id.ONE_IN] * language_id.SCALE) == round(least * language_id.SCALE)
