@@ -49,8 +49,9 @@ def align_monotone(scores: DataFrame, timeline: str, threshold: float) -> DataFr
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf[timeline].iloc[0]
-        # state: highest step order used so far -> (gain, matches, choices); choices are (order or none) by medium
-        states = {-1: (0.0, 0, ())}
+        # state: highest step order used so far -> (gain, matches, last choice); a choice is (order or none, step,
+        # score, choice before), so that choices are shared and not copied
+        states = {-1: (0.0, 0, None)}
         media = []
         for _, group in pdf.groupby("at", sort=True):
             pending = {(low, low): v for low, v in states.items()}  # (bound by earlier times, highest now)
@@ -58,10 +59,10 @@ def align_monotone(scores: DataFrame, timeline: str, threshold: float) -> DataFr
                 media.append(m)
                 grown = {}
                 for (low, high), (gain, n, path) in pending.items():
-                    options = [((low, high), (gain, n, (*path, (float("inf"), None, None))))]
+                    options = [((low, high), (gain, n, (float("inf"), None, None, path)))]
                     for r in rows.itertuples():
                         if r.score >= threshold and r.step_order >= low:
-                            options.append(((low, max(high, r.step_order)), (gain + r.score - threshold, n + 1, (*path, (r.step_order, r.step, r.score)))))
+                            options.append(((low, max(high, r.step_order)), (gain + r.score - threshold, n + 1, (r.step_order, r.step, r.score, path))))
                     for key, value in options:
                         if key not in grown or _better(value, grown[key]):
                             grown[key] = value
@@ -74,7 +75,11 @@ def align_monotone(scores: DataFrame, timeline: str, threshold: float) -> DataFr
         for value in states.values():
             if best is None or _better(value, best):
                 best = value
-        return pd.DataFrame([(name, m, c[1], float(c[2])) for m, c in zip(media, best[2]) if c[1] is not None], columns=[timeline, "media", "step", "score"])
+        chosen, at = [], best[2]
+        while at is not None:
+            chosen.append(at)
+            at = at[3]
+        return pd.DataFrame([(name, m, c[1], float(c[2])) for m, c in zip(media, reversed(chosen)) if c[1] is not None], columns=[timeline, "media", "step", "score"])
 
     return scores.groupBy(timeline).applyInPandas(solve, schema)
 
@@ -84,7 +89,12 @@ def _better(a, b) -> bool:
         return a[0] > b[0]
     if a[1] != b[1]:
         return a[1] > b[1]
-    return [c[0] for c in a[2]] < [c[0] for c in b[2]]
+    x, y, smaller = a[2], b[2], False
+    while x is not y:  # back to what both share: the earliest difference decides
+        if x[0] != y[0]:
+            smaller = x[0] < y[0]
+        x, y = x[3], y[3]
+    return smaller
 
 
 def tumbling(at: Column, seconds: int) -> Column:

@@ -57,7 +57,7 @@ def part_lexicon() -> dict[str, dict[str, str]]:
 
 
 def document_mentions(spark, d):
-    steps = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("step", "line"))
+    steps = table(spark, d, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("step", "line"))
     return mentions.extract(steps, "line", part_lexicon())
 
 
@@ -145,9 +145,11 @@ def q_nearest_frames(spark, d):
 
 
 def step_scores(spark, d):
-    """Events of a user as media on a timeline, event types as steps; the score follows from value and step."""
+    """Events of a user's day as media on a timeline, event types as steps; the score follows from value and step."""
     steps = spark.createDataFrame([(0, "view"), (1, "click"), (2, "purchase")], "step_order long, step string")
-    media = table(spark, d, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("timeline"), F.col("event_id").cast("string").alias("media"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = F.concat_ws(":", "user_id", F.floor(at / 86_400_000_000))
+    media = table(spark, d, "events").select(day.alias("timeline"), F.col("event_id").cast("string").alias("media"), at.alias("at"), "value")
     score = F.pmod(F.floor("value") * (F.col("step_order") + 3), F.lit(100)) / 100
     return media.crossJoin(F.broadcast(steps)).select("timeline", "media", "at", "step", "step_order", score.cast("double").alias("score"))  # three steps
 
@@ -159,4 +161,5 @@ def q_align_dp(spark, d):
 
 @query("""WITH s AS (SELECT event_id::VARCHAR AS media, step, step_order, ((floor(value)::BIGINT * (step_order + 3)) % 100) / 100.0::DOUBLE AS score FROM events, (SELECT unnest([0, 1, 2]) AS step_order, unnest(['view', 'click', 'purchase']) AS step) WHERE event_id % 5 = 0) SELECT media, step, score FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY score DESC, step_order, step) AS n FROM s WHERE score >= 0.5) WHERE n = 1""")
 def q_best_step(spark, d):
-    return timeline.best_step(step_scores(spark, d), "media", "step", "step_order", "score", 0.5).select("media", "step", "score")
+    fifth = step_scores(spark, d).where("media % 5 = 0")  # as its SQL has it
+    return timeline.best_step(fifth, "media", "step", "step_order", "score", 0.5).select("media", "step", "score")

@@ -27,3 +27,19 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_mentions_and_alignment_take_all_rows(spark):
+    read = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
+    other = {r.doc_id for r in read("documents").where("lang <> 'en' AND regexp_like(text, '(?i)\\\\b(the|that|with|from)\\\\b')").collect()}
+    assert other and other <= {r.doc_id for r in QUERIES["q_mentions"](spark, SMALL).collect()}
+    assert other <= {r.doc_id for r in QUERIES["q_mention_rollup"](spark, SMALL).collect()}
+    rows = QUERIES["q_align_dp"](spark, SMALL).collect()
+    assert {int(r.media) % 5 for r in rows} == set(range(5))
+    # one event of a day alone takes a step wherever one of its scores is above the threshold
+    days = read("events").selectExpr("event_id", "value", "concat_ws(':', user_id, floor(unix_micros(cast(ts AS timestamp)) / 86400000000)) AS day").collect()
+    size = {}
+    for r in days:
+        size[r.day] = size.get(r.day, 0) + 1
+    alone = {str(r.event_id) for r in days if size[r.day] == 1 and any(int(r.value // 1) * (k + 3) % 100 > 50 for k in range(3))}
+    assert alone and alone <= {r.media for r in rows}
