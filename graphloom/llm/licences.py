@@ -56,15 +56,72 @@ RULES = (
     ("Public-Domain", "PUBLIC_DOMAIN"),
 )
 _MAY = "(?i)licens|permission|warrant|redistribut|public domain|copyright"
-_BREAK = r"\n+|(?<=[.:;!?])\x20+"
+# Fixed values beyond those that the SQL holds: sentences and rules of further licences, by the same form.
+_GNU = "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1} general public license as published by the free software foundation either version {2} of the license or at your option any later version"
+_NAMED = {
+    "gnu general public license version 3 0": "GPL3_REF",
+    "gnu general public license version 2 0": "GPL2_REF",
+    "gnu general public license version 3": "GPL3_REF",
+    "gnu general public license version 2": "GPL2_REF",
+    "gnu lesser general public license version 3": "LGPL3_REF",
+    "gnu lesser general public license version 2 1": "LGPL21_REF",
+    "gnu affero general public license version 3": "AGPL3_REF",
+    "mozilla public license version 2 0": "MPL2_REF",
+    "boost software license version 1 0": "BSL1_REF",
+    "isc license": "ISC_REF",
+    "mit license": "MIT_REF",
+    "apache license version 2 0": "APACHE2_REF",
+    "bsd 3 clause license": "BSD3_REF",
+    "bsd 2 clause license": "BSD2_REF",
+    "cc0 1 0 universal license": "CC0_REF",
+}
+MORE_SENTENCES = {
+    **{f"{verb} under {the}{name}": i for name, i in _NAMED.items() for verb in ("licensed", "released", "distributed") for the in ("the ", "")},
+    **{_GNU.format(what, kind, v): i for what in ("this program", "this library") for kind, v, i in (("lesser", "3", "LGPL3_LATER"), ("lesser", "2 1", "LGPL21_LATER"), ("affero", "3", "AGPL3_LATER"))},
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2_REF",
+    "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt": "BSL1_REF",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "licensed under cc0 1 0": "CC0_REF",
+}
+MORE_RULES = (
+    ("LGPL-3.0-or-later", "LGPL3_LATER"),
+    ("LGPL-2.1-or-later", "LGPL21_LATER"),
+    ("AGPL-3.0-or-later", "AGPL3_LATER"),
+    ("LGPL-3.0-only", "LGPL3_REF"),
+    ("LGPL-2.1-only", "LGPL21_REF"),
+    ("AGPL-3.0-only", "AGPL3_REF"),
+    ("MPL-2.0", "MPL2_REF"),
+    ("BSL-1.0", "BSL1_REF"),
+    ("ISC", "ISC_GRANT"),
+    ("ISC", "ISC_REF"),
+    ("BSD-3-Clause", "BSD3_REF"),
+    ("BSD-2-Clause", "BSD2_REF"),
+    ("CC0-1.0", "CC0_REF"),
+)
+#: What may stand before a reference: "this project is".
+_SUBJECT = "(?:(?:this|the) (?:[a-z0-9]+ (?:\\x02 )?){1,3}(?:is|are) (?:\\x02 )?)?"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in its order; lines and sentence ends divide."""
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    named = F.transform(F.filter(F.split(text, _BREAK), lambda s: s.rlike(_MAY) | s.rlike("(?i)you may|see the")), lambda s: F.try_element_at(known, plain(s)))
-    return F.when(text.rlike(_MAY), F.filter(named, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    """Identifiers of the known licence sentences of a text, in its order.
+
+    A known sentence stands between borders: line breaks and sentence ends. Line breaks inside a paragraph and
+    semicolons may also stand between its words (written \\x02), blank lines, dashes of lists and other sentence
+    ends (\\x01) may not. Marks of comments are no letters and so vanish.
+    """
+    all_of = {**MORE_SENTENCES, **SENTENCES}
+    known = F.create_map(*[F.lit(x) for pair in all_of.items() for x in pair])
+    any_of = "|".join(s.replace(" ", " (?:\\x02 )?") for s in sorted(all_of, key=lambda s: (-len(s), s)))
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), "\r", ""), r"(?<=[.:!?])\x20+", "\x01")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<=;)\x20+", "\x02"), r"\n[^a-z0-9\x01]*\n[^a-z0-9\x01]*|\n[\x20\t>#*/]*[-•]\x20", "\x01")
+    t = F.regexp_replace(F.regexp_replace(t, "\n", "\x02"), r"[^a-z0-9\x01\x02]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[\x01\x02]", " $0 "), r"\x20{2,}", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\x02 (?:\x02 )++", "\x02 "), r"\x01 \x02", "\x01")
+    t = F.concat(F.lit("\x01 "), F.trim(t), F.lit(" \x01"))
+    found = F.regexp_extract_all(t, F.lit(f"(?<=[\\x01\\x02] ){_SUBJECT}({any_of})(?= [\\x01\\x02])"), F.lit(1))
+    named = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, " \x02", "")))
+    return F.when(text.rlike(_MAY), named).otherwise(F.array().cast("array<string>"))
 
 
 def find_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,7 +134,7 @@ def find_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumn("licence_sentences", sentence_ids(text))
     line = F.concat(F.lit("  "), F.array_join("licence_sentences", "  "), F.lit("  "))
     # two blanks between identifiers: one on each side of a match; inside a rule they are written as two
-    rules = {ids.replace(" ", "  "): name for name, ids in RULES}
+    rules = {ids.replace(" ", "  "): name for name, ids in (*RULES, *MORE_RULES)}
     pattern = "|".join(f"(?<=\\x20){ids}(?=\\x20)" for ids in rules)
     names = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     found = F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))

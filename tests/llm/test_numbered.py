@@ -356,6 +356,23 @@ def test_licence_rules(spark):
     assert got == {1: (["MIT"], False), 2: ([], True), 3: (["CC-BY-4.0", "MIT"], False), 4: ([], False)}
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    texts = [(gpl.format("General Public License", "3"), "GPL-3.0-or-later"), (gpl.format("Affero General Public License", "3"), "AGPL-3.0-or-later"), (gpl.format("Lesser General Public License", "2.1"), "LGPL-2.1-or-later")]
+    texts += [("This project is licensed under the MIT License.", "MIT"), ("Released under the ISC License.", "ISC")]
+    wrap = lambda t, mark: textwrap.fill(t, 72, initial_indent=mark, subsequent_indent=mark)
+    rows = [(f"Title\n\n{wrap(t, mark)}\nmore words here\n", name) for t, name in texts for mark in ("", "# ", "// ", " * ", "-- ")]
+    rows += [("\n\n".join(wrap(x, mark) for x in bsd), "BSD-2-Clause") for mark in ("", " * ")]
+    rows += [("Licensed under the MIT\n\nLicense.", ""), ("- licensed under the\n- mit license", ""), ("Not licensed under the MIT License.", ""), ("\n" * 50_000 + "licensed under the MIT License", "MIT")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, name string")
+    wrong = [(r.text[-300:], r.name, r.licences) for r in licences.find_licences(df).collect() if ",".join(r.licences) != r.name]
+    assert not wrong
+
+
 def test_empty_tables(spark, empty_dir):
     for name, query in catalogue.queries().items():
         assert query(spark, empty_dir).count() == 0, name
