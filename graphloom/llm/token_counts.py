@@ -1,13 +1,22 @@
 """Token counts through prefix tables.
 
-A text's table holds, for the end of each of its white-space-separated pieces, the exact number of
-tokens of the prefix up to there: count(i) = count(i - 1) + tokens(piece i). The total, a truncation
-point or the cost of any prefix are read from the table; only a piece seen for the first time is encoded.
+A prefix table holds the exact number of tokens of every prefix of a text. It is made by dynamic
+programming: the tokens of a run (what the tokenizer never joins across) cut after position i end with
+the one token whose pair with the last token of what stands before it survives the tokenizer's merges, so
+
+    count(i) = count(i - length of that token) + 1
+
+Totals, truncation points and the cost of any prefix are read from tables; no prefix is encoded again.
+Each distinct run's table is made once in a worker.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -17,90 +26,313 @@ from pyspark.sql import types as T
 
 from .common import map_texts
 
-#: Pieces whose counts a worker remembers; beyond it starts anew (speed only).
-CACHE = 1_000_000
-_caches: dict[int, tuple[object, dict[bytes, int]]] = {}
+#: Pieces and runs that a worker remembers; beyond them it starts anew (speed only).
+CACHE = 500_000
+_SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+_CONTRACTIONS = ("'re", "'ve", "'ll")
+_NEVER = 1 << 60
 
 
-class PieceCounter:
-    """Exact token counts of pieces without white space, by the tokenizers library."""
+class PrefixTables:
+    """Exact token counts of all prefixes, for byte-level BPE whose runs never depend on white space.
+
+    The tokenizer's normaliser and pre-tokeniser are the library's own; what they may be made of is
+    checked, because a table is only right where a prefix's runs are the text's runs, the last one cut.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        key = hash(tokenizer_json)
-        if key not in _caches:
-            tokenizer = Tokenizer.from_str(tokenizer_json)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-            if ids(" ab\n\n cd's \t1 ") != ids("ab") + ids("cd's") + ids("1"):
-                raise ValueError("prefix tables need a tokenizer whose tokens never depend on white space")
-            _caches[key] = (tokenizer, {})
-        self.tokenizer, self.cache = _caches[key]
-
-    def prefix_counts(self, text: bytes) -> np.ndarray:
-        """Cumulative token counts at the ends of the pieces of a UTF-8 text."""
-        pieces = text.split()
-        cache = self.cache
-        missing = [p for p in set(pieces) if p not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(pieces))
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)):
-                cache[p] = len(e.ids)
-        return np.cumsum(np.fromiter(map(cache.__getitem__, pieces), np.int64, len(pieces)))
-
-
-def _piece_ends(text: bytes) -> np.ndarray:
-    from .textkit import WORD
-
-    inside = np.append(WORD[np.frombuffer(text, np.uint8)], False)
-    return np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        spec = json.loads(tokenizer_json)
+        self._check(spec)
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.normalize, self.split_runs = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        specials = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
+        self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
+        model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
+        vocab = model["vocab"]
+        self.size = len(vocab) + 1
+        self.left, self.right, self.rank = {}, {}, {}
+        self.made = dict.fromkeys(vocab.values(), -1)
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            whole = vocab[a + b]
+            self.rank[vocab[a] * self.size + vocab[b]] = rank
+            self.left[whole], self.right[whole], self.made[whole] = vocab[a], vocab[b], rank
+        whole = lambda t: self.made[t] < 0 or self._reached(t)
+        self.inner = {s: t for s, t in vocab.items() if not s.endswith(suffix) and whole(t)}
+        self.closing = {s[: -len(suffix)]: t for s, t in vocab.items() if s.endswith(suffix) and whole(t)}
+        self.longest = max(map(len, (*self.inner, *self.closing)))
+        self.ascii_runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+        self.pairs: dict[int, bool] = {}
+        self.runs: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, int] = {}
+        self.of_letter: dict[str, str] = {}
+
+    @staticmethod
+    def _check(spec: dict) -> None:
+        many = lambda x, key: x[key] if x and x["type"] == "Sequence" else [x]
+        normalisers = many(spec["normalizer"], "normalizers")
+        first, *rest = many(spec["pre_tokenizer"], "pretokenizers")
+        model = spec["model"]
+        runs = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the tokenizer's, as it must be
+        good = (
+            [n and n["type"] for n in normalisers] == ["NFC", "Replace", "Lowercase"] and normalisers[1]["pattern"] == {"Regex": r"\s+"} and normalisers[1]["content"] == " "
+            and first and first["type"] == "Split" and first["pattern"] == {"Regex": runs} and first["behavior"] == "Removed" and first["invert"]
+            and [(p["type"], p["add_prefix_space"], p["use_regex"]) for p in rest] == [("ByteLevel", False, False)]
+            and model["type"] == "BPE" and model["end_of_word_suffix"] and not (model["dropout"] or model["unk_token"] or model["continuing_subword_prefix"] or model["ignore_merges"] or model["byte_fallback"])
+            and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in spec["added_tokens"])
+        )
+        if not good:
+            raise ValueError("prefix tables need byte-level BPE with word ends and runs that do not depend on white space")
+
+    def _reached(self, token: int) -> bool:
+        """The token's own letters are merged to it: its halves' borders survive until it is made."""
+        rank = self.made[token]
+        return self.made[self.left[token]] < rank and self.made[self.right[token]] < rank and self._survives(self.left[token], self.right[token], rank)
+
+    def _survives(self, a: int, b: int, until: int = _NEVER) -> bool:
+        """No merge before ``until`` crosses the border of neighbours a, b: walks back through what stood at the border.
+
+        x and y are alive from the merges that made them to those (before_x, before_y) that used them up.
+        Of equal merges the left one comes first.
+        """
+        x, y, before_x, before_y = a, b, until, until - 1
+        while True:
+            rank = self.rank.get(x * self.size + y)
+            if rank is not None and rank < before_x and rank <= before_y:
+                return False
+            made_x, made_y = self.made[x], self.made[y]
+            if made_x < 0 and made_y < 0:
+                return True
+            if made_x > made_y:
+                before_x, x = made_x, self.right[x]
+            else:
+                before_y, y = made_y, self.left[y]
+
+    def _stable(self, a: int, b: int) -> bool:
+        key = a * self.size + b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) > 4 * CACHE:
+                self.pairs.clear()
+            found = self.pairs[key] = self._survives(a, b)
+        return found
+
+    def _grown(self, run: str, begin: int, last: list[int], count: list[int], whole: bool = True) -> list[int]:
+        """Closed counts of the run's prefixes longer than ``begin``; last and count (open ends) grow with them.
+
+        They hold an entry for each prefix up to ``begin``; ``whole`` tells that index 0 is the run's start.
+        """
+        inner, closing, longest, stable, table = self.inner, self.closing, self.longest, self._stable, []
+        for end in range(begin + 1, len(run) + 1):
+            open_end = closed = 0
+            for start in range(max(0, end - longest), end):
+                part, first = run[start:end], whole and not start
+                if not closed and (t := closing.get(part)) is not None and (first or stable(last[start], t)):
+                    closed = count[start] + 1
+                if not open_end and (t := inner.get(part)) is not None and (first or stable(last[start], t)):
+                    open_end = count[start] + 1
+                    last.append(t)
+                if closed and open_end:
+                    break
+            count.append(open_end)
+            table.append(closed)
+        return table
+
+    def run_table(self, run: str) -> list[int]:
+        """Token counts of the prefixes of a run (byte letters), each closed as a word; the first is for one letter."""
+        table = self.runs.get(run)
+        if table is None:
+            table = self._grown(run, 0, [0], [0])
+            if run in _CONTRACTIONS:  # cut before its end, it is an apostrophe and a letter
+                table[1] = self.run_table(run[0])[-1] + self.run_table(run[1])[-1]
+            if len(self.runs) > CACHE:
+                self.runs.clear()
+            self.runs[run] = table
+        return table
+
+    def _normal_runs(self, piece: str):
+        """(normalised text, [(byte letters, start, end in it)]) of a piece without special strings."""
+        if piece.isascii() and piece.isprintable():  # here the library's steps come to this
+            low = piece.lower()
+            return low, [(m[0], m.start(), m.end()) for m in self.ascii_runs.finditer(low)]
+        low = self.normalize(piece)
+        return low, [(run, *place) for run, place in self.split_runs(low)]
+
+    def _plain_total(self, piece: str) -> int:
+        return sum(self.run_table(run)[-1] for run, _, _ in self._normal_runs(piece)[1])
+
+    def _normal_table(self, low: str, runs: list) -> list[int]:
+        """Token counts of the prefixes of a normalised text, one for each code point."""
+        out, base, at = [], 0, 0
+        for run, start, end in runs:
+            out += [base] * (start - at)
+            table, place = self.run_table(run), -1
+            for c in low[start:end]:
+                place += 1 if c < "\x80" else len(c.encode())
+                out.append(base + table[place])
+            base += table[-1]
+            at = end
+        return out + [base] * (len(low) - at)
+
+    def _plain_table(self, piece: str) -> list[int]:
+        low, runs = self._normal_runs(piece)
+        out = self._normal_table(low, runs)
+        if low.isascii() and len(low) == len(piece):
+            return out
+        parts = [self._letter(c) for c in piece]
+        if "".join(parts) != low:
+            return self._uneven_table(piece, low, runs, out)
+        return [out[k - 1] for k in np.cumsum([len(p) for p in parts]).tolist()]
+
+    def _letter(self, c: str) -> str:
+        low = self.of_letter.get(c)
+        if low is None:
+            low = self.of_letter[c] = self.normalize(c)
+        return low
+
+    def _uneven_table(self, piece: str, low: str, runs: list, table: list[int]) -> list[int]:
+        """Where letters combine: at clusters' ends the table's own counts, inside them those of what the cut leaves."""
+        out, at, k, states = [], 0, -1, None
+        starts = [start for _, start, _ in runs]
+        begin = 0
+        while begin < len(piece):
+            end = begin + 1
+            while end < len(piece) and (unicodedata.combining(piece[end]) or self.normalize(piece[begin : end + 1]) != self.normalize(piece[begin:end]) + self._letter(piece[end])):
+                end += 1
+            for cut in range(begin + 1, end):
+                tail = self.normalize(piece[begin:cut])
+                run = bisect_left(starts, at) - 1  # the run behind which the cluster stands
+                if run < 0 or runs[run][2] < at:
+                    out.append((table[at - 1] if at else 0) + sum(self.run_table(r)[-1] for r, _, _ in self._normal_runs(tail)[1]))
+                    continue
+                letters, start, _ = runs[run]
+                near = max(start, at - 4)  # enough to tell what the runs are
+                parts = self._normal_runs(low[near:at] + tail)[1]
+                n = (table[start - 1] if start else 0) + sum(self.run_table(r)[-1] for r, _, _ in parts[1:])
+                if near == start:
+                    n += self.run_table(parts[0][0])[-1]
+                else:
+                    if run != k:
+                        k, states = run, ([0], [0])
+                        self._grown(letters, 0, *states)
+                    done = len(low[start:at].encode())
+                    more = parts[0][0][len(low[near:at].encode()) :]
+                    since = max(0, done - self.longest)
+                    closed = self._grown(letters[since:done] + more, done - since, states[0][since : done + 1], states[1][since : done + 1], not since)
+                    n += closed[-1] if more else self.run_table(letters)[done - 1]
+                out.append(n)
+            at += len(self.normalize(piece[begin:end]))
+            out.append(table[at - 1])
+            begin = end
+        return out
+
+    def piece_table(self, piece: str) -> list[int]:
+        """Token counts of the prefixes of a piece without ASCII white space, one for each code point."""
+        out, base, at = [], 0, 0
+        for m in self.specials.finditer(piece) if self.specials else ():
+            # until it is complete, a special string is ordinary text behind what precedes it
+            out += [base + n for n in self._plain_table(piece[at : m.end() - 1])]
+            base += (self._plain_total(piece[at : m.start()]) if m.start() > at else 0) + 1
+            out.append(base)
+            at = m.end()
+        return out + ([base + n for n in self._plain_table(piece[at:])] if at < len(piece) else [])
+
+    def total(self, piece: bytes) -> int:
+        """Tokens of a whole piece: the last entry of its tables."""
+        n = self.pieces.get(piece)
+        if n is None:
+            text = piece.decode()
+            parts = self.specials.split(text) if self.specials else [text]
+            n = len(parts) - 1 + sum(self._plain_total(p) for p in parts if p)
+            if len(self.pieces) > CACHE:
+                self.pieces.clear()
+            self.pieces[piece] = n
+        return n
+
+    def text_table(self, text: str) -> np.ndarray:
+        """Token counts of the prefixes of a text, one for each code point."""
+        out, base = np.zeros(len(text), np.int32), 0
+        at = 0
+        for m in _SPACES.finditer(text):
+            out[at : m.start()] = base
+            table = self.piece_table(m[0])
+            out[m.start() : m.end()] = table
+            out[m.start() : m.end()] += base
+            base += table[-1]
+            at = m.end()
+        out[at:] = base
+        return out
+
+
+_tables: dict[int, PrefixTables] = {}
+
+
+def prefix_tables(tokenizer_json: str) -> PrefixTables:
+    """The worker's tables of a tokenizer."""
+    key = hash(tokenizer_json)
+    if key not in _tables:
+        _tables[key] = PrefixTables(tokenizer_json)
+    return _tables[key]
+
+
+def _cut(tables: PrefixTables, text: bytes, sums: np.ndarray, limit: int) -> int:
+    """Bytes of the longest prefix of at most ``limit`` tokens, for a text of more."""
+    k = int(np.searchsorted(sums, limit, "right"))  # the piece in which the limit is passed
+    begin = next(m.start() for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)) if i == k)
+    piece = text[begin:].split(None, 1)[0].decode()
+    within = limit - (int(sums[k - 1]) if k else 0)
+    fits = [i for i, n in enumerate(tables.piece_table(piece)) if n <= within]
+    return begin + (len(piece[: fits[-1] + 1].encode()) if fits else 0)
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 2048, text_col: str = "text", keep: list[str] | None = None, tables: bool = False) -> DataFrame:
     """docs' columns ``keep`` (all by default) with n_bytes, n_tokens, over_limit and cut_bytes.
 
-    cut_bytes is the length of the longest prefix of whole pieces that has at most ``limit`` tokens.
-    With ``tables``, prefix_ends (bytes) and prefix_tokens hold the whole table. A null or empty text has
-    0 of everything and empty tables; columns of the same names are replaced.
+    cut_bytes is the length of the longest prefix (of whole code points) that has at most ``limit`` tokens.
+    With ``tables``, prefix_tokens holds the whole table: its i-th entry is the count of the first i code
+    points. A null or empty text has 0 of everything and an empty table; repeated rows and ties have equal
+    results; an empty docs gives no rows; columns of the same names are replaced.
     """
+    PrefixTables._check(json.loads(tokenizer_json))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary file: a few MB
 
     def make():
-        counter = PieceCounter(shared.value)
+        made = prefix_tables(shared.value)
 
         def step(chunk, rows):
-            n_tokens, cuts, ends, sums = [], [], [], []
+            n_tokens, cuts, whole = [], [], []
             data = chunk.data.tobytes()
+            known, total = made.pieces, made.total
             for i in range(len(chunk)):
                 text = data[chunk.offsets[i] : chunk.offsets[i + 1]]
-                table = counter.prefix_counts(text)
-                total = int(table[-1]) if len(table) else 0
-                n_tokens.append(total)
-                cut = len(text)
-                if total > limit:
-                    k = int(np.searchsorted(table, limit, "right"))
-                    cut = int(_piece_ends(text)[k - 1]) if k else 0
-                cuts.append(cut)
+                pieces = text.split()
+                counts = [known[p] if p in known else total(p) for p in pieces]
+                n = sum(counts)
+                n_tokens.append(n)
+                cuts.append(len(text) if n <= limit else _cut(made, text, np.cumsum(counts), limit))
                 if tables:
-                    ends.append(_piece_ends(text))
-                    sums.append(table)
+                    whole.append(made.text_table(text.decode()))
             out = {"n_bytes": np.diff(chunk.offsets), "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens], "cut_bytes": cuts}
-            return out | ({"prefix_ends": pa.array(ends, pa.list_(pa.int64())), "prefix_tokens": pa.array(sums, pa.list_(pa.int64()))} if tables else {})
+            return out | ({"prefix_tokens": pa.array(whole, pa.list_(pa.int32()))} if tables else {})
 
         return step
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("cut_bytes", T.LongType())]
     if tables:
-        fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("prefix_ends", "prefix_tokens")]
+        fields.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
     return map_texts(docs, text_col, make, T.StructType(fields), keep)
 
 
+def prefix_count(code_points: Column | int) -> Column:
+    """From a row with tables: tokens of the prefix of so many code points; the whole text's beyond its end."""
+    n = F.lit(code_points) if isinstance(code_points, int) else code_points
+    return F.when((n <= 0) | (F.size("prefix_tokens") == 0), 0).otherwise(F.element_at("prefix_tokens", F.greatest(F.lit(1), F.least(n, F.size("prefix_tokens")))))
+
+
 def prefix_within(budget: Column | int) -> Column:
-    """From a row with tables: bytes of the longest prefix of whole pieces within a token budget."""
+    """From a row with tables: code points of the longest prefix within a token budget."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    return F.coalesce(F.array_max(F.transform("prefix_tokens", lambda n, i: F.when(n <= budget, F.element_at("prefix_ends", i + 1)))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform("prefix_tokens", lambda n, i: F.when(n <= budget, i + 1))), F.lit(0))

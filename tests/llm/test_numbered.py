@@ -95,20 +95,45 @@ def test_token_counts(spark, folder):
     assert got == Counter((d, len((t or "").encode()), n := count(t or ""), n > 2048) for d, t in docs)
 
 
-def test_prefix_tables(spark, edges):
+def _prefix_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz'  <|>endoftxs.,!?0123éèüßİΣ\u0323\u0301漢字한\x1c\u00a0 \n"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 50))) for _ in range(150)]
+    fixed = ["It's we're they'll 'r 'l l'v they'v ''re don't 'RE", "<|endoftext|> a<|endoftext|>b <|endof <|startoftext|><|endoftext|>x", "h\u0337e\u0337l\u0337lo\u0337 " * 3, "e\u0301 한국어 한", "a" * 40 + " " + "ab" * 30, "123456 1.5e10 ½ ² $%^&*((( ....... ____", "क़ि हिन्दी ไทย العربية \x1cq\x7f\x01"]
+    small = [r.text[:300] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").where("text IS NOT NULL").limit(40).collect()]
+    return made + fixed + small
+
+
+def test_prefix_tables(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    df = token_counts.token_counts(edges, open(path).read(), limit=5, keep=["doc_id", "text"], tables=True)
-    for r in df.withColumn("within", token_counts.prefix_within(5)).collect():
-        raw = (r.text or "").encode()
-        for end, n in list(zip(r.prefix_ends, r.prefix_tokens))[:40]:
-            assert len(tokenizer.encode(raw[:end].decode(), add_special_tokens=False).ids) == n
-        assert r.cut_bytes == (r.within if r.over_limit else len(raw))
+    count = lambda ts: [len(e.ids) for e in tokenizer.encode_batch(ts, add_special_tokens=False)]
+    docs = spark.createDataFrame([(t,) for t in _prefix_texts(spark)] + [(None,), ("",)], "text string")
+    df = token_counts.token_counts(docs, open(path).read(), limit=5, tables=True)
+    for r in df.withColumns({"within": token_counts.prefix_within(5), "at7": token_counts.prefix_count(7)}).collect():
+        text = r.text or ""
+        want = count([text[:i] for i in range(1, len(text) + 1)])
+        assert r.prefix_tokens == want, repr(text)
+        assert r.n_tokens == ([0, *want])[-1] and r.at7 == ([0, *want])[min(7, len(text))]
+        fits = max([i + 1 for i, n in enumerate(want) if n <= 5], default=0)
+        assert r.within == fits and r.cut_bytes == len(text[:fits].encode())
     with pytest.raises(ValueError):
-        token_counts.PieceCounter(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+        token_counts.token_counts(docs, open(public_tokenizers.path("byte_bpe_50k.json")).read())
+
+
+def test_prefix_table_of_long_runs():
+    import public_tokenizers
+
+    tables = token_counts.PrefixTables(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    text = "a" * 50_000 + "\u0301\u0323" * 20_000
+    assert len(tables.text_table(text[:50_100])) == 50_100 and tables.total(text.encode()) > 0
+    marks = "e\u0301\u0323" * 5_000
+    assert tables.text_table(marks)[-1] == tables.total(marks.encode())
 
 
 def test_language_model(spark, folder):
