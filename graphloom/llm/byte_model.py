@@ -1,16 +1,16 @@
 """Language-model scores by context-tree weighting over bytes, beside an add-one word unigram.
 
-Texts are lower-cased (A-Z) and closed by an end byte. A byte is eight binary decisions; each decision
-has a context tree over the classes of the three bytes before. Krichevsky-Trofimov estimates of all
-depths are mixed with the weights of the tree's block probabilities, which follow from the counts alone:
-so tasks only count, and the counts of all training texts are summed by Spark. A context and byte have
-24 bits, so the table of a model is bounded whatever the corpus.
+Texts are lower-cased (A-Z) and closed by an end byte. A byte is eight binary decisions, each with a
+context tree over the CONTEXT bytes before. Krichevsky-Trofimov estimates of all depths are mixed with
+the weights of the tree's block probabilities, which follow from the counts alone. A gram is a byte with
+its context, exact in one number; the counts of all grams stay distributed and grow with the corpus.
+One pass for each depth, dealt by the next shorter context, folds block probabilities upwards, and
+another hands the mixtures down to the grams.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +19,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Chunk, chunks, map_texts, saved, ship_package
-from .textkit import LOWER, U, span_hashes, word_spans
-
-END, GRAM, WORD, TEXTS = 0xFF, 0, 1, 2
-#: Words with their counts that are broadcast (16 bytes each); rarer ones are joined.
-FREQUENT_WORDS = 1 << 19
-_built: dict[str, np.ndarray] = {}
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of a context byte: of 64 for the last one, of 32 for those before."""
-    fine, coarse = np.zeros(256, np.uint32), np.zeros(256, np.uint32)
-    for b in range(256):
-        if 97 <= b <= 122:
-            fine[b] = coarse[b] = b - 96
-        elif b == END:
-            fine[b], coarse[b] = 27, 27
-        elif b in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D):
-            fine[b], coarse[b] = (28 if b == 0x20 else 29), 28
-        elif 0x80 <= b <= 0xBF:
-            fine[b], coarse[b] = 30 + (b & 15), 29 + (b >> 4 & 1)
-        elif b >= 0xC0:
-            fine[b], coarse[b] = (46 if b == 0xC3 else 47 if b < 0xE0 else 48), 31
-        elif 48 <= b <= 57:
-            fine[b] = 49
-        elif chr(b) in ".,;:!?-'\"()#*":
-            fine[b] = 50 + ".,;:!?-'\"()#*".index(chr(b))
-        else:
-            fine[b] = 63
-    return fine, coarse
-
-
-_FINE, _COARSE = _classes()
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context-and-byte numbers of a chunk's texts, each with its end byte, and the texts' borders in them."""
+from .textkit import LOWER, span_hashes, word_spans
+
+CONTEXT, END, WORD, TEXTS = 6, 0xFF, 1, 2
+#: Words and grams that are broadcast with their numbers (16 and 12 bytes each); rarer ones are joined.
+FREQUENT_WORDS, FREQUENT_GRAMS = 1 << 19, 1 << 22
+#: Rows that a step of the tree takes at once; a group under one context has at most 2^16 grams.
+STEP = 1 << 16
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of a chunk's texts (each with its end byte) with the bytes before it, and the texts' borders.
+
+    The lowest eight bits are the byte, the next eight the byte before it, and so on; before a text stand end bytes.
+    """
     n = len(offsets) - 1
-    at = offsets + np.arange(n + 1)
-    out = np.full(len(data) + n, END, np.uint8)
-    inside = np.ones(len(out), bool)
-    inside[at[1:] - 1] = False
-    out[inside] = LOWER[data]
-    padded = np.concatenate([[END] * 3, out]).astype(np.uint8)
-    k1, k2, k3 = padded[2:-1].copy(), padded[1:-2].copy(), padded[:-3].copy()
-    for j, k in enumerate((k1, k2, k3)):
-        for d in range(j + 1):  # before a text's first byte stand end bytes
-            place = at[:-1] + d
-            k[place[place < at[1:]]] = END
-    return (_COARSE[k3] << 19 | _COARSE[k2] << 14 | _FINE[k1] << 8 | out).astype(np.int64), at
+    sizes, at = np.diff(offsets), offsets + np.arange(n + 1)
+    padded = np.full(len(data) + n * (context + 1), END, np.uint8)
+    padded[np.arange(len(data)) + np.repeat((np.arange(n) + 1) * context + np.arange(n), sizes)] = LOWER[data]
+    keys = padded[context:].astype(np.int64)
+    for j in range(1, context + 1):
+        keys |= padded[context - j : len(padded) - j].astype(np.int64) << (8 * j)
+    return keys[np.arange(at[-1]) + np.repeat(np.arange(n) * context, sizes + 1)], at
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -79,119 +52,279 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 decisions of a byte, from counts of bytes in the last axis."""
-    zeros, ones = [], []
-    for level in range(8):
-        x = counts.reshape(*counts.shape[:-1], 1 << level, 2, 1 << (7 - level)).sum(-1)
-        zeros.append(x[..., 0])
-        ones.append(x[..., 1])
-    return np.concatenate(zeros, -1).astype(float), np.concatenate(ones, -1).astype(float)
+_HALF = math.log(0.5)
 
 
 def _kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - math.log(math.pi)
 
 
-_HALF = math.log(0.5)
+def _decisions(keys: np.ndarray, n: np.ndarray):
+    """For each of a byte's eight decisions: first row, row -> place, zeros and ones of the decisions of all contexts.
 
+    Rows are grams, those of a context together and its bytes ascending.
+    """
+    context, byte = keys >> 8, keys & 255
+    n = n.astype(float)
+    for level in range(8):
+        node = byte >> (8 - level)
+        new = np.ones(len(keys), bool)
+        new[1:] = (context[1:] != context[:-1]) | (node[1:] != node[:-1])
+        first = np.flatnonzero(new)
+        one = n * (byte >> (7 - level) & 1)
+        ones = np.add.reduceat(one, first)
+        yield level, first, np.cumsum(new) - 1, np.add.reduceat(n, first) - ones, ones
+
+
+def _weights(zeros, ones, below):
+    """KT block log probability and the weighted one, given the sum over the longer contexts (None at full depth)."""
+    block = _kt_block(zeros, ones)
+    return block, block if below is None else np.logaddexp(_HALF + block, _HALF + below)
+
+
+def _folded(parent: np.ndarray, keys: np.ndarray, n: np.ndarray, below: np.ndarray | None):
+    """Grams of the next shorter contexts: keys, counts, and for each decision the sum of log weights over the longer ones."""
+    byte = keys & 255
+    group = np.cumsum(np.append(True, parent[1:] != parent[:-1])) - 1
+    shorter, inverse = np.unique(group << 8 | byte, return_inverse=True)
+    sums = np.empty((len(shorter), 8))
+    for level, first, _, zeros, ones in _decisions(keys, n):
+        weight = _weights(zeros, ones, None if below is None else below[first, level])[1]
+        place, at = np.unique((group[first] << level) | (byte[first] >> (8 - level)), return_inverse=True)
+        sums[:, level] = np.bincount(at, weight)[np.searchsorted(place, (shorter >> 8 << level) | ((shorter & 255) >> (8 - level)))]
+    context = parent[np.searchsorted(group, shorter >> 8)]
+    return context << 8 | (shorter & 255), np.bincount(inverse, n).astype(np.int64), sums
+
+
+def _mixed(keys: np.ndarray, n: np.ndarray, below: np.ndarray | None, given: np.ndarray, left: np.ndarray):
+    """Probability of each decision of a gram mixed down to its depth, and the weight left to longer contexts."""
+    byte = keys & 255
+    given, left = given.copy(), left.copy()
+    for level, first, place, zeros, ones in _decisions(keys, n):
+        block, weight = _weights(zeros, ones, None if below is None else below[first, level])
+        stop = (np.ones(len(first)) if below is None else np.exp(np.minimum(0.0, _HALF + block - weight)))[place]
+        hits = np.where(byte >> (7 - level) & 1, ones[place], zeros[place])
+        given[:, level] += left[:, level] * stop * (hits + 0.5) / (zeros + ones + 1)[place]
+        left[:, level] *= 1 - stop
+    return given, left
+
+
+_ROW = T.StructType([T.StructField("child", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()), T.StructField("v", T.BinaryType())])
+
+
+def _batch(child: bool, keys, n, m, values: np.ndarray | None) -> pa.RecordBatch:
+    size = len(keys)
+    v = pa.nulls(size, pa.binary())
+    if values is not None:
+        width = values.shape[1] * values.itemsize
+        v = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), size, [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, child)), pa.array(keys), pa.array(n), pa.array(m), v], names=_ROW.names)
+
+
+def _groups(batches, depth: int, column: int):
+    """Whole groups of one shorter context, about STEP rows at once, of batches dealt and sorted by it."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += len(batch)
+        if size >= STEP:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            parent = _shorter(table.column(column).to_numpy(), table.column("child").to_numpy(), depth)
+            cut = int(np.searchsorted(parent, parent[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                table = table.slice(cut)
+            waiting, size = table.to_batches(), len(table) if cut else 0
+    if waiting:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        if len(table):
+            yield table
+
+
+def _shorter(keys: np.ndarray, child: np.ndarray, depth: int) -> np.ndarray:
+    """The context of depth - 1 of grams of that depth (child) or of the depth above."""
+    return np.where(child, keys >> 8 & ((1 << 8 * max(depth - 1, 0)) - 1), keys >> 8) if depth else np.zeros(len(keys), np.int64)
+
+
+def _values(table: pa.Table, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(len(table), -1)
+
+
+def _dealt(rows: DataFrame, depth: int) -> DataFrame:
+    mask = F.lit((1 << 8 * max(depth - 1, 0)) - 1).cast("long")
+    above = F.shiftright("key", 8)
+    parent = F.when(F.col("child"), above.bitwiseAND(mask)).otherwise(above) if depth else F.lit(0).cast("long")
+    return rows.withColumn("parent", parent).repartition("parent").sortWithinPartitions("parent", "child", "key").select(*_ROW.names)
+
+
+def _summed_up(partial: DataFrame, context: int) -> DataFrame:
+    """Grams with their whole counts (child) and, from the same pass, those of the next shorter contexts."""
+
+    def run(batches):
+        for table in _summed(batches, context):
+            keys, n, m = (table.column(c).to_numpy() for c in ("key", "n", "m"))
+            parent = _shorter(keys, np.True_, context)
+            yield _batch(True, keys, n, m, None)
+            yield _batch(False, *(lambda k, c, s: (k, c, c, s))(*_folded(parent, keys, n, None)))
+
+    return saved(_dealt(partial, context).mapInArrow(run, _ROW))
 
-def log_table(index: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """log10 probability of every (context, byte) under the weighted tree of the given counts."""
-    order = np.argsort(index)
-    index, count = index[order], count[order]
-    fine = index >> 8 & 63
-    per_fine = []
-    for k1 in range(64):  # one class of the last byte at a time
-        own = fine == k1
-        dense = np.zeros((32, 32, 256))
-        if own.any():
-            np.add.at(dense, (index[own] >> 19, index[own] >> 14 & 31, index[own] & 255), count[own])
-        per_fine.append(dense if own.any() else None)
-    level1 = np.stack([np.zeros(256) if d is None else d.sum((0, 1)) for d in per_fine])
-    z0, o0 = _bits(level1.sum(0))
-    z1, o1 = _bits(level1)
-    e1 = _kt_block(z1, o1)
-    kept = []
-    for k1, d in enumerate(per_fine):
-        if d is None:
-            kept.append(None)
+
+def _summed(batches, context: int):
+    """Whole groups with equal grams summed, however many tasks counted them."""
+    held = None
+    for batch in batches:
+        keys, n, m = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "m"))
+        if not len(keys):
             continue
-        z3, o3 = _bits(d)
-        z2, o2 = _bits(d.sum(0))
-        e2 = _kt_block(z2, o2)
-        w2 = np.logaddexp(_HALF + e2, _HALF + _kt_block(z3, o3).sum(0))
-        kept.append((e2, w2))
-    w1 = np.stack([np.logaddexp(_HALF + e1[k], _HALF + (0.0 if kept[k] is None else kept[k][1].sum(0))) for k in range(64)])
-    e0 = _kt_block(z0, o0)
-    w0 = np.logaddexp(_HALF + e0, _HALF + w1.sum(0))
-    stop = lambda e, w: np.exp(np.minimum(0.0, _HALF + e - w))
-    kt = lambda z, o: (o + 0.5) / (z + o + 1)
-    byte = np.arange(256)
-    out = np.empty((32, 32, 64, 256), np.float32)
-    s0 = stop(e0, w0)
-    for k1, d in enumerate(per_fine):
-        if d is None:
-            d, e2, w2 = np.zeros((1, 1, 256)), np.zeros((1, 255)), np.zeros((1, 255))
-        else:
-            e2, w2 = kept[k1]
-        z3, o3 = _bits(d)
-        z2, o2 = _bits(d.sum(0))
-        s1, s2 = stop(e1[k1], w1[k1]), stop(e2, w2)
-        p = s2 * kt(z2, o2) + (1 - s2) * kt(z3, o3)
-        p = s1 * kt(z1[k1], o1[k1]) + (1 - s1) * p
-        p = s0 * kt(z0, o0) + (1 - s0) * p
-        one, zero = np.log10(p), np.log10(1 - p)
-        total = np.zeros((*d.shape[:2], 256))
-        for level in range(8):
-            node = (1 << level) - 1 + (byte >> (8 - level))
-            total += np.where(byte >> (7 - level) & 1, one[..., node], zero[..., node])
-        out[:, :, k1, :] = total
-    return out.reshape(-1)
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """(kind, key, n): contexts with bytes, word hashes and texts of the rows, one partial sum a task."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+        if held is not None:
+            keys, n, m = (np.concatenate(x) for x in zip(held, (keys, n, m)))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))  # sorted: equal grams stand together
+        held = keys[first], np.add.reduceat(n, first), np.add.reduceat(m, first)
+        if len(first) >= STEP:
+            parent = _shorter(held[0], np.True_, context)
+            cut = int(np.searchsorted(parent, parent[-1]))
+            if cut:
+                yield pa.table(dict(zip(("key", "n", "m"), (x[:cut] for x in held))))
+                held = tuple(x[cut:] for x in held)
+    if held is not None:
+        yield pa.table(dict(zip(("key", "n", "m"), held)))
+
+
+def _folded_up(rows: DataFrame, depth: int) -> DataFrame:
+    """From grams of a depth those of the next shorter contexts."""
+
+    def run(batches):
+        for table in _groups(batches, depth, 1):
+            keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            shorter, counts, sums = _folded(_shorter(keys, np.True_, depth), keys, n, _values(table, float))
+            yield _batch(True, shorter, counts, counts, sums)
 
-    def batch_of(kind, key, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=schema.names)
+    return saved(_dealt(rows, depth).mapInArrow(run, _ROW))
 
-    def summed(keys, ns):
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(inverse, np.concatenate(ns), len(key)).astype(np.int64)
+
+def _handed_down(rows: DataFrame, above: DataFrame | None, depth: int, last: bool) -> DataFrame:
+    """Mixtures of the grams of a depth, given those of the depth above; at full depth log10 probabilities (key, m, p)."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("m", T.LongType()), T.StructField("p", T.DoubleType())]) if last else _ROW
 
     def run(batches):
-        dense = np.zeros(1 << 24, np.int64)
-        keys, ns, waiting, texts = [], [], 0, 0
+        for table in _groups(batches, depth, 1):
+            child = table.column("child").to_numpy()
+            whole, own = table.filter(pa.array(~child)), table.filter(pa.array(child))
+            keys, n, m = (own.column(c).to_numpy() for c in ("key", "n", "m"))
+            given, left = np.zeros((len(keys), 8)), np.ones((len(keys), 8))
+            if depth:
+                wanted = _shorter(keys, np.True_, depth) << 8 | keys & 255
+                handed = _values(whole, np.float32)[np.searchsorted(whole.column("key").to_numpy(), wanted)]
+                given, left = handed[:, :8].astype(float), handed[:, 8:].astype(float)
+            given, left = _mixed(keys, n, None if last else _values(own, float), given, left)
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(m), pa.array(np.log10(given).sum(1))], names=schema.names)
+            else:
+                yield _batch(False, keys, n, m, np.concatenate([given, left], axis=1).astype(np.float32))
+
+    both = rows if above is None else rows.unionByName(above)
+    return saved(_dealt(both, depth).mapInArrow(run, schema))
+
+
+def gram_scores(partial: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(key, m, p): every gram with its occurrences and its log10 probability under the weighted tree.
+
+    partial: (key, n, m) in any number of parts; n counts training texts, m all that will be scored.
+    """
+    first = _summed_up(partial.withColumns({"child": F.lit(True), "v": F.lit(None).cast("binary")}), context)
+    levels = {context: first.where("child"), context - 1: first.where("NOT child").withColumn("child", F.lit(True))}
+    for depth in range(context - 1, 0, -1):
+        levels[depth - 1] = _folded_up(levels[depth], depth)
+    above = None
+    for depth in range(context + 1):
+        above = _handed_down(levels[depth], above, depth, depth == context)
+    return above
+
+
+def _partial_sums(batches_of_arrays):
+    """Sums of (keys, n, m) arrays by key, given out whenever many keys are held."""
+
+    def summed(parts):
+        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+
+    held, waiting = [], 0
+    for part in batches_of_arrays:
+        held.append(part)
+        waiting += len(part[0])
+        if waiting > 1 << 21:
+            whole = summed(held)
+            if len(whole[0]) > 1 << 20:
+                yield whole
+                held, waiting = [], 0
+            else:
+                held, waiting = [whole], len(whole[0])
+    if held:
+        yield summed(held)
+
+
+def _counted_grams(rows: DataFrame, context: int) -> DataFrame:
+    """Partial (key, n, m) of the rows' grams: n in training texts, m in all."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "m")])
+
+    def parts(batches):
         for batch in batches:
             for lo, hi in chunks(batch.column(0)):
                 chunk = Chunk(batch.column(0).slice(lo, hi - lo))
-                np.add.at(dense, grams(chunk.data, chunk.offsets)[0], 1)
-                lowered = LOWER[chunk.data]
-                starts, ends, _ = word_spans(lowered, chunk.offsets)
-                key, n = np.unique(span_hashes(lowered, starts, ends).view(np.int64), return_counts=True)
-                keys.append(key)
-                ns.append(n)
-                waiting += len(key)
-                texts += len(chunk)
-                if waiting > 1 << 20:
-                    key, n = summed(keys, ns)
-                    if len(key) > 1 << 19:
-                        yield batch_of(WORD, key, n)
-                        keys, ns, waiting = [], [], 0
-                    else:
-                        keys, ns, waiting = [key], [n], len(key)
-        if keys:
-            yield batch_of(WORD, *summed(keys, ns))
-        key = np.flatnonzero(dense)
-        yield batch_of(GRAM, key, dense[key])
-        yield batch_of(TEXTS, np.zeros(1), np.full(1, texts))
+                keys, at = grams(chunk.data, chunk.offsets, context)
+                trains = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                one, inverse = np.unique(keys, return_inverse=True)
+                yield one, np.bincount(inverse, np.repeat(trains, np.diff(at)), len(one)), np.bincount(inverse, minlength=len(one))
+
+    def run(batches):
+        for keys, n, m in _partial_sums(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(m)], names=schema.names)
+
+    ship_package(rows.sparkSession)
+    return rows.select("text", "train").mapInArrow(run, schema)
+
+
+def _counted_words(rows: DataFrame) -> DataFrame:
+    """(kind, key, n): word hashes and texts of the rows."""
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        texts = 0
+
+        def parts():
+            nonlocal texts
+            for batch in batches:
+                for lo, hi in chunks(batch.column(0)):
+                    chunk = Chunk(batch.column(0).slice(lo, hi - lo))
+                    lowered = LOWER[chunk.data]
+                    starts, ends, _ = word_spans(lowered, chunk.offsets)
+                    keys, n = np.unique(span_hashes(lowered, starts, ends).view(np.int64), return_counts=True)
+                    texts += len(chunk)
+                    yield keys, n, n
+
+        rows_of = lambda kind, keys, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=schema.names)
+        for keys, n, _ in _partial_sums(parts()):
+            yield rows_of(WORD, keys, n)
+        yield rows_of(TEXTS, np.zeros(1, np.int64), np.array([texts]))
 
     ship_package(rows.sparkSession)
     return rows.mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _least_frequent(df: DataFrame, count: str, room: int) -> tuple[float, list]:
+    """The least count such that at most ``room`` keys reach it (counts by quarters of a power of two), and those sums."""
+    steps = df.where(F.col(count) > 0).groupBy(F.floor(4 * F.log2(count)).alias("b")).agg(F.count("*").alias("k"), F.sum(count).alias("s")).collect()  # at most 256
+    least = max((r.b for r in steps), default=0) + 1
+    for r in sorted(steps, key=lambda r: -r.b):
+        if r.k > room:
+            break
+        room, least = room - r.k, r.b
+    if all(r.b >= least for r in steps):
+        least = -1
+    return least, steps
+
+
 def held_out(id_col: str = "doc_id", parts: int = 7) -> Column:
     """crc32 of the id as text leaves 2 modulo ``parts``; false where the id is null."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == 2, F.lit(False))
@@ -202,68 +335,79 @@ def _pairs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column(0).to_numpy(), table.column(1).to_numpy()
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, frequent_words: int = FREQUENT_WORDS, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``training`` tells the rows to learn from. score is the tree's log10 probability of the text with its
     end, base_score that of the add-one unigram over words and the end. Null texts count as empty; without
     training rows the estimates are those of empty counts. Repeated rows count each time and are scored
-    alike; words are known by 64-bit hashes.
+    alike; empty docs give no rows; other columns are not read; words are known by 64-bit hashes, grams
+    exactly. frequent_words and frequent_grams change only what is broadcast and what is joined.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    counts = saved(_counted(rows.where("train").select("text")))
+    counts = saved(_counted_words(rows.where("train").select("text")))
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
-    by_size = {r.b: (r.k, r.s) for r in words.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()}
-    total, distinct = texts + sum(s for _, s in by_size.values()), (texts > 0) + sum(k for k, _ in by_size.values())
-    least, room = max(by_size, default=0) + 1, FREQUENT_WORDS
-    while least > 0 and by_size.get(least - 1, (0, 0))[0] <= room:
-        room -= by_size.get(least - 1, (0, 0))[0]
-        least -= 1
-    frequent = spark.sparkContext.broadcast(_pairs(words.where(F.col("n") >= 2**least)))  # at most FREQUENT_WORDS
-    model = spark.sparkContext.broadcast(_pairs(counts.where(F.col("kind") == GRAM)))  # at most 2^24, by construction
-    name = uuid.uuid4().hex
+    least_word, by_size = _least_frequent(words, "n", frequent_words)
+    total, distinct = texts + sum(r.s for r in by_size), (texts > 0) + sum(r.k for r in by_size)
+    model = gram_scores(_counted_grams(rows, context), context)
+    least_gram, _ = _least_frequent(model, "m", frequent_grams)
+    at_least = lambda count, least: F.floor(4 * F.log2(count)) >= least
+    frequent = spark.sparkContext.broadcast(_sorted_pairs(words.where(at_least("n", least_word)).select("key", "n")))
+    known = spark.sparkContext.broadcast(_sorted_pairs(model.where(at_least("m", least_gram)).select("key", F.col("p").cast("float"))))
     unit = math.log10(total + distinct + 1)
     end_score = math.log10(texts + 1) - unit
 
+    def found(keys, values, wanted):
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[place] == wanted
+        return hit, np.where(hit, values[place], 0.0)
+
+    def lists(one, inverse, hit, borders):
+        rare = np.flatnonzero(~hit[inverse])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, borders).astype(np.int32)), pa.array(one[inverse[rare]]))
+
     def make():
-        if name not in _built:
-            _built.clear()
-            _built[name] = log_table(*model.value)
-        table = _built[name]
-        key, n = frequent.value
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        worth = np.log10(n + 1.0) - unit
+        word_keys, word_counts = frequent.value
+        worth = np.log10(word_counts + 1.0) - unit
 
         def step(chunk, batch):
-            index, at = grams(chunk.data, chunk.offsets)
-            score = np.add.reduceat(table[index].astype(np.float64), at[:-1])
+            keys, at = grams(chunk.data, chunk.offsets, context)
+            one, inverse = np.unique(keys, return_inverse=True)
+            hit, value = found(*known.value, one)
+            score, gram_tail = np.add.reduceat(value[inverse], at[:-1]), lists(one, inverse, hit, at)
             lowered = LOWER[chunk.data]
             starts, ends, first = word_spans(lowered, chunk.offsets)
             one, inverse = np.unique(span_hashes(lowered, starts, ends).view(np.int64), return_inverse=True)
-            place = np.minimum(np.searchsorted(key, one), max(len(key) - 1, 0))
-            known = key[place] == one if len(key) else np.zeros(len(one), bool)
-            value = np.where(known, worth[place], 0.0) if len(key) else np.zeros(len(one))
+            hit, value = found(word_keys, worth, one)
             running = np.concatenate([[0.0], np.cumsum(value[inverse])])
-            hits = np.concatenate([[0], np.cumsum(known[inverse])])
-            rare = np.flatnonzero(~known[inverse])
-            borders = np.searchsorted(rare, first)
-            tail = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(one[inverse[rare]]))
-            n_words = np.diff(first)
-            return {"n_tokens": n_words + 1, "n_frequent": hits[first[1:]] - hits[first[:-1]], "base": running[first[1:]] - running[first[:-1]] + end_score, "score": score, "bits_per_byte": -score / math.log10(2) / np.diff(at), "tail": tail}
+            hits = np.concatenate([[0], np.cumsum(hit[inverse])])
+            return {
+                "n_tokens": np.diff(first) + 1, "n_frequent": hits[first[1:]] - hits[first[:-1]], "base": running[first[1:]] - running[first[:-1]] + end_score,
+                "part": score, "n_bytes": np.diff(at), "tail": lists(one, inverse, hit, first), "gram_tail": gram_tail,
+            }
 
         return step
 
-    kinds = [("n_tokens", T.LongType()), ("n_frequent", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()), ("tail", T.ArrayType(T.LongType()))]
+    kinds = [("n_tokens", T.LongType()), ("n_frequent", T.LongType()), ("base", T.DoubleType()), ("part", T.DoubleType()), ("n_bytes", T.LongType()), ("tail", T.ArrayType(T.LongType())), ("gram_tail", T.ArrayType(T.LongType()))]
     partly = saved(map_texts(rows, "text", make, T.StructType([T.StructField(*k) for k in kinds]), ["id", "train"]).withColumn("row", F.monotonically_increasing_id()))
-    tail = partly.select("row", F.explode("tail").alias("key")).groupBy("key", "row").agg(F.count("*").alias("c"))
-    rare = words.where(F.col("n") < 2**least)
-    worth = F.col("c") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(unit))
-    tail = tail.join(rare, "key", "left").groupBy("row").agg(F.sum(worth).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("tail_known"))
-    end_known = F.lit(1 if texts else 0)
-    return partly.drop("tail").join(tail, "row", "left").select(
-        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_frequent") + F.coalesce("tail_known", F.lit(0)) + end_known).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+    rare_words = words.where(~at_least("n", least_word)).select("key", "n")
+    tail = partly.select("row", F.explode("tail").alias("key")).join(rare_words, "key", "left")
+    tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(unit)).alias("tail_score"), F.count("n").alias("tail_known"))
+    gram_tail = partly.select("row", F.explode("gram_tail").alias("key")).join(model.where(~at_least("m", least_gram)).select("key", "p"), "key").groupBy("row").agg(F.sum("p").alias("gram_score"))
+    score = F.col("part") + F.coalesce("gram_score", F.lit(0.0))
+    return partly.drop("tail", "gram_tail").join(tail, "row", "left").join(gram_tail, "row", "left").select(
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_frequent") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if texts else 0)).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def _sorted_pairs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order with their values, on the driver: at most FREQUENT_WORDS or FREQUENT_GRAMS rows."""
+    table = df.toArrow()
+    keys, values = table.column(0).to_numpy(), table.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]

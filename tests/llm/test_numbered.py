@@ -151,59 +151,83 @@ def test_language_model(spark, folder):
         assert sum(r.bits_per_byte for r in held) / len(held) < 3.2  # bytes without contexts take 4.3
 
 
-def test_rare_words_are_joined(spark, monkeypatch):
-    want = {r.doc_id: r for r in catalogue.op4_language_model(spark, SMALL).collect()}
-    monkeypatch.setattr(byte_model, "FREQUENT_WORDS", 50)
-    for r in catalogue.op4_language_model(spark, SMALL).collect():
-        w = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.score) == (w.n_tokens, w.n_known, w.score) and math.isclose(r.base_score, w.base_score)
-
-
-def test_context_tree_by_recursion():
-    """Table against a tree that is walked node by node."""
-    import random
-
-    import numpy as np
-
-    rng = random.Random(5)
-    data = np.array([rng.choice([97, 98, 32, 0xC3, 0xA9]) for _ in range(300)], np.uint8)
-    index, _ = byte_model.grams(data, np.array([0, 100, 300]))
-    key, n = np.unique(index, return_counts=True)
-    table = byte_model.log_table(key, n)
+def _tree_scores(docs, context):
+    """log10 probability of every text, walking the context trees node by node."""
     zeros, ones, children = Counter(), Counter(), defaultdict(set)
-    paths = lambda i: [(), (i >> 8 & 63,), (i >> 8 & 63, i >> 14 & 31), (i >> 8 & 63, i >> 14 & 31, i >> 19)]
-    for i in index.tolist():
-        for level in range(8):
-            node, bit = (level, (i & 255) >> (8 - level)), i >> (7 - level) & 1
-            for p in paths(i):
-                (ones if bit else zeros)[node, p] += 1
-                if p:
-                    children[node, p[:-1]].add(p)
+
+    def decisions(text):
+        raw = b"\xff" * context + (text or "").translate(brute.LOWER).encode() + b"\xff"
+        for i in range(context, len(raw)):
+            paths = [raw[i - d : i] for d in range(context + 1)]
+            for level in range(8):
+                yield (level, raw[i] >> (8 - level)), paths, raw[i] >> (7 - level) & 1
+
+    for d, text in docs:
+        if not brute.held_out(d, 7):
+            for node, paths, bit in decisions(text):
+                for p in paths:
+                    (ones if bit else zeros)[node, p] += 1
+                    if p:
+                        children[node, p[1:]].add(p)
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
 
     def weight(node, p):
-        own = kt(zeros[node, p], ones[node, p])
-        if len(p) == 3:
-            return own
-        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weight(node, c) for c in children[node, p]))
-
-    def bit_probability(node, path, bit):
-        p = None
-        for c in reversed(path):
+        if (node, p) not in memo:
+            own = kt(zeros[node, p], ones[node, p])
+            longer = own if len(p) == context else sum(weight(node, c) for c in children[node, p])
+            top = max(own, longer)
+            memo[node, p] = top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(longer - top))
+        return memo[node, p]
+
+    def probability(node, paths, bit):
+        p = 0.5
+        for c in reversed(paths):
             a, b = zeros[node, c], ones[node, c]
             own = ((b if bit else a) + 0.5) / (a + b + 1)
-            if p is None:
-                p = own
-            else:
-                stop = math.exp(math.log(0.5) + kt(a, b) - weight(node, c))
-                p = stop * own + (1 - stop) * p
+            stop = 1.0 if len(c) == context else math.exp(math.log(0.5) + kt(a, b) - weight(node, c))
+            p = stop * own + (1 - stop) * p
         return p
 
-    for i in [*rng.sample(index.tolist(), 12), 12345]:
-        want = sum(math.log10(bit_probability((level, (i & 255) >> (8 - level)), paths(i), i >> (7 - level) & 1)) for level in range(8))
-        assert abs(table[i] - want) < 1e-4
-    whole = table.reshape(-1, 256)[[0, index[0] >> 8, index[50] >> 8]].astype(float)
-    assert np.allclose((10**whole).sum(1), 1, atol=1e-4)
+    return {d: sum(math.log10(probability(*x)) for x in decisions(text)) for d, text in docs}
+
+
+@pytest.mark.parametrize("context, frequent", [(6, 1 << 22), (6, 60), (2, 60)])
+def test_context_trees_by_recursion(spark, context, frequent):
+    texts = [r.text[:160] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").where("text IS NOT NULL").limit(25).collect()]
+    docs = list(enumerate([*texts, None, "", "É ß \U0001f600", "aaaa" * 30, texts[0]]))
+    want = _tree_scores(docs, context)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in byte_model.score_texts(df, ~byte_model.held_out(), context=context, frequent_grams=frequent, frequent_words=5).collect()}
+    whole = {r.doc_id: r for r in byte_model.score_texts(df, ~byte_model.held_out()).collect()}
+    for d, w in want.items():
+        assert math.isclose(got[d].score, w, rel_tol=1e-6), (d, got[d].score, w)
+        assert got[d].n_known == whole[d].n_known and math.isclose(got[d].base_score, whole[d].base_score)
+
+
+def test_groups_of_contexts_stay_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_model, "STEP", 50)
+    rng = np.random.default_rng(2)
+    parent = np.sort(rng.integers(0, 40, 2_000))
+    keys = np.sort((parent << 8) | rng.integers(0, 256, 2_000))  # of depth 1 above, so the parent is key >> 8
+    ones = np.ones(len(keys), np.int64)
+    whole = byte_model._batch(False, keys, ones, ones, None)
+    batches = [whole.slice(i, 7) for i in range(0, len(keys), 7)]
+    seen, done = [], set()
+    for table in byte_model._groups(batches, 2, 1):
+        now = set((table.column("key").to_numpy() >> 8).tolist())
+        assert not now & done
+        done |= now
+        seen += table.column("key").to_pylist()
+    assert seen == keys.tolist()
+    twice = [byte_model._batch(True, np.sort(np.concatenate([keys << 8] * 2)), np.concatenate([ones] * 2), np.concatenate([ones] * 2), None).slice(i, 7) for i in range(0, 4_000, 7)]
+    summed = [t for t in byte_model._summed(twice, 2)]
+    distinct, times = np.unique(keys << 8, return_counts=True)
+    assert np.array_equal(np.concatenate([t.column("key").to_numpy() for t in summed]), distinct)
+    assert np.array_equal(np.concatenate([t.column("n").to_numpy() for t in summed]), 2 * times)
 
 
 def test_quality(spark, folder):
