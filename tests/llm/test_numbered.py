@@ -358,16 +358,99 @@ def test_language(spark, folder):
         assert sum(r.lang_pred == info[r.doc_id].lang for r in held) >= 0.95 * len(held)
 
 
-def test_bundle_binds_rotated_letters():
+def _plain_languages(docs):
+    """{id: (language, score)} by vectors of plus and minus one, one trigram after the other."""
+    import unicodedata
+    from functools import cache
+
+    import numpy as np
+
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ x >> shift) * times) & mask
+        return x ^ x >> 31
+
+    @cache
+    def letter(c):
+        seed = mixed((c * 0x9E3779B97F4A7C15 + 4096) & mask)
+        lanes = [mixed((seed + k * 0xD6E8FEB86659FD93) & mask) for k in range(1, 65)]
+        return np.array([-1.0 if lanes[d // 64] >> d % 64 & 1 else 1.0 for d in range(4096)])
+
+    @cache
+    def trigram(a, b, c):
+        return np.roll(letter(a), 128) * np.roll(letter(b), 64) * letter(c)
+
+    def bundle(text):
+        kinds = [ord(c.lower()[0]) if unicodedata.category(c)[0] in "LM" else 0 for c in text or ""]
+        x = [0]
+        for k in [*kinds, 0]:
+            if k or x[-1]:
+                x.append(k)
+        found = [trigram(*x[i - 1 : i + 2]) for i in range(1, len(x) - 1) if x[i]]
+        return sum(found, np.zeros(4096)), len(found)
+
+    sums = {}
+    for d, text, lang in docs:
+        if lang is not None and text is not None and not brute.held_out(d, 4):
+            v, n = bundle(text)
+            if n:
+                sums[lang] = sums.get(lang, 0) + v / math.sqrt(n)
+    names = sorted(sums)
+    unit = lambda v: v / np.linalg.norm(v)
+    protos = [unit(sums[n]) for n in names]
+    if len(names) > 1:
+        middle = sum(protos) / len(protos)
+        protos = [unit(p - middle) for p in protos]
+    out = {}
+    for d, text, _ in docs:
+        v, n = bundle(text)
+        if not names or not any(c.isalpha() for c in text or ""):
+            out[d] = ("und", 0.0)
+        else:
+            cosines = [float(unit(v) @ p) for p in protos]
+            best = max(range(len(names)), key=lambda i: (cosines[i], -i))
+            out[d] = (names[best], min(1.0, max(0.0, (1 + cosines[best]) / 2)))
+    return out
+
+
+def test_language_by_plain_vectors(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    scripts = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "的一是不了人我在有他这中大来上国", "hi": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसहािीुूेैोौ्", "xx": "abcdefghij", "yy": "hijklmnopq"}
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(30)] for lang, letters in scripts.items()}
+    docs = []
+    for i in range(90):
+        lang = list(scripts)[i % 6]
+        words = [rng.choice(vocabulary[lang]) for _ in range(rng.randrange(3, 25))]
+        docs.append((i, (" " if i % 2 else "--").join(words).title(), lang))
+    docs += [(100, None, "el"), (101, "12 !", "ru"), (102, "\U00010400\U00010428 \U0001f600", None), (103, "a", None), (104, "é" * 5000, "xx"), (105, "\u0301", None)]
+    want = _plain_languages(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df.where(~language_id.held_out()))
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for d, (lang, score) in want.items():
+        assert got[d].lang_pred == lang and math.isclose(got[d].score, score, abs_tol=1e-5), (d, got[d], lang, score)
+    assert sum(got[d].lang_pred == lang for d, _, lang in docs[:90]) >= 88
+    with pytest.raises(ValueError):
+        language_id.train(df, max_languages=3)
+
+
+def test_bundles_do_not_depend_on_blocks(monkeypatch):
     import numpy as np
 
-    rng = np.random.default_rng(512).choice(np.array([-1, 1], np.int8), (language_id.CLASSES, language_id.DIMENSIONS)).astype(float)
-    x = [0, 1, 2, 0]  # "ab" between gaps
-    want = sum(np.roll(rng[x[i]], 2) * np.roll(rng[x[i + 1]], 1) * rng[x[i + 2]] for i in range(2))
-    assert np.allclose(language_id.bundle(np.array([1, 2])), want)
+    rng = np.random.default_rng(0)
+    text, grams, n = rng.integers(0, 7, 400), rng.integers(1 << 42, 1 << 60, 60)[rng.integers(0, 60, 400)], rng.integers(1, 5, 400)
+    project = rng.normal(size=(language_id.DIMENSIONS, 3))
+    want = language_id.bundled(text, grams, n, 8), language_id.bundled(text, grams, n, 8, project)
+    for name, value in (("TEXTS", 2), ("GRAMS", 5), ("SLICE", 512)):
+        monkeypatch.setattr(language_id, name, value)
+    assert np.allclose(language_id.bundled(text, grams, n, 8), want[0])
+    assert all(np.allclose(a, b) for a, b in zip(language_id.bundled(text, grams, n, 8, project), want[1]))
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 40])
 def test_decontamination(spark, folder, shard_bytes):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
