@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 #: Pieces and runs that a worker remembers; beyond them it starts anew (speed only).
-CACHE = 500_000
+CACHE = 700_000
 _SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 _NEVER = 1 << 60
@@ -51,8 +51,8 @@ class PrefixTables:
         specials = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
-        vocab = model["vocab"]
-        self.size = len(vocab) + 1
+        vocab = {s: t + 1 for s, t in model["vocab"].items()}  # 0 stands for no token
+        self.size = max(vocab.values()) + 1
         self.left, self.right, self.rank = {}, {}, {}
         self.made = dict.fromkeys(vocab.values(), -1)
         for rank, pair in enumerate(model["merges"]):
@@ -61,12 +61,15 @@ class PrefixTables:
             self.rank[vocab[a] * self.size + vocab[b]] = rank
             self.left[whole], self.right[whole], self.made[whole] = vocab[a], vocab[b], rank
         whole = lambda t: self.made[t] < 0 or self._reached(t)
-        self.inner = {s: t for s, t in vocab.items() if not s.endswith(suffix) and whole(t)}
-        self.closing = {s[: -len(suffix)]: t for s, t in vocab.items() if s.endswith(suffix) and whole(t)}
-        self.longest = max(map(len, (*self.inner, *self.closing)))
+        inner = {s: t for s, t in vocab.items() if not s.endswith(suffix) and whole(t)}
+        closing = {s[: -len(suffix)]: t for s, t in vocab.items() if s.endswith(suffix) and whole(t)}
+        #: letters -> (token inside a run, token that closes it); 0 where there is none
+        self.tokens = {s: (inner.get(s, 0), closing.get(s, 0)) for s in (*inner, *closing)}
+        self.longest = max(map(len, self.tokens))
         self.ascii_runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
         self.pairs: dict[int, bool] = {}
         self.runs: dict[str, list[int]] = {}
+        self.totals: dict[str, int] = {}
         self.pieces: dict[bytes, int] = {}
         self.of_letter: dict[str, str] = {}
 
@@ -120,35 +123,60 @@ class PrefixTables:
             found = self.pairs[key] = self._survives(a, b)
         return found
 
-    def _grown(self, run: str, begin: int, last: list[int], count: list[int], whole: bool = True) -> list[int]:
+    def _grown(self, run: str, begin: int, last: list[int], count: list[int], whole: bool = True, first_closed: int = 1) -> list[int]:
         """Closed counts of the run's prefixes longer than ``begin``; last and count (open ends) grow with them.
 
         They hold an entry for each prefix up to ``begin``; ``whole`` tells that index 0 is the run's start.
+        Prefixes shorter than first_closed get only their open end, from which the longer ones follow.
         """
-        inner, closing, longest, stable, table = self.inner, self.closing, self.longest, self._stable, []
+        tokens, longest, size, pairs, table = self.tokens, self.longest, self.size, self.pairs, []
+        shifted = [t * size for t in last]
         for end in range(begin + 1, len(run) + 1):
             open_end = closed = 0
-            for start in range(max(0, end - longest), end):
-                part, first = run[start:end], whole and not start
-                if not closed and (t := closing.get(part)) is not None and (first or stable(last[start], t)):
-                    closed = count[start] + 1
-                if not open_end and (t := inner.get(part)) is not None and (first or stable(last[start], t)):
-                    open_end = count[start] + 1
-                    last.append(t)
-                if closed and open_end:
+            close = end >= first_closed
+            for start in range(end - longest if end > longest else 0, end):
+                found = tokens.get(run[start:end])
+                if found is None:
+                    continue
+                t, closing = found
+                if whole and not start:
+                    open_end, closed, new = t and 1, closing and 1, t
+                else:
+                    at = shifted[start]
+                    if t and not open_end:
+                        ok = pairs.get(at + t)
+                        if self._stable(last[start], t) if ok is None else ok:
+                            open_end, new = count[start] + 1, t
+                    if close and closing and not closed:
+                        ok = pairs.get(at + closing)
+                        if self._stable(last[start], closing) if ok is None else ok:
+                            closed = count[start] + 1
+                if open_end and (closed or not close):
                     break
+            last.append(new)
+            shifted.append(new * size)
             count.append(open_end)
-            table.append(closed)
+            if close:
+                table.append(closed)
         return table
 
+    def run_total(self, run: str) -> int:
+        """Tokens of a whole run: the last entry of its table, made without the closed counts before it."""
+        n = self.totals.get(run)
+        if n is None:
+            if len(self.totals) > CACHE:
+                self.totals.clear()
+            n = self.totals[run] = self._grown(run, 0, [0], [0], True, len(run))[-1]
+        return n
+
     def run_table(self, run: str) -> list[int]:
         """Token counts of the prefixes of a run (byte letters), each closed as a word; the first is for one letter."""
         table = self.runs.get(run)
         if table is None:
             table = self._grown(run, 0, [0], [0])
             if run in _CONTRACTIONS:  # cut before its end, it is an apostrophe and a letter
-                table[1] = self.run_table(run[0])[-1] + self.run_table(run[1])[-1]
-            if len(self.runs) > CACHE:
+                table[1] = self.run_total(run[0]) + self.run_total(run[1])
+            if len(self.runs) > CACHE // 10:
                 self.runs.clear()
             self.runs[run] = table
         return table
@@ -162,7 +190,7 @@ class PrefixTables:
         return low, [(run, *place) for run, place in self.split_runs(low)]
 
     def _plain_total(self, piece: str) -> int:
-        return sum(self.run_table(run)[-1] for run, _, _ in self._normal_runs(piece)[1])
+        return sum(self.run_total(run) for run, _, _ in self._normal_runs(piece)[1])
 
     def _normal_table(self, low: str, runs: list) -> list[int]:
         """Token counts of the prefixes of a normalised text, one for each code point."""
@@ -206,14 +234,14 @@ class PrefixTables:
                 tail = self.normalize(piece[begin:cut])
                 run = bisect_left(starts, at) - 1  # the run behind which the cluster stands
                 if run < 0 or runs[run][2] < at:
-                    out.append((table[at - 1] if at else 0) + sum(self.run_table(r)[-1] for r, _, _ in self._normal_runs(tail)[1]))
+                    out.append((table[at - 1] if at else 0) + self._plain_total(tail))
                     continue
                 letters, start, _ = runs[run]
                 near = max(start, at - 4)  # enough to tell what the runs are
                 parts = self._normal_runs(low[near:at] + tail)[1]
-                n = (table[start - 1] if start else 0) + sum(self.run_table(r)[-1] for r, _, _ in parts[1:])
+                n = (table[start - 1] if start else 0) + sum(self.run_total(r) for r, _, _ in parts[1:])
                 if near == start:
-                    n += self.run_table(parts[0][0])[-1]
+                    n += self.run_total(parts[0][0])
                 else:
                     if run != k:
                         k, states = run, ([0], [0])
