@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from .common import Chunk, chunks, map_texts, saved, ship_package
 from .textkit import LOWER, span_hashes, word_spans
 
-CONTEXT, END, WORD, TEXTS = 6, 0xFF, 1, 2
+CONTEXT, END, WORD, TEXTS = 5, 0xFF, 1, 2
 #: Words and grams that are broadcast with their numbers (16 and 12 bytes each); rarer ones are joined.
 FREQUENT_WORDS, FREQUENT_GRAMS = 1 << 19, 1 << 22
 #: Rows that a step of the tree takes at once; a group under one context has at most 2^16 grams.
 STEP = 1 << 16
+#: Distinct keys that a counting task holds before it gives their sums out (24 bytes each, thrice while summing).
+HELD = 1 << 21
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +255,9 @@ def _partial_sums(batches_of_arrays):
     for part in batches_of_arrays:
         held.append(part)
         waiting += len(part[0])
-        if waiting > 1 << 21:
+        if waiting > 2 * HELD:
             whole = summed(held)
-            if len(whole[0]) > 1 << 20:
+            if len(whole[0]) > HELD:
                 yield whole
                 held, waiting = [], 0
             else:
