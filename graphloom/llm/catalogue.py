@@ -49,7 +49,7 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.judged(_documents(spark, sf_dir).select("doc_id", "text"))
+    rows = quality.judged(_documents(spark, sf_dir).select("doc_id", "text"), with_features=True)
     q = rows.select("doc_id", "quality.*", "rejected_by")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))

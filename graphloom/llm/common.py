@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -21,21 +23,68 @@ WORDS_JAVA = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset and the master is local, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables saved inside are deleted at the end, unless they were saved with ``keep``."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            drop_folder(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, through the file system that it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table: lineage ends here."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not keep and (paths := _scratch.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, parts: int = 512) -> DataFrame:
+    """rows joined with a table of one row for each key, of which ``count`` tells how many rows have it.
+
+    Keys of more than one row in ``parts`` (so fewer than ``parts`` keys) are broadcast and their rows stay
+    where they are; the rows of all other keys are dealt by key. per_key is read thrice: give a saved table.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(per_key.where(F.col(count) * parts > total))
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(hot.select(*keys), key, "left_anti").join(per_key.where(F.col(count) * parts <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package's source to the executors, once for each Spark context."""
     context = spark.sparkContext
@@ -88,12 +137,13 @@ def map_texts(
     """Add columns computed from whole texts to the columns ``keep`` (all by default).
 
     ``make()`` runs once in each task and returns the function that maps a chunk and its rows to the
-    new columns. A new column replaces a kept one of the same name.
+    new columns. A new column replaces a kept one of the same name (letter case aside, as Spark compares).
     """
     ship_package(df.sparkSession)
-    keep = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    made_names = {n.lower() for n in new.names}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made_names]
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(df, "text")))
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept.schema.fields], *new.fields])
     arrow_new = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in new.fields])
     n = len(keep)
