@@ -5,25 +5,26 @@ MIN_DEPTH values form a region. A region of at most REGION sets is compared in f
 deepened, value by value, until its parts are that small, and there each set meets its neighbours of
 longest common prefix; besides, every set of a dense region meets the region's hub, the set whose labels
 are shared by most sets over all orders. Candidates are confirmed on full sets, and links are joined into
-components by star contraction. Where sets of one hub then still are in several components, those outside
-the largest are the query set of an exact comparison with all of the hub's sets, in blocks, so that
-deepening loses no link.
+components by star contraction. Where sets of a dense region then still are in several components, an
+exact join on their rarest shingles finds what deepening has missed, so that it loses no link.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, saved
+from .common import map_texts, saved, scratch, ship_package, split_join
 from .textkit import LOWER, U, mix, shingles, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, REGION, NEIGHBOURS = 20, 9, 4, 16, 3
-#: Sets on either side of an exact comparison's block.
-BLOCK = 256
+#: Sets on either side of an exact comparison's block, and counters of the shingles' frequencies (an order, never a filter).
+BLOCK, COUNTERS = 256, 1 << 20
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TREES * DEPTH, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
@@ -91,25 +92,25 @@ def _orders(classes: DataFrame) -> DataFrame:
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of classes that are neighbours in some order, with the number of orders; (hub, node) of dense regions."""
-    rows = _orders(classes)
-    regions = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    rows = saved(rows.join(regions, "region"))
+    orders = saved(_orders(classes))
+    regions = saved(orders.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = saved(split_join(orders, regions, "region", "n"))
     dense = rows.where(F.col("n") > REGION)
-    shared = dense.groupBy("region", "label").agg(F.count("*").alias("sharing"))
-    central = dense.join(shared, ["region", "label"]).groupBy("node").agg(F.sum("sharing").alias("central"))
-    hubs = dense.join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("central", "copies", -F.col("node"))).alias("hub"))
+    shared = saved(dense.groupBy("region", "label").agg(F.count("*").alias("sharing")))
+    central = split_join(dense, shared, ["region", "label"], "sharing").groupBy("node").agg(F.sum("sharing").alias("central"))
+    hubs = saved(dense.drop("n").join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("central", "copies", -F.col("node"))).alias("hub"), F.count("*").alias("n")))
     depths = F.array(*[F.struct(F.lit(d).alias("d"), F.xxhash64("region", F.substring("label", 1, 4 * d)).alias("part")) for d in range(1, DEPTH - MIN_DEPTH + 1)])
     deeper = dense.select("node", "region", "label", F.explode(depths).alias("x")).select("node", "region", "label", "x.*")
-    counts = deeper.groupBy("part").agg(F.count("*").alias("m"))
+    counts = saved(deeper.groupBy("part").agg(F.count("*").alias("m")))
     deepest = DEPTH - MIN_DEPTH
-    fits = deeper.join(counts, "part").where((F.col("m") <= REGION) | (F.col("d") == deepest))
+    fits = split_join(deeper, counts, "part", "m").where((F.col("m") <= REGION) | (F.col("d") == deepest))
     chosen = fits.groupBy("node", "region", "label").agg(F.min_by(F.struct("part", "m"), "d").alias("x"))
     # equal whole labels: parts of about REGION sets, dealt differently in each order; the hub joins the parts
     salt = F.when(F.col("x.m") > REGION, F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("x.m") / REGION))).otherwise(F.lit(0))
     near = chosen.select(F.xxhash64("x.part", salt).alias("region"), "label", "node")
     pairs = _pairs(rows.where(F.col("n") <= REGION).select("region", "label", "node"), REGION)
     pairs = pairs.union(_pairs(near, NEIGHBOURS))
-    around = saved(dense.join(hubs, "region").select("hub", "node").distinct())
+    around = saved(split_join(dense.select("region", "node"), hubs, "region", "n").select("hub", "node").distinct())
     star = around.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders")), around
 
@@ -124,17 +125,17 @@ def _pairs(rows: DataFrame, reach: int) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Large-star and small-star steps by turns, on tables in the shared folder; a hub's edges are only
-    ever grouped by a minimum and joined with one row.
+    Large-star and small-star steps by turns, on tables in the shared folder. A node's edges are grouped by
+    a minimum and joined with one row; the few nodes that hold most edges have that row broadcast.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = saved(split_join(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = split_join(large, low, "u", "n")
         edges = saved(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
@@ -152,17 +153,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _frequencies(members: DataFrame) -> np.ndarray:
+    """How often shingles stand in the sets, by counters that some shingles share: COUNTERS numbers, whatever the input."""
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            sums += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=schema.names)
+
+    ship_package(members.sparkSession)
+    table = members.select("members").mapInArrow(run, schema).groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    out = np.zeros(COUNTERS, np.int64)
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out
+
+
+def _rarest(members: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, root, size, short): of each set the rarest shingles, one of which a linked set must share.
+
+    Of two linked sets the smaller one shares one of its ``short`` shingles with those of the larger one.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(_frequencies(members))
+    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("node", T.LongType()), T.StructField("root", T.LongType()), T.StructField("size", T.LongType()), T.StructField("short", T.BooleanType())])
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            offsets, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, often[values & (COUNTERS - 1)], row))
+            place = np.arange(len(values)) - offsets[:-1][row]
+            taken = size - -(-percent * size // 100) + 1
+            short = size - -(-2 * percent * size // (100 + percent)) + 1
+            chosen = np.flatnonzero(place < taken[row])
+            row = row[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][chosen]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int64)), pa.array(place[chosen] < short[row])], names=schema.names)
+
+    return members.select("node", "root", "members").mapInArrow(run, schema)
+
+
 def _across(around: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components around one hub: for each set outside the largest, one to each other component."""
+    """Links between different components among the sets around mixed hubs: for each set, one to each other component.
+
+    Sets meet where they share one of their rarest shingles: those outside a shingle's largest component ask,
+    all are asked, in blocks, and only sets of about one size (no other can be linked) come together.
+    """
     own = saved(around.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")))
-    by_root = own.groupBy("hub", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("hub").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("k > 1")
-    rows = own.join(mixed, "hub").select("hub", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / BLOCK).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_asks"))
+    mixed = saved(own.groupBy("hub", "root").agg(F.count("*").alias("n")).groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1"))
+    members = saved(split_join(own, mixed, "hub", "n").select("node", "root").distinct().join(sets, "node"))
+    rare = saved(_rarest(members, percent))
+    by_root = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.count_if("short").alias("short"))
+    stats = by_root.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.sum("short").alias("n_short"))
+    stats = saved(stats.where("k > 1 AND n_short > 0").drop("k", "n_short"))
+    rows = split_join(rare, stats, "shingle", "total")
+    rows = rows.select("shingle", "node", "root", "size", "short", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / BLOCK).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_asks"), F.when(F.col("total") > BLOCK, F.floor(F.log("size") / math.log(101 / percent))).otherwise(0).alias("step"))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    refs = rows.select("hub", "node", "root", F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
-    asks = rows.where("asks").select("hub", "node", "root", "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
-    blocks = refs.union(asks).join(sets, "node").groupBy("hub", "block", "ask_block")
+    steps = F.explode(F.when(F.col("n_refs") > 1, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step")))
+    refs = rows.withColumn("step", steps).select("shingle", "node", "root", "short", F.lit(False).alias("asks"), "step", deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
+    asks = rows.where("asks").select("shingle", "node", "root", "short", "asks", "step", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
+    met = refs.union(asks)
+    alone = met.groupBy("shingle", "step", "block", "ask_block").agg(F.count_if("asks").alias("asking"), F.count("*").alias("n")).where("asking > 0 AND n > asking")
+    blocks = met.join(alone.drop("asking", "n"), ["shingle", "step", "block", "ask_block"], "left_semi").join(sets, "node").groupBy("shingle", "step", "block", "ask_block")
 
     def compare(table: pa.Table) -> pa.Table:
         lists = table.column("members").combine_chunks()
@@ -185,21 +242,30 @@ def _across(around: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
             has[row[a:b], column[a:b] - lo] = 1
             both += has[asking] @ has[given].T
         total = size[asking][:, None] + size[given][None, :] - both
-        x, y = np.nonzero((100 * both >= percent * total) & (root[asking][:, None] != root[given][None, :]))
+        apart = root[asking][:, None] != root[given][None, :]
+        x, y = np.nonzero((100 * both >= percent * total) & apart)
         _, first = np.unique(np.stack([asking[x], root[given[y]]], axis=1), axis=0, return_index=True) if len(x) else (None, [])
         return pa.table({"a": node[asking[x[first]]], "b": node[given[y[first]]]}) if len(x) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     return blocks.applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, groups: bool = False) -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id (smallest id of its group), kept.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     Null or wordless texts have an empty set and are groups of their own; repeated rows have equal sets
-    and one group; rows without id join groups but are kept only where no member has an id. Other
-    columns of docs are not read.
+    and one group; rows without id join groups but are kept only where no member has an id; empty docs give
+    no rows. Other columns of docs are not read. With ``groups`` also group_key, which is the same for all
+    rows of a group, whatever their ids (null for empty sets), and text_key (xxhash64 of the text). The
+    result is a table in the shared folder; all other tables of the work are deleted.
     """
+    with scratch(docs.sparkSession):
+        found = _grouped(docs, id_col, text_col, size, percent)
+        return saved(found if groups else found.drop("group_key", "text_key"), keep=True)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     sketch_schema = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sig", T.BinaryType())])
@@ -230,9 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not last.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
-    grouped = classes.join(roots, "node", "left").select("node", "fp2", "first_id", F.coalesce("root", "node").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(named, "root").select(F.col("node").alias("fp"), "fp2", "component_id")
-    out = full.select("id", "n_shingles", "fp", "fp2").join(named, ["fp", "fp2"]).select("id", "n_shingles", "component_id")
-    out = out.union(sketches.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    grouped = saved(classes.join(roots, "node", "left").select("node", "fp2", "first_id", "copies", F.coalesce("root", "node").alias("root")))
+    named = saved(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    named = saved(split_join(grouped, named, "root", "n").select(F.col("node").alias("fp"), "fp2", "component_id", F.col("root").alias("group_key"), "copies"))
+    columns = ["id", "n_shingles", "component_id", "group_key", "text_key"]
+    out = split_join(full.select("id", "n_shingles", "fp", "fp2", "text_key"), named, ["fp", "fp2"], "copies").select(*columns)
+    out = out.union(sketches.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group_key"), "text_key"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "group_key", "text_key")

@@ -243,9 +243,32 @@ def test_quality(spark, folder):
 
 def test_cascade_order_changes_no_verdict(spark, edges):
     names = sorted(quality.RULES)
-    a = rows(quality.judged(edges, order=names).selectExpr("doc_id", "rejected_by IS NULL AS kept"), "doc_id", "kept")
-    b = rows(quality.judged(edges, order=names[::-1]).selectExpr("doc_id", "rejected_by IS NULL AS kept"), "doc_id", "kept")
-    assert a == b and set(quality.cascade_order(edges)) == set(names)
+    verdicts = [rows(quality.judged(edges, order=o, with_features=f).selectExpr("doc_id", "rejected_by IS NULL AS kept"), "doc_id", "kept") for o in (names, names[::-1]) for f in (False, True)]
+    assert all(v == verdicts[0] for v in verdicts) and set(quality.cascade_order(edges)) == set(names)
+    assert quality.judged(edges.limit(0)).count() == 0 and set(quality.cascade_order(edges.limit(0))) == set(names)
+
+
+def test_cascade_costs_are_measured(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    costs, rejected = quality.measured(docs)
+    assert costs["repeated_words"] >= 4 * costs["few_words"] and len(rejected) <= quality.SAMPLE_ROWS
+    order = quality.cascade_order(docs)
+    assert order.index("few_words") < order.index("repeated_words") or sum(r["repeated_words"] for r in rejected) > 0
+
+
+def test_cascade_takes_what_is_left(spark, monkeypatch):
+    """The second place goes by what the first rule leaves, not by all rejections."""
+    left = [dict(a=i < 10, b=i < 9, c=12 <= i < 15) for i in range(20)]
+    monkeypatch.setattr(quality, "RULES", dict.fromkeys("abc"))
+    monkeypatch.setattr(quality, "measured", lambda *_: (dict.fromkeys("abc", 1.0), left))
+    assert quality.cascade_order(None) == ["a", "c", "b"]
+
+
+def test_clashing_columns_of_quality(spark):
+    df = spark.createDataFrame([(1, "one two three", "x", "y", "z", "v")], "doc_id long, text string, quality string, rejected_by string, judged string, n_words string")
+    out = quality.judged(df, order=sorted(quality.RULES), with_features=True)
+    row = out.first()
+    assert row.judged == "z" and row.n_words == "v" and row.quality.n_words == 3 and row.rejected_by == "few_words" and len(out.columns) == 6
 
 
 def test_mixing(spark, folder):

@@ -3,6 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from graphloom.llm import language_id, secrets
 
 from . import brute
@@ -17,6 +19,10 @@ def test_pipeline_by_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     hit = {d for d, _, n, _, _ in brute.contamination(kept.items(), items) if n}
     kept = {d: secrets.redacted(t, secrets.spans_of(t), "[SECRET]") for d, t in kept.items() if d not in hit}
+    stage = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        stage = function(spark, stage, SMALL)
+    assert {r.doc_id: r.text for r in stage.collect()} == kept  # which documents stay, and what of them
     sizes = Counter()
     for d, t in kept.items():
         sizes[docs[d].source] += len(brute.words(t))
@@ -38,6 +44,39 @@ def test_stages_on_edges(spark, edges, edge_dir):
     assert 1 not in ids and 6 not in ids and len(ids) == len(set(ids))
 
 
+CLASHING = "score lang_pred n_words items hit_words secrets redacted n_tokens __text row rest_key text_key group_key kept id component_id size taken".split()
+
+
+def test_stages_leave_other_columns_alone(spark, edge_dir, edges):
+    docs = edges.drop("n_tokens").select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    ids = edges.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, edge_dir)
+        assert out.columns == docs.columns and out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        found = out.collect()
+        assert 0 < len(found) <= ids + 2, name
+        for r in found:
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in CLASHING), (name, r)
+    mixed = corpus_pipeline.mixture(spark, docs, edge_dir)
+    assert mixed.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and mixed.count() > 0
+
+
+def test_one_document_of_each_group(spark, empty_dir):
+    """Rows of one id: different texts are different documents, near copies and repeats are one."""
+    long = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = [(5, long(1), "a"), (5, long(2), "a"), (5, long(2) + " end", "b"), (6, long(2), "c"), (7, long(3), "q"), (7, long(3), "p"), (7, long(3), "p"), (None, long(3), "n"), (None, long(4), "n"), (None, long(4), "m"), (8, "", "e"), (8, "", "e"), (9, None, "e")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    results = []
+    for parts in (1, 7):
+        results.append(sorted(map(str, corpus_pipeline.near_duplicates(spark, df.repartition(parts), empty_dir).collect())))
+    assert results[0] == results[1]
+    got = corpus_pipeline.near_duplicates(spark, df, empty_dir).collect()
+    texts = [r.text for r in got]
+    assert texts.count(long(1)) == 1 and sum(t in (long(2), long(2) + " end") for t in texts) == 1
+    assert texts.count(long(3)) == 1 and texts.count(long(4)) == 1 and texts.count("") == 2 and texts.count(None) == 1
+    assert {r.doc_id for r in got if r.text == long(3)} == {7} and len(got) == 7
+
+
 def test_language_stage_decides(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     foreign = ["Это русский текст о погоде и людях, который стоит здесь", "这是一个中文句子没有空格而且很长", "0x1f a"]
