@@ -11,8 +11,6 @@ exact join on their rarest shingles finds what deepening has missed, so that it
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +21,9 @@ from .common import map_texts, saved, scratch, ship_package, split_join
 from .textkit import LOWER, U, mix, shingles, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, REGION, NEIGHBOURS = 20, 9, 4, 16, 3
-#: Sets on either side of an exact comparison's block, and counters of the shingles' frequencies (an order, never a filter).
-BLOCK, COUNTERS = 256, 1 << 20
+#: Sets on either side of an exact comparison's block, places on either side of a shingle's, and counters of the
+#: shingles' frequencies (they give an order, never a filter).
+BLOCK, PLACES, COUNTERS = 256, 2048, 1 << 20
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TREES * DEPTH, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
@@ -172,54 +171,103 @@ def _frequencies(members: DataFrame) -> np.ndarray:
 
 
 def _rarest(members: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, root, size, short): of each set the rarest shingles, one of which a linked set must share.
+    """(shingle, node, root, size, at): of each set the rarest shingles, one of which a linked set must share, and their places.
 
-    Of two linked sets the smaller one shares one of its ``short`` shingles with those of the larger one.
+    Shingles come in one order for all sets, by frequency and then by value.
     """
     shared = members.sparkSession.sparkContext.broadcast(_frequencies(members))
-    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("node", T.LongType()), T.StructField("root", T.LongType()), T.StructField("size", T.LongType()), T.StructField("short", T.BooleanType())])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shingle", "node", "root", "size", "at")])
 
     def run(batches):
         often = shared.value
         for batch in batches:
             lists = batch.column(2)
             offsets, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
-            size = np.diff(offsets)
+            size = np.diff(offsets).astype(np.int64)
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((values, often[values & (COUNTERS - 1)], row))
             place = np.arange(len(values)) - offsets[:-1][row]
-            taken = size - -(-percent * size // 100) + 1
-            short = size - -(-2 * percent * size // (100 + percent)) + 1
-            chosen = np.flatnonzero(place < taken[row])
+            chosen = np.flatnonzero(place <= size[row] - -(-percent * size[row] // 100))
             row = row[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(values[order][chosen]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int64)), pa.array(place[chosen] < short[row])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][chosen]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row]), pa.array(place[chosen])], names=schema.names)
 
     return members.select("node", "root", "members").mapInArrow(run, schema)
 
 
+def _may_link(size: np.ndarray, at: np.ndarray, root: np.ndarray, asking: np.ndarray, given: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets that meet at a shingle could be linked across components, were it the first that they share.
+
+    Sizes must fit; of the smaller set the shingle must be among the few that are left when the common part is as
+    large as a link needs; and behind the shingle there must be room for that part in both.
+    """
+    sx, sy = size[asking][:, None], size[given][None, :]
+    rest = np.minimum((size - at)[asking][:, None], (size - at)[given][None, :])
+    needed = -(-percent * (sx + sy) // (100 + percent))
+    smaller = np.where(sx <= sy, at[asking][:, None], at[given][None, :])
+    short = smaller <= np.minimum(sx, sy) - -(-2 * percent * np.minimum(sx, sy) // (100 + percent))
+    return (root[asking][:, None] != root[given][None, :]) & (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & (rest >= needed) & short
+
+
+def _alive(members: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share a rare shingle with a set of another component that they could be linked with.
+
+    The sets outside a shingle's largest component ask, all are asked, in blocks of PLACES, and what comes out of
+    a block is a list of nodes, not of pairs.
+    """
+    rare = saved(_rarest(members, percent))
+    by_root = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    stats = saved(by_root.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("k > 1").drop("k"))
+    rows = split_join(rare, stats, "shingle", "total")
+    rows = rows.select("shingle", "node", "root", "size", "at", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / PLACES).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / PLACES).alias("n_asks"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["shingle", "node", "root", "size", "at"]
+    refs = rows.select(*columns, F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
+    asks = rows.where("asks").select(*columns, "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
+    met = refs.union(asks).select(F.xxhash64("shingle", "block", "ask_block").alias("place"), "node", "root", "size", "at", "asks")
+
+    def run(batches):
+        held = None
+        for batch in (*batches, None):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or (batch is not None and len(held) < 1 << 16):
+                continue
+            place, node, root, size, at = (held.column(i).to_numpy() for i in range(5))
+            asking = held.column(5).to_numpy()
+            cut = int(np.searchsorted(place, place[-1])) if batch is not None else len(place)
+            borders = np.flatnonzero(np.append(True, place[1:cut] != place[: cut - 1])) if cut else np.zeros(0, np.int64)
+            found = [np.zeros(0, np.int64)]
+            for lo, hi in zip(borders, np.append(borders[1:], cut)):
+                x, y = lo + np.flatnonzero(asking[lo:hi]), lo + np.flatnonzero(~asking[lo:hi])
+                if len(x) and len(y):
+                    may = _may_link(size, at, root, x, y, percent)
+                    found += [node[x[may.any(1)]], node[y[may.any(0)]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["node"])
+            held = held.slice(cut) if cut < len(place) else None
+
+    return met.repartition("place").sortWithinPartitions("place").mapInArrow(run, "node long").distinct()
+
+
 def _across(around: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the sets around mixed hubs: for each set, one to each other component.
+    """Links between different components around one hub: for each set outside the largest, one to each other component.
 
-    Sets meet where they share one of their rarest shingles: those outside a shingle's largest component ask,
-    all are asked, in blocks, and only sets of about one size (no other can be linked) come together.
+    Only sets that a rare shingle lets hope for such a link are compared, in full and in blocks.
     """
     own = saved(around.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")))
     mixed = saved(own.groupBy("hub", "root").agg(F.count("*").alias("n")).groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1"))
     members = saved(split_join(own, mixed, "hub", "n").select("node", "root").distinct().join(sets, "node"))
-    rare = saved(_rarest(members, percent))
-    by_root = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.count_if("short").alias("short"))
-    stats = by_root.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.sum("short").alias("n_short"))
-    stats = saved(stats.where("k > 1 AND n_short > 0").drop("k", "n_short"))
-    rows = split_join(rare, stats, "shingle", "total")
-    rows = rows.select("shingle", "node", "root", "size", "short", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / BLOCK).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_asks"), F.when(F.col("total") > BLOCK, F.floor(F.log("size") / math.log(101 / percent))).otherwise(0).alias("step"))
+    alive = saved(_alive(members, percent))
+    own = saved(own.join(alive, "node", "left_semi"))
+    by_root = own.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    mixed = saved(by_root.groupBy("hub").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("k > 1"))
+    rows = split_join(own, mixed, "hub", "total").select("hub", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / BLOCK).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_asks"))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    steps = F.explode(F.when(F.col("n_refs") > 1, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step")))
-    refs = rows.withColumn("step", steps).select("shingle", "node", "root", "short", F.lit(False).alias("asks"), "step", deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
-    asks = rows.where("asks").select("shingle", "node", "root", "short", "asks", "step", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
-    met = refs.union(asks)
-    alone = met.groupBy("shingle", "step", "block", "ask_block").agg(F.count_if("asks").alias("asking"), F.count("*").alias("n")).where("asking > 0 AND n > asking")
-    blocks = met.join(alone.drop("asking", "n"), ["shingle", "step", "block", "ask_block"], "left_semi").join(sets, "node").groupBy("shingle", "step", "block", "ask_block")
+    refs = rows.select("hub", "node", "root", F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
+    asks = rows.where("asks").select("hub", "node", "root", "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
+    blocks = refs.union(asks).join(sets, "node").groupBy("hub", "block", "ask_block")
 
     def compare(table: pa.Table) -> pa.Table:
         lists = table.column("members").combine_chunks()

@@ -55,6 +55,37 @@ def test_near_duplicates_in_dense_regions(spark):
     assert got == brute.near_duplicates(docs, 5)
 
 
+def test_no_pairs_of_one_template(spark, monkeypatch):
+    """Pages of one template (similarity 0.6) are sifted by their rare shingles; real links among them are found."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**7))
+    shared = [word() for _ in range(120)]
+    docs = [(i, " ".join([word() for _ in range(17)] + shared + [word() for _ in range(18)])) for i in range(1000)]
+    docs += [(1000 + i, docs[i][1] + " " + word()) for i in range(0, 40)]  # near copies inside the family
+    chain = docs[50][1].split()
+    for i in range(30):  # each step links with the one before only
+        chain = chain[4:] + [word() for _ in range(4)]
+        docs.append((2000 + i, " ".join(chain)))
+    compared = []
+    alive = near_dedup._alive
+    monkeypatch.setattr(near_dedup, "_alive", lambda *a: compared.append(near_dedup.saved(alive(*a))) or compared[-1])
+    counted = []
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    original = near_dedup._across
+
+    def across(*a):
+        out = near_dedup.saved(original(*a))
+        counted.append(compared[-1].count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", across)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute.near_duplicates(docs, 5)
+    assert counted[0] <= 150  # of 1,070 sets around the family's hubs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7), (139, 200), (200, 139)]
     got = dict(near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect())
