@@ -11,12 +11,21 @@ from pyspark.sql import types as T
 
 # The token pattern of the lexical index, as Java, RE2 and Python all read it.
 TOKEN = "[a-z0-9]+(?:['’-][a-z0-9]+)*|[\\x{3400}-\\x{9fff}]|[\\p{L}\\p{Nl}\\p{No}]+"
-#: An integer, decimal or fraction that is no part of a longer number or word.
-NUMBER = "(?<![\\w.,/])[0-9]+(?:\\.[0-9]+|/[0-9]+)?(?![\\w/]|[.,][0-9])"
-#: Notations that are refused rather than read: exponents, grouped digits, bare decimal points.
-UNSUPPORTED_NUMBER = "[0-9][eE][+-]?[0-9]|[0-9][,_][0-9]{3}|(?<![0-9])\\.[0-9]"
-DURATION = "(?i)\\b[0-9]+(?:\\.[0-9]+)?(?:\\s*(?:-|to)\\s*[0-9]+(?:\\.[0-9]+)?)?\\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?)\\b"
-TEMPERATURE = "(?i)-?[0-9]+(?:\\.[0-9]+)?\\s*(?:°\\s*[CF]|degrees?(?:\\s+(?:celsius|fahrenheit))?)"
+#: Characters that NFKC leaves as they are wherever they stand together: texts of these alone stay in the JVM.
+STABLE = "\\x00-\\x7FÀ-ıĴ-ľŁ-ňŊ-žЀ-ӿ一-鿿"
+# What is read as a number, what is refused, number words, numerals and the units after which numerals count.
+STEP_PREFIX = "^\\s*(?:[0-9]+\\s*[.)、:]|第[零〇一二两三四五六七八九十百千万0-9]+步[：:]?)\\s*"
+NUMBER = "(?<![A-Za-z0-9_.])[+-]?[0-9]+(?:\\.[0-9]+)?(?:/[0-9]+(?:\\.[0-9]+)?)?"
+UNSUPPORTED_NUMBER = "(?<![A-Za-z0-9_.])(?:[+-]?(?:[0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)[eE][+-]?[0-9]|[0-9]+(?:[,_][0-9]+)+|\\.[0-9])"
+NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "half": "0.5"}
+NUMERALS, NUMERAL_DIGITS = "零〇一二两三四五六七八九", "001223456789"
+NUMERAL_UNITS = "分钟|小时|秒钟|秒|克|千克|毫升|升|度|℃|℉|个|枚|片|块|瓣|颗|只|根|份|勺|汤匙|茶匙|杯|小撮"
+# Amounts (mixed and vulgar fractions too), durations and temperatures.
+_AMOUNT = "(?:[0-9]+\\s+[0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+(?:\\.[0-9]+)?|[¼½¾])"
+_RANGE = f"{_AMOUNT}(?:\\s*(?:-|–|—|to)\\s*{_AMOUNT})?"
+_FREE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+DURATION = f"(?i){_FREE}(?:{_RANGE}\\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?)|half\\s+(?:an?\\s+)?hour|an?\\s+(?:minute|hour)|overnight){_END}"
+TEMPERATURE = f"(?i){_FREE}[-+]?{_RANGE}\\s*(?:°\\s*[CF]|degrees?\\s*(?:Celsius|Fahrenheit|[CF])|Celsius|Fahrenheit|[CF]){_END}"
 
 
 def squeeze(text: Column) -> Column:
@@ -35,6 +44,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def compatible(text: Column) -> Column:
+    """NFKC; only texts with a character that it could change leave the JVM."""
+    return F.coalesce(nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
+
+
 @F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
@@ -50,8 +64,8 @@ def term(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lexical tokens: Latin words with inner apostrophes or hyphens, single ideographs, other letter runs."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lexical tokens of the NFKC text: Latin words with inner apostrophes or hyphens, single ideographs, other letter runs."""
+    return F.regexp_extract_all(F.lower(compatible(text)), F.lit(TOKEN), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -61,11 +75,17 @@ def lines(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Distinct numeric literals in order, decimals without trailing zeros; null for unsupported notation."""
+    """Distinct numeric literals in order of kind and place: digits (signed, decimal or a fraction), number words, numerals
+    before a unit. A step's leading number is none; null for notation that is refused rather than read."""
+    text = F.regexp_replace(text, STEP_PREFIX, "")
     plain = lambda n: F.when(n.contains("."), F.regexp_replace(F.regexp_replace(n, "0+$", ""), "\\.$", "")).otherwise(n)
-    bare = lambda n: F.regexp_replace(plain(n), "^0+(?=[0-9])", "")
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), bare)
-    return F.when(~text.rlike(UNSUPPORTED_NUMBER), F.array_distinct(found))
+    bare = lambda n: F.regexp_replace(F.regexp_replace(plain(n), "^\\+", ""), "^(-?)0+(?=[0-9])", "$1")
+    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda n: F.array_join(F.transform(F.split(n, "/"), bare), "/"))
+    known = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"(?i)\\b({'|'.join(NUMBER_WORDS)})\\b"), F.lit(1)), lambda w: F.element_at(known, F.lower(w)))
+    numerals = F.regexp_extract_all(text, F.lit(f"([{NUMERALS}十百千万半]+)(?=\\s*(?:{NUMERAL_UNITS}))"), F.lit(1))
+    values = F.filter(F.transform(numerals, lambda n: bare(chinese_number(n).cast("decimal(38,4)").cast("string"))), lambda v: v.isNotNull())
+    return F.when(~text.rlike(UNSUPPORTED_NUMBER), F.array_distinct(F.concat(found, words, values)))
 
 
 def contains_alias(text: Column, alias: str) -> Column:
@@ -89,18 +109,22 @@ def url_valid(url: Column) -> Column:
     return F.coalesce(F.lower(parts("PROTOCOL")).isin("http", "https") & (F.length(parts("HOST")) > 0) & ~url.rlike("(?U)\\s") & parts("USERINFO").isNull(), F.lit(False))
 
 
-def chinese_number(text: Column) -> Column:
-    """Value of a numeral up to 9999 (digits, 十 百 千, 两, 半 as a half); null if it is none."""
-    # Numerals in natural order.
-    digits = F.create_map(*[F.lit(x) for pair in zip("零一二三四五六七八九", range(10)) for x in pair], F.lit("两"), F.lit(2))
-    units = (("千", 1000.0), ("百", 100.0), ("十", 10.0))
+def _section(text: Column) -> Column:
+    """Value of a numeral below 10,000: each unit by the digit before it (one where there is none), and a last digit."""
+    digit = lambda pattern: F.translate(F.regexp_extract(text, pattern, 1), NUMERALS, NUMERAL_DIGITS)
     total = F.lit(0.0)
-    for sign, value in units:
-        before = F.regexp_extract(text, f"([一二两三四五六七八九]?){sign}", 1)
-        total = total + F.when(text.contains(sign), F.lit(value) * F.when(before == "", 1).otherwise(F.try_element_at(digits, before))).otherwise(0.0)
-    last = F.regexp_extract(text, "([零一二两三四五六七八九])$", 1)
-    total = total + F.when(last != "", F.try_element_at(digits, last)).otherwise(0)
-    return F.when(text == "半", 0.5).when(text.rlike("^[0-9]+$"), text.try_cast("double")).when(text.rlike("^[零一二两三四五六七八九十百千]+$"), total)
+    for sign, value in (("千", 1000.0), ("百", 100.0), ("十", 10.0)):
+        before = digit(f"([{NUMERALS}]?){sign}")
+        total = total + F.when(text.contains(sign), value * F.when(before.isin("", "0"), 1.0).otherwise(before.try_cast("double"))).otherwise(0.0)
+    return total + F.coalesce(digit(f"([{NUMERALS}])$").try_cast("double"), F.lit(0.0))
+
+
+def chinese_number(text: Column) -> Column:
+    """Value of a numeral (digits, or 十 百 千 万 with digits, 半 alone as a half); null if it is none."""
+    high, low = F.regexp_extract(text, "^(.*)万", 1), F.regexp_extract(text, "([^万]*)$", 1)
+    thousands = F.when(text.contains("万"), F.greatest(_section(high), F.lit(1.0)) * 10_000.0).otherwise(0.0)
+    value = F.when(text.rlike("[十百千万]"), thousands + _section(low)).otherwise(F.translate(text, NUMERALS, NUMERAL_DIGITS).try_cast("double"))
+    return F.when(text == "半", 0.5).when(text.rlike("^[0-9]+$"), text.try_cast("double")).when(text.rlike(f"^[{NUMERALS}十百千万]+$"), value)
 
 
 def minutes_limit(text: Column) -> Column:

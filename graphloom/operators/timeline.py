@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..runtime import ship_package
 from .evidence import top_k
 
 
@@ -40,48 +45,87 @@ def best_step(scores: DataFrame, media: str, step: str, order: str, score: str,
 def align_monotone(scores: DataFrame, timeline: str, threshold: float) -> DataFrame:
     """(timeline, media, step, score): an assignment along time whose steps never go back.
 
-    scores(timeline, media, at, step, step_order, score) holds the pairs of one timeline, which are one
-    video's frames and one recipe's steps and so bounded. It maximises the sum of (score - threshold), then
-    the number of matches, then takes the lexicographically smallest orders. Media of equal time may take
-    any steps, but later ones never an earlier step.
+    scores(timeline, media, at, step, step_order, score) holds the pairs of one timeline. It maximises the
+    sum of (score - threshold), then the number of matches, then takes the lexicographically smallest
+    orders. Media of equal time may take any steps, but later ones never an earlier step. Timelines are
+    dealt by name and sorted by Spark; a task reads them one after the other and holds, of the one it is
+    at, a state for each step order and the choices behind it.
     """
-    schema = f"{timeline} {scores.schema[timeline].dataType.simpleString()}, media string, step string, score double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[timeline].iloc[0]
-        # state: highest step order used so far -> (gain, matches, last choice); a choice is (order or none, step,
-        # score, choice before), so that choices are shared and not copied
-        states = {-1: (0.0, 0, None)}
-        media = []
-        for _, group in pdf.groupby("at", sort=True):
-            pending = {(low, low): v for low, v in states.items()}  # (bound by earlier times, highest now)
-            for m, rows in group.groupby("media", sort=True):
-                media.append(m)
-                grown = {}
-                for (low, high), (gain, n, path) in pending.items():
-                    options = [((low, high), (gain, n, (float("inf"), None, None, path)))]
-                    for r in rows.itertuples():
-                        if r.score >= threshold and r.step_order >= low:
-                            options.append(((low, max(high, r.step_order)), (gain + r.score - threshold, n + 1, (r.step_order, r.step, r.score, path))))
-                    for key, value in options:
-                        if key not in grown or _better(value, grown[key]):
-                            grown[key] = value
-                pending = grown
-            states = {}
-            for (_, high), value in pending.items():
-                if high not in states or _better(value, states[high]):
-                    states[high] = value
+    kind = scores.schema[timeline].dataType
+    spark = scores.sparkSession
+    ship_package(spark)
+    schema = T.StructType([T.StructField(timeline, kind), T.StructField("media", T.StringType()), T.StructField("step", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = scores.select(F.col(timeline).alias("timeline"), F.col("media").cast("string").alias("media"), "at", "step", "step_order", F.col("score").cast("double").alias("score"))
+    dealt = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "timeline").sortWithinPartitions("timeline", "at", "media", "step_order", "step")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, chosen in _solved(batches, threshold):
+            columns = [pa.array(names, type=to_arrow_type(kind))] + [pa.array([c[i] for c in chosen], type=t) for i, t in ((0, pa.string()), (2, pa.string()), (3, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _solved(batches: Iterator[pa.RecordBatch], threshold: float):
+    """(names, choices) of about 10,000 assignments at once, of rows sorted by timeline, time and medium."""
+    names, out = [], []
+    states = group = None
+    now, at, medium = object(), None, None
+
+    def close() -> None:
+        nonlocal states
+        states = {}
+        for (_, high), value in group.items():
+            if high not in states or _better(value, states[high]):
+                states[high] = value
+
+    def end() -> None:
+        if group is None:
+            return
+        close()
         best = None
         for value in states.values():
             if best is None or _better(value, best):
                 best = value
-        chosen, at = [], best[2]
-        while at is not None:
-            chosen.append(at)
-            at = at[3]
-        return pd.DataFrame([(name, m, c[1], float(c[2])) for m, c in zip(media, reversed(chosen)) if c[1] is not None], columns=[timeline, "media", "step", "score"])
+        chosen, back = [], best[2]
+        while back is not None:
+            if back[2] is not None:
+                chosen.append(back[:4])
+            back = back[4]
+        names.extend([now] * len(chosen))
+        out.extend((m, o, s, x) for m, o, s, x in reversed(chosen))
+
+    # a state: highest step order -> (gain, matches, last choice); a choice: (medium, order or none, step, score, choice before)
+    pending: dict = {}
+    for batch in batches:
+        for name, m, t, step, order, score in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if name != now:
+                end()
+                if len(out) > 10_000:
+                    yield names, out
+                    names, out = [], []
+                now, at, medium, group, states = name, None, None, None, {-1: (0.0, 0, None)}
+            if group is None or t != at:
+                if group is not None:
+                    close()
+                group = {(low, low): v for low, v in states.items()}  # (bound by earlier times, highest now)
+                at, medium = t, None
+            if m != medium:
+                pending = group
+                group = {key: (gain, n, (m, _NONE, None, None, path)) for key, (gain, n, path) in pending.items()}
+                medium = m
+            if score is not None and score >= threshold:
+                for (low, high), (gain, n, path) in pending.items():
+                    if order >= low:
+                        key, value = (low, max(high, order)), (gain + score - threshold, n + 1, (m, order, step, score, path))
+                        if key not in group or _better(value, group[key]):
+                            group[key] = value
+    end()
+    if out:
+        yield names, out
 
-    return scores.groupBy(timeline).applyInPandas(solve, schema)
+
+_NONE = float("inf")
 
 
 def _better(a, b) -> bool:
@@ -91,16 +135,12 @@ def _better(a, b) -> bool:
         return a[1] > b[1]
     x, y, smaller = a[2], b[2], False
     while x is not y:  # back to what both share: the earliest difference decides
-        if x[0] != y[0]:
-            smaller = x[0] < y[0]
-        x, y = x[3], y[3]
+        if x[1] != y[1]:
+            smaller = x[1] < y[1]
+        x, y = x[4], y[4]
     return smaller
 
 
-def tumbling(at: Column, seconds: int) -> Column:
-    return F.window(at, f"{seconds} seconds")
-
-
 def not_increasing(frames: DataFrame, key: str, at: str, order: str) -> DataFrame:
     """Frames whose time does not lie after the frame before."""
     from .evidence import linked

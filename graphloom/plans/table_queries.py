@@ -93,15 +93,16 @@ def q_duplicates(spark, d):
     return audit.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_HASH = "(sum(('0x' || substr(md5({0}), 1, 12))::BIGINT::HUGEINT) % 1000000007)::BIGINT"
+_SUMS = "(sum(('0x' || substr(md5({0}), 1, 15))::BIGINT::HUGEINT))::VARCHAR || '-' || (sum(('0x' || substr(md5({0}), 17, 15))::BIGINT::HUGEINT))::VARCHAR"
+_KEYED = " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
 
 
-@query("SELECT count(*) AS n_rows, " + _HASH.format("concat_ws('|', p_partkey, p_name, p_brand, p_type, p_size)") + " AS content_hash FROM part")
+@query("SELECT count(*) AS n_rows, " + _SUMS.format("k") + f" AS content_hash FROM (SELECT {_KEYED} AS k FROM part)")
 def q_content_hash(spark, d):
     return hashing.content_hash(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n_ids, " + _HASH.format("k") + " AS set_hash FROM (SELECT DISTINCT o_orderstatus, o_custkey::VARCHAR AS k FROM orders) GROUP BY 1")
+@query("SELECT o_orderstatus AS status, count(*) AS n_ids, " + _SUMS.format("k") + " AS set_hash FROM (SELECT DISTINCT o_orderstatus, o_custkey::VARCHAR AS k FROM orders) GROUP BY 1")
 def q_id_set_hash(spark, d):
     return hashing.id_set_hash(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"), "status", "o_custkey")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -52,30 +54,48 @@ def q_word_boundary(spark, d):
     return table(spark, d, "documents").where(~text.contains_alias(F.col("text"), "the")).select("doc_id")
 
 
-def part_lexicon() -> dict[str, dict[str, str]]:
-    return mentions.lexicon([("ingredient", "the", []), ("ingredient", "that", []), ("tool", "of the", []), ("action", "with", ["from"])])
+LEXICON = mentions.load_lexicon(str(Path(__file__).with_name("lexicon.json")))
+_LINES = "l AS (SELECT doc_id, pos::INTEGER - 1 AS step, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)))"
+
+
+def _mention_sql() -> str:
+    """Matches of each kind with their places (what stands before them is summed), then spans closed by kinds before."""
+    expression = lambda kind: f"(?i)\\b(?:{LEXICON.alternatives(kind)})\\b".replace("'", "''").replace("\\ ", " ")
+    found = [f"SELECT doc_id, step, '{k}' AS kind, regexp_extract_all(line, '{expression(k)}') AS f, regexp_split_to_array(line, '{expression(k)}') AS p FROM l" for k in mentions.PRIORITY]
+    aliases = ", ".join(f"('{k}', '{a}', '{n}')" for k in mentions.PRIORITY for a, (n, _) in LEXICON.aliases[k].items())
+    return rf"""WITH {_LINES}, m AS ({' UNION ALL '.join(found)}),
+x AS (SELECT doc_id, step, kind, f, p, unnest(range(1, len(f) + 1)) AS i FROM m),
+y AS (SELECT doc_id, step, kind, f[i] AS name, (list_sum(list_transform(p[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda t: length(t))), 0))::BIGINT AS a FROM x),
+z AS (SELECT *, a + length(name) AS b FROM y), al AS (SELECT * FROM (VALUES {aliases}) AS v(kind, alias, normalized_name)),
+w AS (SELECT z.*, normalized_name FROM z JOIN al ON z.kind = al.kind AND trim(regexp_replace(lower(name), '[\s\-‐‑–—]+', ' ', 'g')) = alias),
+t AS (SELECT * FROM w WHERE kind = 'tool'), n AS (SELECT * FROM w WHERE kind = 'ingredient' AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.step = w.step AND t.a < w.b AND t.b > w.a)), u AS (SELECT * FROM t UNION ALL SELECT * FROM n),
+r AS (SELECT * FROM u UNION ALL SELECT * FROM w WHERE kind = 'action' AND NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = w.doc_id AND u.step = w.step AND u.a < w.b AND u.b > w.a)) """
+
+
+_MENTIONS = _mention_sql()
 
 
 def document_mentions(spark, d):
     steps = table(spark, d, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("step", "line"))
-    return mentions.extract(steps, "line", part_lexicon())
+    return mentions.extract(steps, "line", LEXICON)
 
 
-@query()
+@query(_MENTIONS + "SELECT doc_id, step, kind, name, normalized_name, a AS span_start, b AS span_end FROM r")
 def q_mentions(spark, d):
-    return document_mentions(spark, d).select("doc_id", "step", "kind", "name", "normalized_name", "span_start", "span_end")
+    return document_mentions(spark, d).where(F.col("kind").isin(*mentions.PRIORITY)).select("doc_id", "step", "kind", "name", "normalized_name", "span_start", "span_end")
 
 
-@query()
+@query(_MENTIONS + "SELECT doc_id, kind, normalized_name, count(*) AS n, min(step) AS first_step FROM r GROUP BY 1, 2, 3")
 def q_mention_rollup(spark, d):
     rolled = mentions.rolled_up(document_mentions(spark, d), "doc_id", "step")
     return rolled.select("doc_id", "kind", "normalized_name", "n", F.get("evidence", F.lit(0))["step"].alias("first_step"))
 
 
-@query("SELECT 0::BIGINT AS n_wrong")
+@query(_MENTIONS + "SELECT doc_id, count(*) AS n_mentions, sum(b - a)::BIGINT AS covered, count_if(substr(line, a + 1, b - a) <> name) AS n_wrong FROM r JOIN l USING (doc_id, step) GROUP BY 1")
 def q_span_check(spark, d):
-    found = document_mentions(spark, d)
-    return found.agg(F.count_if(~audit.span_matches(F.col("line"), F.col("span_start"), F.col("span_end"), F.col("name"))).alias("n_wrong"))
+    found = document_mentions(spark, d).where(F.col("kind").isin(*mentions.PRIORITY))
+    right = audit.span_matches(F.col("line"), F.col("span_start"), F.col("span_end"), F.col("name"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_mentions"), F.sum(F.col("span_end") - F.col("span_start")).alias("covered"), F.count_if(~right).alias("n_wrong"))
 
 
 def _chunks(spark, d):
@@ -83,17 +103,27 @@ def _chunks(spark, d):
     return steps, chunking.pack_steps(steps, "doc_id", "step", "line", 60, 3)
 
 
-@query()
+_PACK = rf"""WITH RECURSIVE {_LINES},
+r AS (SELECT doc_id, 0 AS todo, 0 AS pos, 0 AS chunk, 0 AS used, 0 AS held, NULL::INTEGER AS step, NULL::INTEGER AS a, NULL::INTEGER AS b, NULL::INTEGER AS n FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL SELECT doc_id, (CASE WHEN e = size THEN todo + 1 ELSE todo END)::INTEGER, (CASE WHEN e = size THEN 0 ELSE e END)::INTEGER, chunk + fresh, (CASE WHEN fresh = 1 THEN 0 ELSE used END + least(whole, 60))::INTEGER, CASE WHEN fresh = 1 THEN 0 ELSE held END + 1, todo, pos, e::INTEGER, least(whole, 60)::INTEGER
+FROM (SELECT *, CASE WHEN held > 0 AND (held >= 3 OR used + whole > 60) THEN 1 ELSE 0 END AS fresh, CASE WHEN whole <= 60 THEN size ELSE pos + length(regexp_extract(rest, '^(?:\S+\s+){{60}}')) END AS e
+FROM (SELECT r.*, length(line) AS size, substr(line, pos + 1) AS rest, len(regexp_extract_all(substr(line, pos + 1), '\S+')) AS whole FROM r JOIN l ON l.doc_id = r.doc_id AND l.step = r.todo))) """
+
+
+@query(_PACK + "SELECT doc_id, chunk, step, a AS span_start, b AS span_end, n AS n_tokens FROM r WHERE step IS NOT NULL")
 def q_chunk_pack(spark, d):
     return _chunks(spark, d)[1]
 
 
-@query("SELECT 0::BIGINT AS n_broken")
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS n_steps, sum(length(line))::BIGINT AS covered, 0::BIGINT AS n_broken FROM l GROUP BY 1")
 def q_chunk_coverage(spark, d):
+    """What the fragments cover of each document, and how many of its steps they leave with a gap or an overlap."""
     steps, chunks = _chunks(spark, d)
     key = F.concat_ws(":", "doc_id", "step").alias("key")
-    lengths = steps.select(key, F.length("line").alias("length"))
-    return audit.coverage_gaps(chunks.select(key, "span_start", "span_end").join(lengths, "key"), "key", "span_start", "span_end", "length").agg(F.count("*").alias("n_broken"))
+    fragments = chunks.select(key, "span_start", "span_end").join(steps.select(key, F.length("line").alias("length")), "key")
+    broken = audit.coverage_gaps(fragments, "key", "span_start", "span_end", "length").groupBy(F.split_part("key", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).agg(F.count("*").alias("n_broken"))
+    covered = chunks.groupBy("doc_id").agg(F.countDistinct("step").alias("n_steps"), F.sum(F.col("span_end") - F.col("span_start")).alias("covered"))
+    return covered.join(broken, "doc_id", "left").fillna({"n_broken": 0})
 
 
 @query("SELECT doc_id, substr(text, 1, 240) AS excerpt, length(text) > 240 AS is_excerpt FROM documents")
@@ -137,7 +167,9 @@ def q_clip_windows(spark, d):
     return timeline.clip_windows(media, "media", "seconds").select("media", "clip", "start", "end")
 
 
-@query()
+@query("""WITH f AS (SELECT DISTINCT user_id AS media, value / 10 AS t FROM events), m AS (SELECT media, max(t) AS seconds FROM f GROUP BY 1),
+x AS (SELECT media, floor(t / 5)::INTEGER AS clip, t, least((floor(t / 5) + 1) * 5.0::DOUBLE, seconds) AS e FROM f JOIN m USING (media) WHERE seconds > 0)
+SELECT media, clip, t AS "at", rank FROM (SELECT media, clip, t, row_number() OVER (PARTITION BY media, clip ORDER BY abs(t - (clip * 5.0::DOUBLE + e) / 2), t) AS rank FROM x WHERE t < e) WHERE rank <= 3""")
 def q_nearest_frames(spark, d):
     frames = table(spark, d, "events").select(F.col("user_id").alias("media"), (F.col("value") / 10).alias("at")).distinct()
     clips = timeline.clip_windows(frames.groupBy("media").agg(F.max("at").alias("seconds")), "media", "seconds")
@@ -159,7 +191,23 @@ def q_align_dp(spark, d):
     return timeline.align_monotone(step_scores(spark, d), "timeline", 0.5)
 
 
-@query("""WITH s AS (SELECT event_id::VARCHAR AS media, step, step_order, ((floor(value)::BIGINT * (step_order + 3)) % 100) / 100.0::DOUBLE AS score FROM events, (SELECT unnest([0, 1, 2]) AS step_order, unnest(['view', 'click', 'purchase']) AS step) WHERE event_id % 5 = 0) SELECT media, step, score FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY score DESC, step_order, step) AS n FROM s WHERE score >= 0.5) WHERE n = 1""")
+_SCORES = "s AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS timeline, event_id::VARCHAR AS media, epoch_us(ts) AS ts, step, step_order, ((floor(value)::BIGINT * (step_order + 3)) % 100) / 100.0::DOUBLE AS score FROM events, (SELECT unnest([0, 1, 2]) AS step_order, unnest(['view', 'click', 'purchase']) AS step))"
+
+
+@query(f"""WITH RECURSIVE {_SCORES},
+k AS (SELECT timeline, ts, row_number() OVER (PARTITION BY timeline ORDER BY ts) AS k FROM (SELECT DISTINCT timeline, ts FROM s)),
+b AS (SELECT unnest([0, 0, 0, 1, 1, 2]) AS low, unnest([0, 1, 2, 1, 2, 2]) AS high),
+g AS (SELECT timeline, k, low, high, sum(best) AS gain FROM (SELECT s.timeline, k, media, low, high, max(CASE WHEN step_order BETWEEN low AND high AND score >= 0.5 THEN score - 0.5 ELSE 0 END) AS best FROM s JOIN k ON k.timeline = s.timeline AND k.ts = s.ts, b GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT timeline, 0::BIGINT AS k, high, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT timeline FROM s), (SELECT unnest([0, 1, 2]) AS high)
+UNION ALL SELECT g.timeline, g.k, g.high, max(r.gain + g.gain) AS gain FROM r JOIN g ON g.timeline = r.timeline AND g.k = r.k + 1 AND g.low = r.high GROUP BY g.timeline, g.k, g.high)
+SELECT timeline, round(max(gain), 6) AS gain FROM r GROUP BY 1""")
+def q_monotone_small(spark, d):
+    """The gain of the best assignment of each timeline (a user's day, three steps)."""
+    scores = step_scores(spark, d)
+    found = timeline.align_monotone(scores, "timeline", 0.5).groupBy("timeline").agg(F.sum(F.col("score") - 0.5).alias("gain"))
+    return scores.select("timeline").distinct().join(found, "timeline", "left").select("timeline", F.round(F.coalesce("gain", F.lit(0.0)), 6).alias("gain"))
+
+
+@query(f"WITH {_SCORES} SELECT media, step, score FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY score DESC, step_order, step) AS n FROM s WHERE score >= 0.5) WHERE n = 1")
 def q_best_step(spark, d):
-    fifth = step_scores(spark, d).where("media % 5 = 0")  # as its SQL has it
-    return timeline.best_step(fifth, "media", "step", "step_order", "score", 0.5).select("media", "step", "score")
+    return timeline.best_step(step_scores(spark, d), "media", "step", "step_order", "score", 0.5).select("media", "step", "score")

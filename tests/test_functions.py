@@ -19,6 +19,8 @@ def test_normalisation(spark):
 
 def test_tokens(spark):
     assert one(spark, "Don't over-cook 豆腐 2x Ñandú", text.tokens) == ["don't", "over-cook", "豆", "腐", "2x", "ñandú"]
+    assert one(spark, "ＦＵＬＬ ﬁne e\u0301t\u00e9 ①", text.tokens) == ["full", "fine", "été", "1"]
+    assert one(spark, None, text.tokens) is None
 
 
 def test_lines(spark):
@@ -30,10 +32,13 @@ def test_numbers(spark):
     for refused in ("1e3", "1,000", "1_000", "take .5"):
         assert one(spark, refused, text.numbers) is None
     assert one(spark, "none", text.numbers) == []
+    assert one(spark, "1. add three eggs, 十五克, -5", text.numbers) == ["-5", "3", "15"]
+    assert one(spark, "第三步：加半杯水, half of it, Twenty", text.numbers) == ["0.5", "20"]
+    assert one(spark, "+10.0 and 3.0/04 x2", text.numbers) == ["10", "3/4"]
 
 
 def test_chinese_numbers(spark):
-    want = {"十": 10, "十五": 15, "二十": 20, "三百零五": 305, "两千": 2000, "半": 0.5, "45": 45, "七": 7, "x": None}
+    want = {"十": 10, "十五": 15, "二十": 20, "三百零五": 305, "两千": 2000, "半": 0.5, "45": 45, "七": 7, "x": None, "三万五千": 35000, "一万": 10000, "万": 10000, "二十万零三": 200003, "三五": 35, "一个半": None}
     assert {k: one(spark, k, text.chinese_number) for k in want} == want
 
 
@@ -66,6 +71,8 @@ def test_hashes(spark):
     assert one(spark, "123456789", hashing.crc_hex) == "cbf43926"
     df = spark.createDataFrame([(1, "a"), (2, None)], "i long, s string")
     assert hashing.content_hash(df, ["i", "s"]).first() == hashing.content_hash(df.orderBy(F.desc("i")), ["i", "s"]).first()
+    hashed = lambda *row: hashing.content_hash(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first().content_hash
+    assert len({hashed("a|b", "c"), hashed("a", "b|c"), hashed(None, ""), hashed("", None), hashed("-", ""), hashed("1:a", "")}) == 6
 
 
 def test_questions():

@@ -76,13 +76,52 @@ def test_metrics_by_hand(spark):
 
 def test_mentions():
     table = mentions.lexicon([("ingredient", "soy sauce", []), ("ingredient", "sauce", []), ("tool", "sauce pan", []), ("action", "pan", []), ("ingredient", "berry", [])])
-    found = mentions.find("\U0001f600 Soy sauce, berries in the Sauce  pan for 3-5 minutes at -18 °C", mentions._patterns(table))
-    assert [(k, n, norm) for k, n, norm, _, _ in found] == [("ingredient", "Soy sauce", "soy sauce"), ("ingredient", "berries", "berry"), ("tool", "Sauce  pan", "sauce pan"), ("duration", "3-5 minutes", None), ("temperature", "-18 °C", None)]
-    assert found[0][3:] == (2, 11)
+    found = mentions.find("\U0001f600 Soy sauce, berries in the Sauce  pan for 3-5 minutes at -18 °C", table.patterns())
+    assert [(k, n, norm) for k, n, norm, *_ in found] == [("ingredient", "Soy sauce", "soy sauce"), ("ingredient", "berries", "berry"), ("tool", "Sauce  pan", "sauce pan"), ("duration", "3-5 minutes", "3-5 minutes"), ("temperature", "-18 °C", "-18 °c")]
+    assert found[0][4:] == (2, 11)
     with pytest.raises(mentions.LexiconConflict):
         mentions.lexicon([("tool", "pan", []), ("tool", "wok", ["pan"])])
 
 
+def test_mention_rules():
+    table = mentions.lexicon([
+        ("tool", "whisk", []), ("tool", "knife", []), ("tool", "rice cooker", []), ("tool", "mixing bowl", []), ("ingredient", "tomato", []), ("ingredient", "bay leaf", []), ("ingredient", "rice", []),
+        ("ingredient", "egg", []), ("ingredient", "baking powder", []), ("action", "whisk", ["whisking"]), ("action", "stir fry", ["stir-frying"]), ("action", "bake", ["baking"]), ("action", "mix", ["mixing"]),
+    ])
+    kinds = lambda t, kind: [m[2] for m in mentions.find(t, table.patterns()) if m[0] == kind]
+    assert kinds("Whisk eggs with a whisk.", "tool") == ["whisk"] and kinds("Whisk eggs with a whisk.", "action") == ["whisk"]
+    assert kinds("Whisk tomatoes and bay leaves with knives", "ingredient") == ["tomato", "bay leaf"]
+    assert kinds("Whisk tomatoes and bay leaves with knives", "tool") == ["knife"]
+    text = "Stir–fry rice, add baking powder to a mixing bowl in the rice cooker"
+    assert (kinds(text, "action"), kinds(text, "ingredient"), kinds(text, "tool")) == (["stir fry"], ["rice", "baking powder"], ["mixing bowl", "rice cooker"])
+    words = lambda t, kind: [m[1] for m in mentions.find(t, table.patterns()) if m[0] == kind]
+    assert words("for half an hour or overnight, 1 1/2 hours, ½ hour, 10 to 15 minutes, an hour", "duration") == ["half an hour", "overnight", "1 1/2 hours", "½ hour", "10 to 15 minutes", "an hour"]
+    assert words("Heat to 350°F, 180 degrees Celsius, 180 Celsius, -10°C; turn 180 degrees, 350 grams", "temperature") == ["350°F", "180 degrees Celsius", "180 Celsius", "-10°C"]
+
+
+def test_lexicon_files(folder):
+    import json
+    import os
+
+    path = os.path.join(folder, "lexicon.json")
+
+    def load(raw, base=None):
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(raw, file)
+        return mentions.load_lexicon(path, base)
+
+    base = mentions.lexicon([("ingredient", "tomato", [], "番茄"), ("ingredient", "soursop", [])])
+    table = load({"ingredients": [{"normalized_name": "soursop", "zh_name": "刺果番荔枝", "aliases": ["guanabana"]}]}, base)
+    assert [(m[2], m[3]) for m in mentions.find("Mix guanabana, soursops and tomatoes", table.patterns())] == [("soursop", "刺果番荔枝"), ("soursop", "刺果番荔枝"), ("tomato", "番茄")]
+    literal = load({"ingredients": [{"normalized_name": "literal", "aliases": ["milk.*"]}]})
+    assert mentions.find("milk powder", literal.patterns()) == [] and [m[2] for m in mentions.find("milk.* ", literal.patterns())] in ([], ["literal"])
+    for wrong in ({"foods": []}, {"tools": [{"normalized_name": " "}]}, {"tools": [{"normalized_name": "x", "more": 1}]}, {"tools": {}}):
+        with pytest.raises(ValueError):
+            load(wrong)
+    with pytest.raises(mentions.LexiconConflict):
+        load({"tools": [{"normalized_name": "pan"}, {"normalized_name": "wok", "aliases": ["pan"]}]})
+
+
 def test_windows_and_frames(spark):
     media = spark.createDataFrame([("v", 12.0), ("w", 0.0)], "m string, seconds double")
     clips = timeline.clip_windows(media, "m", "seconds")
@@ -162,3 +201,11 @@ def test_audits(spark):
     edges = spark.createDataFrame([("n1", "r1", "IN"), ("r1", "n1", "IN"), ("n1", "zz", "IN")], "start_id string, end_id string, type string")
     nodes = spark.createDataFrame([("n1", "nation", "x"), ("r1", "region", "y")], "id string, label string, name string")
     assert graph.endpoint_violations(nodes, edges, [("IN", "nation", "region")]).count() == 2
+
+
+def test_equal_pieces_for_any_counter():
+    words = "".join(f"w{i} " + " " * (i % 3) for i in range(200))
+    assert chunking.word_cuts(words, 7) == chunking.counted_cuts(words, 7, chunking.count_words) or all(n <= 7 for *_, n in chunking.word_cuts(words, 7))
+    for text in (words, "x" * 500, "", "a b"):
+        for cuts in (chunking.word_cuts(text, 7), chunking.counted_cuts(text, 7, chunking.count_words), chunking.counted_cuts(text, 7, len)):
+            assert "".join(text[a:b] for a, b, _ in cuts) == text and all(n <= 7 or n == 1 for *_, n in cuts)
