@@ -27,6 +27,26 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def ranked_at_scale(df: DataFrame, keys: list[str], rank: str, *order: Column) -> DataFrame:
+    """df with the rank of each row among those of its keys, without gathering a key's rows in one task.
+
+    Rows are dealt by ranges of keys and order (which should end with an id); counts of the ranges give offsets.
+    """
+    from ..runtime import saved
+
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = saved(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__before")
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    out = ranged.join(offsets, same).withColumn(rank, (F.col("__before") + inside).cast("long"))
+    return out.drop("__part", "__p", "__before", *[f"__{k}" for k in keys])
+
+
 def capped(df: DataFrame, keys: list[str], kind: str, caps: dict[str, int], *order: Column) -> DataFrame:
     """At most caps[kind] rows of each kind for each key; kinds without a cap are left out."""
     limit = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,59 @@ def q_pool_rrf(spark, d):
     return fused.select("id", "from_graph", "bm25_rank", "dense_rank", F.round("rrf", 9).alias("rrf"), "position")
 
 
+_METHODS = {"A_record": (0, "den", 0), "B_lexical": (1, None, 0), "C_hybrid": (1, "den", 0), "D_hybrid_graph": (1, "den", 1), "E_part": (0, "chk", 0), "F_part_hybrid": (1, "chk", 0), "G_part_graph": (1, "chk", 1)}
+_HALF = _COS.replace("embedding", "h").replace("q)", "hq)").replace("(q,", "(hq,")
+
+
+def _matrix_sql(methods: dict) -> str:
+    """Every method's pool, once unfiltered and once without German texts, ranked and fused."""
+    pools = []
+    for name, (lex, dense, graph) in methods.items():
+        parts = (["SELECT id FROM sl"] if lex else []) + ([f"SELECT id FROM (SELECT id FROM {dense} ORDER BY dense DESC, id LIMIT 50)"] if dense else []) + (["SELECT id FROM g"] if graph else [])
+        for variant in ("all", "filtered"):
+            keep = " WHERE id IN (SELECT doc_id FROM documents WHERE lang <> 'de')" if variant == "filtered" else ""
+            pools.append(f"SELECT '{name}' AS method, '{variant}' AS variant, id, {'round(bm25, 9)' if lex else 'NULL::DOUBLE'} AS bm25, {'dense' if dense else 'NULL::DOUBLE'} AS dense, {'id IN (SELECT id FROM g)' if graph else 'false'} AS from_graph FROM (SELECT DISTINCT id FROM ({' UNION ALL '.join(parts)}){keep}) LEFT JOIN lex USING (id){f' LEFT JOIN {dense} USING (id)' if dense else ''}")
+    return _DENSE + f""", chk AS (SELECT vec_id AS id, round(greatest((SELECT {_HALF} FROM (SELECT embedding[1:len(embedding) // 2] AS h, q[1:len(q) // 2] AS hq)), (SELECT {_HALF} FROM (SELECT embedding[len(embedding) // 2 + 1:] AS h, q[len(q) // 2 + 1:] AS hq))), 9) AS dense FROM embeddings, qv),
+mp AS ({' UNION ALL '.join(pools)}), mr AS (SELECT *, CASE WHEN bm25 > 0 THEN row_number() OVER (PARTITION BY method, variant, coalesce(bm25 > 0, false) ORDER BY bm25 DESC, id) END AS bm25_rank, CASE WHEN dense IS NOT NULL THEN row_number() OVER (PARTITION BY method, variant, dense IS NOT NULL ORDER BY dense DESC, id) END AS dense_rank FROM mp),
+mf AS (SELECT *, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS rrf FROM mr), mx AS (SELECT *, row_number() OVER (PARTITION BY method, variant ORDER BY rrf DESC, id) AS position FROM mf) """
+
+
+def _matrix(spark, d, methods: dict):
+    lex, whole, ids = lexical(spark, d), dense(spark, d), graph_ids(spark, d)
+    q = query_vector(spark, d)
+    half = len(q) // 2
+    parts = [vectors.cosine(F.slice("embedding", a + 1, n), vectors.literal(q[a : a + n])) for a, n in ((0, half), (half, len(q) - half))]
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.greatest(*parts), 9).alias("dense"))
+    made = {n: (lex if a else None, {"den": whole, "chk": chunks}.get(b), ids if c else None) for n, (a, b, c) in methods.items()}
+    return retrieval.method_matrix(made, {"all": None, "filtered": not_german(spark, d)})
+
+
+@query(_matrix_sql(_METHODS) + "SELECT method, variant, id, from_graph, bm25_rank, dense_rank, round(rrf, 9) AS rrf, position FROM mx WHERE position <= 10")
+def q_method_matrix(spark, d):
+    """Seven methods (record or part vectors, lexical, graph) under two filters; a part is half a vector."""
+    return _matrix(spark, d, _METHODS).withColumn("rrf", F.round("rrf", 9))
+
+
+_ABLATED = {"full": (1, "den", 1), "without_lexical": (0, "den", 1), "without_dense": (1, None, 1), "without_graph": (1, "den", 0)}
+
+
+@query(_matrix_sql(_ABLATED) + ", fl AS (SELECT variant, id, position FROM mx WHERE method = 'full' AND position <= 10) SELECT mx.method, mx.variant, count(*) AS n, count_if(fl.id IS NOT NULL) AS kept, count_if(fl.position = mx.position) AS same_place FROM mx LEFT JOIN fl USING (variant, id) WHERE mx.position <= 10 GROUP BY 1, 2")
+def q_rrf_ablation(spark, d):
+    """How much of the full fusion's first ten stays when one of its sources is removed."""
+    rows = _matrix(spark, d, _ABLATED).select("method", "variant", "id", "position")
+    full = rows.where("method = 'full'").select("variant", "id", F.col("position").alias("place"))
+    return rows.join(full, ["variant", "id"], "left").groupBy("method", "variant").agg(F.count("*").alias("n"), F.count("place").alias("kept"), F.count_if(F.col("place") == F.col("position")).alias("same_place"))
+
+
+@query(_BM25 + "SELECT id, round(bm25, 6) AS bm25 FROM lex WHERE bm25 > 0")
+def q_stored_index(spark, d):
+    """The same scores from an index that is written once and read by buckets of terms."""
+    from ..runtime import shared_folder
+
+    index = retrieval.StoredIndex.build(table(spark, d, "documents"), "doc_id", "text", f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return index.scores(TERMS).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(_DENSE + """, hp AS (SELECT id, round(bm25, 9) AS bm25, dense FROM lex LEFT JOIN den USING (id) WHERE id IN (SELECT id FROM g)), hs AS (SELECT id FROM (SELECT id FROM hp WHERE bm25 > 0 ORDER BY bm25 DESC, id LIMIT 50) UNION SELECT id FROM (SELECT id FROM hp WHERE dense IS NOT NULL ORDER BY dense DESC, id LIMIT 50)),
 hr AS (SELECT id, CASE WHEN bm25 > 0 THEN row_number() OVER (PARTITION BY bm25 > 0 ORDER BY bm25 DESC, id) END AS a, CASE WHEN dense IS NOT NULL THEN row_number() OVER (PARTITION BY dense IS NOT NULL ORDER BY dense DESC, id) END AS b FROM hp)
 SELECT id, round(coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0), 9) AS rrf FROM hr ORDER BY coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) DESC, id LIMIT 10""")
