@@ -33,9 +33,14 @@ def _summed(key: Column) -> Column:
     return F.concat_ws("-", total(a), total(b))
 
 
+def content_sums(columns: list[str]) -> list[Column]:
+    """Aggregates: number of rows and an order-insensitive hash (two sums of 60-bit digests)."""
+    return [F.count(F.lit(1)).alias("n_rows"), _summed(row_key(columns)).alias("content_hash")]
+
+
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: number of rows and an order-insensitive hash (two sums of 60-bit digests), summed where the rows are."""
-    return df.agg(F.count("*").alias("n_rows"), _summed(row_key(columns)).alias("content_hash"))
+    """One row with the content sums, summed where the rows are."""
+    return df.agg(*content_sums(columns))
 
 
 def id_set_hash(df: DataFrame, by: str, id_col: str) -> DataFrame:

@@ -132,3 +132,59 @@ def minutes_limit(text: Column) -> Column:
     amount = lambda pattern, factor: F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda n: n.try_cast("double") * factor)
     half = F.when(F.lower(text).rlike("half an hour|半小时|半个小时"), F.array(F.lit(30.0))).otherwise(F.array().cast("array<double>"))
     return F.array_min(F.concat(amount("([0-9]+(?:\\.[0-9]+)?)\\s*(?:minutes?|mins?|分钟)", 1.0), amount("([0-9]+(?:\\.[0-9]+)?)\\s*(?:hours?|hrs?|小时|个小时)", 60.0), half))
+
+
+def key_folded(text: Column) -> Column:
+    """The key of a text by case folding in place of lower case."""
+    return F.trim(F.regexp_replace(casefold(text), "(?U)[\\s\\-‐‑–—]+", " "))
+
+
+def query_terms(text: Column, most: int = 12) -> Column:
+    """The first distinct words of a question, in lower case."""
+    found = F.filter(F.split(F.lower(text), "(?U)[\\s,，。;；、?？!！]+"), lambda x: x != "")
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def title_and_steps(title: Column, steps: Column) -> Column:
+    """The text that is indexed of a record: its title and its steps, a line each."""
+    return F.concat_ws("\n", title, F.array_join(steps, "\n"))
+
+
+def normalized_span(text: Column, needle: str) -> Column:
+    """Struct (start, end) of the first place of a needle (case-folded, white space squeezed) in a text, in the raw text's code points."""
+    squeezed = " ".join(needle.casefold().split())
+
+    def span(text: str | None) -> tuple[int | None, int | None]:
+        if text is None:
+            return None, None
+        folded, places, blank = [], [], True
+        for i, c in enumerate(text):
+            if c.isspace():
+                if not blank:
+                    folded.append(" ")
+                    places.append(i)
+                blank = True
+            else:
+                low = c.casefold()
+                folded.append(low)
+                places += [i] * len(low)
+                blank = False
+        at = "".join(folded).find(squeezed)
+        return (None, None) if at < 0 else (places[at], places[at + len(squeezed) - 1] + 1)
+
+    @F.pandas_udf("struct<start:int,end:int>")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([span(t) for t in texts], columns=["start", "end"], dtype="Int32")
+
+    return find(text)
+
+
+def url_quoted(part: Column) -> Column:
+    """Percent-encoded as a path segment: blanks as %20, unreserved characters and slashes as they are."""
+    return F.regexp_replace(F.regexp_replace(F.url_encode(part), "\\+", "%20"), "%2F", "/")
+
+
+def fenced_json(text: Column) -> Column:
+    """The JSON inside a fence of three backticks, or the text itself."""
+    inside = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
+    return F.when(inside != "", inside).otherwise(F.trim(text))

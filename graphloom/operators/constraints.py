@@ -68,9 +68,9 @@ def ranked(df: DataFrame, c: Constraints, members: str, value: str, id_col: str)
 
 
 def division(edges: DataFrame, owner: str, member: str, terms: dict[str, list[str]]) -> DataFrame:
-    """Owners that have, for every term, an edge to one of its aliases: counted distinct terms, one shuffle."""
-    names = F.create_map(*[F.lit(x) for t, aliases in terms.items() for a in aliases for x in (a, t)])
-    found = edges.where(F.col(member).isin([a for aliases in terms.values() for a in aliases])).select(owner, names[F.col(member)].alias("term"))
+    """Owners that have, for every term, an edge to one of its aliases (an alias may be several terms'): counted distinct terms, one shuffle."""
+    table = edges.sparkSession.createDataFrame([(a, t) for t, aliases in terms.items() for a in aliases], f"`{member}` string, term string")
+    found = edges.select(owner, F.col(member)).join(F.broadcast(table), member)  # a row an alias that was asked for
     return found.groupBy(owner).agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(terms)).select(owner)
 
 
@@ -92,3 +92,48 @@ def first_present(*columns: Column, blank_is_null: bool = False) -> Column:
 def reasons(rules: dict[str, Column]) -> Column:
     """Names of the rules that hold, in order."""
     return F.filter(F.array(*[F.when(rule, F.lit(n)) for n, rule in rules.items()]), lambda x: x.isNotNull())
+
+
+def holds_names(names: Column, aliases: Column, required, excluded) -> Column:
+    """Over normalised names and their aliases: every required one is among them, no excluded one is."""
+    from ..functions.text import key
+
+    every = F.transform(F.filter(F.concat(names, aliases), lambda x: x.isNotNull()), lambda x: key(x))
+    has = lambda x: F.array_contains(every, key(F.lit(x)))
+    test = F.lit(True)
+    for x in required:
+        test = test & has(x)
+    for x in excluded:
+        test = test & ~has(x)
+    return test
+
+
+def in_scope(nodes: DataFrame, edges: DataFrame, scope: dict[str, object]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a scope and the edges that are of it themselves and between its nodes."""
+    for column, value in scope.items():
+        nodes, edges = nodes.where(F.col(column).eqNullSafe(F.lit(value))), edges.where(F.col(column).eqNullSafe(F.lit(value)))
+    ids = nodes.select("id")
+    for end in ("start_id", "end_id"):
+        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    return nodes, edges
+
+
+def kind_rank(title: Column, phrase: str, members: Column) -> Column:
+    """0 for the very title, 1 where a member is the phrase, else 2."""
+    return F.when(F.lower(title) == phrase.lower(), 0).when(F.array_contains(F.transform(members, lambda x: F.lower(x)), phrase.lower()), 1).otherwise(2)
+
+
+def shuffled(rows: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
+    """n rows in an order that depends on the seed and the ids alone, with their place."""
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
+    return rows.withColumn("__k", place).orderBy("__k", id_col).limit(n).withColumnRenamed("__k", "shuffle_key")
+
+
+def holds_credential(text: Column) -> Column:
+    """A text that shows an access key or a secret's assignment is not handed out."""
+    return F.coalesce(text.rlike(r"\bsk-[A-Za-z0-9_-]{8,}|AKIA[A-Z0-9]{16}|(?i)\b(?:api_?key|password|secret|token)\b[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}"), F.lit(False))
+
+
+def of_kind(parts: Column, kind: str, wanted) -> Column:
+    """Nested elements of the wanted kinds only."""
+    return F.filter(parts, lambda x: x[kind].isin(*wanted))

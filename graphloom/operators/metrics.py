@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,58 @@ def contrast(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     both = listed(a, "a").join(listed(b, "b"), "query_id", "full")
     a_, b_ = (F.coalesce(c, F.array().cast(both.schema[c].dataType)) for c in ("a", "b"))
     return both.select("query_id", (a_ != b_).alias("changed_sequence"), (F.sort_array(a_) != F.sort_array(b_)).alias("changed_set"), F.size(F.array_except(b_, a_)).alias("n_new"))
+
+
+def ranking_violations(rankings: DataFrame, keys: list[str], k: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, id, reason) of saved rankings(keys, id, rank, bm25_rank, dense_rank, rrf) that do not follow from their own numbers.
+
+    A list names an id once; ranks run from 1 without gaps; rrf is the sum of 1 / (k + rank) over both lists; rows
+    are ordered by rrf, then id.
+    """
+    part = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c)), F.lit(0.0))
+    own = Window.partitionBy(*keys).orderBy("rank", "id")
+    before = Window.partitionBy(*keys, "id")
+    rows = rankings.withColumns({"__times": F.count("*").over(before), "__place": F.row_number().over(own), "__rrf": F.lag("rrf").over(own), "__id": F.lag("id").over(own)})
+    rules = {
+        "repeated": F.col("__times") > 1,
+        "rank": F.col("__place") != F.col("rank"),
+        "rrf": F.abs(F.col("rrf") - part("bm25_rank") - part("dense_rank")) > tolerance,
+        "order": (F.col("__rrf") < F.col("rrf") - tolerance) | ((F.abs(F.col("__rrf") - F.col("rrf")) <= tolerance) & (F.col("__id") > F.col("id"))),
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(n)) for n, test in rules.items()]), lambda x: x.isNotNull())
+    return rows.select(*keys, "id", F.explode(broken).alias("reason"))
+
+
+def metric_differences(saved_metrics: DataFrame, recomputed: DataFrame, keys: list[str], names: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(keys, name, saved, recomputed) where they differ, also where only one side has a value."""
+    rows = lambda df, out: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias(out)) for n in names])).alias("x")).select(*keys, "x.*")
+    both = rows(saved_metrics, "saved").join(rows(recomputed, "recomputed"), [*keys, "name"], "full")
+    return both.where(~F.coalesce(F.abs(F.col("saved") - F.col("recomputed")) <= tolerance, F.col("saved").isNull() & F.col("recomputed").isNull()))
+
+
+def gold_pairs(found: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b, n) of term pairs of found(term, id) that ``low`` to ``high`` texts hold together.
+
+    A text's distinct terms are of a fixed list, so its pairs are few; they are counted, not the texts compared.
+    """
+    terms = found.distinct().groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("t"))
+    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    counts = terms.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n").between(low, high))
+
+
+def gold_exclusions(found: DataFrame, pairs: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b, excluded, n): pairs with a third term whose texts are taken away, where some but not all are left."""
+    terms = found.distinct().groupBy("id").agg(F.collect_set("term").alias("t"))
+    wide = found.distinct().alias("x").join(terms, "id").select("id", F.col("term").alias("a"), "t")
+    held = wide.join(F.broadcast(pairs), "a").where(F.array_contains("t", F.col("b")))  # pairs of a fixed list of terms
+    every = found.select("term").distinct().withColumnRenamed("term", "excluded")
+    out = held.crossJoin(F.broadcast(every)).where(~F.array_contains("t", F.col("excluded")) & (F.col("excluded") != F.col("a")) & (F.col("excluded") != F.col("b")))
+    return out.groupBy("a", "b", "excluded").agg(F.count("*").alias("left"), F.first("n").alias("n")).where((F.col("left").between(low, high)) & (F.col("left") < F.col("n"))).select("a", "b", "excluded", F.col("left").alias("n"))
+
+
+def changes(a: DataFrame, b: DataFrame, scores_a: DataFrame, scores_b: DataFrame, names: list[str]) -> DataFrame:
+    """One row: queries whose lists differ, members new in b and queries whose metrics changed, over all queries."""
+    lists = contrast(a, b, 10).agg(F.count_if("changed_sequence").alias("changed_rankings"), F.sum("n_new").alias("new_members"))
+    moved = metric_differences(scores_a, scores_b, ["query_id"], names).select("query_id").distinct().agg(F.count("*").alias("changed_metrics"))
+    return lists.crossJoin(moved)  # one row each

@@ -115,11 +115,12 @@ def q_url_valid(spark, d):
     return table(spark, d, "pages").select("page_id", text.url_valid(F.col("url")).alias("valid"))
 
 
-@query("SELECT DISTINCT o_custkey AS owner, l_partkey AS member FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+@query("SELECT o_custkey AS owner, l_partkey AS member FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT c_custkey, c_nationkey FROM customer")
 def q_traverse_2hop(spark, d):
     first = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("middle"))
     second = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("middle"), F.col("l_partkey").alias("member"))
-    return graph.rolled_up(first, second)
+    direct = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_nationkey").cast("long").alias("member"))
+    return graph.rolled_up(first, second, direct)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -155,18 +156,24 @@ def q_unique_candidate_fallback(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))")
 def q_containment_join(spark, d):
-    """Passages meet the texts that hold their first words, by a join on that word sequence, and are then looked for."""
+    """Passages meet the texts that hold their inner words, by a join on the hash of up to three of them, and are then looked for."""
     squeezed = lambda c: text.squeeze(F.lower(c))
     passages = table(spark, d, "benchmark").select("item_id", squeezed(F.col("text")).alias("p")).withColumn("w", F.split("p", " "))
     docs = table(spark, d, "documents").select("doc_id", squeezed(F.col("text")).alias("t"))
-    words = docs.select("doc_id", "t", F.split("t", " ").alias("w"))
     # a passage's inner words stand whole in a text that contains it
-    long = passages.where("size(w) >= 5").select("item_id", "p", F.concat_ws(" ", F.slice("w", 2, 3)).alias("k"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3))))
-    keys = long.select("k").distinct()
-    held = words.where("size(w) >= 3").select("doc_id", F.explode(grams).alias("k")).join(keys, "k", "left_semi")
-    found = held.join(long, "k").select("item_id", "p", "doc_id").distinct().join(docs, "doc_id").where(F.col("t").contains(F.col("p")))
-    short = passages.where("size(w) < 5").join(docs, F.col("t").contains(F.col("p")))
+    inner = passages.where("size(w) >= 3").withColumn("m", F.least(F.lit(3), F.size("w") - 2))
+    keyed = inner.select("item_id", "p", F.xxhash64(F.expr("slice(w, 2, m)")).alias("k"), "m")
+    words = docs.select("doc_id", F.split("t", " ").alias("w"))
+    held = None
+    for m in sorted(r.m for r in keyed.select("m").distinct().collect()):  # 1, 2 or 3
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.slice("w", i, m))))  # noqa: B023
+        own = keyed.where(F.col("m") == m).select("item_id", "k")
+        part = words.where(F.size("w") >= m).select("doc_id", F.explode(grams).alias("k")).join(own, "k").select("item_id", "doc_id")
+        held = part if held is None else held.union(part)
+    short = passages.where("size(w) < 3").join(docs, F.col("t").contains(F.col("p")))  # one or two words may begin anywhere
+    if held is None:
+        return short.select("item_id", "doc_id")
+    found = held.distinct().join(inner.select("item_id", "p"), "item_id").join(docs, "doc_id").where(F.col("t").contains(F.col("p")))
     return found.select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
 
 
@@ -202,10 +209,10 @@ def world(spark, d):
     return nodes, graph.edges_of(both, ("nation", F.col("n_name")), "IN_REGION", ("region", F.col("r_name")))
 
 
-@query(_GRAPH + "SELECT start_id, end_id, type FROM g WHERE start_id IN (SELECT id FROM n WHERE name < 'M') AND end_id IN (SELECT id FROM n WHERE name < 'M')")
+@query(_GRAPH + "SELECT start_id, end_id, type FROM g WHERE start_id IN (SELECT id FROM n WHERE name < 'NATION_2') AND end_id IN (SELECT id FROM n WHERE name < 'NATION_2')")
 def q_subgraph(spark, d):
     nodes, links = world(spark, d)
-    return graph.induced(nodes, links, nodes.where("name < 'M'"))
+    return graph.induced(nodes, links, nodes.where("name < 'NATION_2'"))
 
 
 @query(_GRAPH + "SELECT a.name AS start_name, b.name AS end_name FROM g JOIN n a ON start_id = a.id JOIN n b ON end_id = b.id")

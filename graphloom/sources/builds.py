@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-STATUS = "build_id string, status string, n_rows long, content_hash long, at timestamp"
+STATUS = "build_id string, status string, n_rows long, content_hash string, at timestamp"
 
 
 class BuildError(RuntimeError):
@@ -26,18 +26,43 @@ def export_lines(df: DataFrame, path: str, compressed: bool = False) -> int:
     return df.sparkSession.read.schema(df.schema).json(path).count()
 
 
+def _one_payload(incoming: DataFrame, key: str, payload: list[str]) -> None:
+    """A key that comes twice with different payloads is an error."""
+    if not incoming.groupBy(key).agg(F.countDistinct(F.struct(*payload)).alias("n")).where("n > 1").isEmpty():
+        raise BuildError(f"one {key} comes with several payloads")
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """existing with incoming rows in place of those of the same key."""
+    """existing with incoming rows in place of those of the same key; equal incoming rows count once, unequal ones of a key are an error."""
+    _one_payload(incoming, key, [c for c in incoming.columns if c != key])
+    incoming = incoming.dropDuplicates([key])
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
 def append_only(existing: DataFrame, incoming: DataFrame, key: str, payload: str) -> DataFrame:
-    """Rows of incoming that are new; a known key with another payload is an error."""
+    """Rows of incoming that are new, each once; a key with another payload, known or in the same import, is an error."""
     known = existing.select(key, F.col(payload).alias("__known"))
     clash = incoming.join(known, key).where(~F.col(payload).eqNullSafe(F.col("__known")))
     if not clash.isEmpty():
         raise BuildError(f"a known {key} comes with another {payload}")
-    return incoming.join(known, key, "left_anti")
+    _one_payload(incoming, key, [payload])
+    return incoming.dropDuplicates([key]).join(known, key, "left_anti")
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """One row as one JSON file, which appears whole: a small report, not a table."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_trace(rows: DataFrame, path: str) -> None:
+    """Add rows to a log that is only ever appended to, with the time of writing."""
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def inventory(found: DataFrame, cached: DataFrame, key: str, fingerprint: str, make) -> DataFrame:
+    """The cached rows whose fingerprint is still found, and rows made anew for what is new or changed."""
+    same = cached.join(found.select(key, fingerprint), [key, fingerprint], "left_semi")
+    return same.unionByName(make(found.join(cached.select(key, fingerprint), [key, fingerprint], "left_anti")))
 
 
 def todo(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -51,7 +76,7 @@ class Builds:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _log(self, build_id: str, status: str, n_rows: int | None = None, content_hash: int | None = None) -> None:
+    def _log(self, build_id: str, status: str, n_rows: int | None = None, content_hash: str | None = None) -> None:
         row = self.spark.createDataFrame([(build_id, status, n_rows, content_hash, None)], STATUS).withColumn("at", F.current_timestamp())
         row.write.mode("append").json(f"{self.path}/_status")
 
@@ -74,18 +99,26 @@ class Builds:
 
     def publish(self, build_id: str, df: DataFrame) -> None:
         """Reserve, write, read back and activate. An unequal read-back marks the build as failed."""
-        from ..functions.hashing import content_hash
+        from ..functions.hashing import content_hash, content_sums
 
         if not self.status().where(F.col("build_id") == build_id).where("status <> 'failed'").isEmpty():
             raise BuildError(f"build {build_id} exists")
         self._log(build_id, "importing")
         columns = sorted(df.columns)
-        df.write.mode("overwrite").parquet(f"{self.path}/{build_id}")
-        want, found = (content_hash(x, columns).first() for x in (df, self.read(build_id)))
-        if want != found:
+        written = Observation()  # of the rows that are written, not of another evaluation
+        df.observe(written, *content_sums(columns)).write.mode("overwrite").parquet(f"{self.path}/{build_id}")
+        found = content_hash(self.read(build_id), columns).first()
+        if found.asDict() != written.get:
             self._log(build_id, "failed")
             raise BuildError(f"build {build_id} reads back differently")
         self._log(build_id, "verified", found.n_rows, found.content_hash)
 
+    def only(self) -> str:
+        """The one verified build; none or several are an error."""
+        rows = self.status().where("status = 'verified'").limit(2).collect()
+        if len(rows) != 1:
+            raise BuildError(f"{len(rows) or 'no'} verified builds where one was expected")
+        return rows[0].build_id
+
     def read(self, build_id: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{build_id or self.active()}")

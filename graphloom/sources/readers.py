@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship_package
+
 SOURCE = "id string, title string, url string"
 RECIPE = f"id string, name string, ingredients array<string>, seasonings array<string>, minutes int, tags array<string>, steps array<string>, source struct<{SOURCE}>, images array<string>, videos array<string>"
 DOCUMENT = f"schema_version int, dataset struct<id string, name string, is_demo boolean, description string, source string, license string>, ingredient_aliases map<string,string>, recipes array<struct<{RECIPE}>>"
@@ -30,12 +32,24 @@ def recipes(documents: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.array_distinct(c) for c in ("ingredients", "seasonings", "tags", "images", "videos")})
 
 
-def with_aliases(recipes_: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ingredients under their canonical names."""
+def canonical_recipes(documents: DataFrame) -> DataFrame:
+    """Recipes with their ingredients under the canonical names of their own document."""
     named = lambda m, x: F.coalesce(F.try_element_at(m, x), x)
-    table = documents.select("ingredient_aliases").limit(1)  # one map
-    rows = recipes_.crossJoin(F.broadcast(table))
-    return rows.withColumn("ingredients", F.array_distinct(F.transform("ingredients", lambda x: named(F.col("ingredient_aliases"), x)))).drop("ingredient_aliases")
+    rows = documents.select("ingredient_aliases", F.explode("recipes").alias("r")).select("ingredient_aliases", "r.*")
+    rows = rows.withColumns({c: F.array_distinct(c) for c in ("ingredients", "seasonings", "tags", "images", "videos")})
+    own = F.coalesce("ingredient_aliases", F.create_map().cast("map<string,string>"))
+    return rows.withColumn("ingredients", F.array_distinct(F.transform("ingredients", lambda x: named(own, x)))).drop("ingredient_aliases")
+
+
+def recipe_violations(rows: DataFrame) -> DataFrame:
+    """(id, reason) of recipes without id, name, steps or source, with blank members, minutes below one, or a repeated id."""
+    from ..operators.audit import violations
+
+    blank = lambda c: F.exists(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    rules = {"id": filled(F.col("id")), "name": filled(F.col("name")), "steps": F.size(F.coalesce("steps", F.array().cast("array<string>"))) > 0, "blank_member": ~(blank("ingredients") | blank("seasonings") | blank("tags") | blank("steps")), "minutes": F.col("minutes").isNull() | (F.col("minutes") >= 1), "source": filled(F.col("source.id")) & filled(F.col("source.title"))}
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated_id").alias("reason"))
+    return violations(rows, "id", rules).union(repeated)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,14 +57,25 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def newest_form(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a folder in which a plain file takes the place of a gzip file of the same name."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: the content column is not read
+    chosen = files.select("path", F.regexp_replace("path", r"\.gz$", "").alias("plain")).groupBy("plain").agg(F.min_by("path", F.length("path")).alias("path"))
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows.withColumn("__file", F.col("_metadata.file_path")).join(F.broadcast(chosen.select(F.col("path").alias("__file"))), "__file", "left_semi").drop("__file")
+
+
 def checkpoint_lines(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """The last record of each key. A torn last line of a file is dropped; one further up is an error."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
-    parsed = lines.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("last", F.max("at").over(Window.partitionBy("file")))
+    """The last record of each key. A torn last line of a file is dropped; one further up is an error.
+
+    Files are read by line and in splits: a line's place is its file, its split's first byte and its row in the task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")).where("trim(value) <> ''")
+    last = lines.groupBy("file").agg(F.max("at").alias("last"))
+    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"})).join(F.broadcast(last), "file")  # a row a file
     torn = F.col("r").isNull() | F.col(f"r.{key}").isNull()
     good = parsed.where(~(torn & (F.col("at") == F.col("last")))).withColumn("r", F.when(torn, F.raise_error(F.lit("torn line inside a checkpoint")).cast(parsed.schema["r"].dataType)).otherwise(F.col("r")))
-    ranked = good.withColumn("n", F.row_number().over(Window.partitionBy(f"r.{key}").orderBy(F.desc("file"), F.desc("at"))))
-    return ranked.where("n = 1").select("r.*")
+    return good.groupBy(f"r.{key}").agg(F.max_by("r", F.struct("file", "at")).alias("r")).select("r.*")
 
 
 def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -116,6 +141,7 @@ def archive_members(spark: SparkSession, path: str, texts_only: bool = True) ->
                         rows.append((archive, i.filename, i.file_size, i.compress_size, f"{i.CRC:08x}", i.compress_type, i.header_offset, body, fault))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEMBERS.split(", ")])
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     members = files.mapInPandas(run, _MEMBERS)
     after = F.lead("header_offset").over(Window.partitionBy("archive").orderBy("header_offset"))
@@ -135,6 +161,27 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", ""), gb18030(content))
 
 
+def paired_folders(members: DataFrame, limit: int = 0) -> DataFrame:
+    """(archive, folder) of folders with both a goal and a steps file, in lexical order; a limit of 0 means all."""
+    folder = F.regexp_extract("member", "^(.*?)/?[^/]*$", 1).alias("folder")
+    of = lambda kind: members.where(F.col("kind") == kind).select("archive", folder).distinct()
+    rows = of("goal").join(of("steps"), ["archive", "folder"]).orderBy("archive", "folder")
+    return rows.limit(limit) if limit else rows
+
+
+def repaired_name(name: Column) -> Column:
+    """A member's name whose UTF-8 bytes were read as code page 437; other names as they are."""
+    return F.coalesce(_from_cp437(F.when(name.rlike("[^\\x00-\\x7F]"), name)), name)
+
+
+@F.udf(T.StringType())
+def _from_cp437(name: str | None) -> str | None:
+    try:
+        return None if name is None else name.encode("cp437").decode("utf-8")
+    except UnicodeError:
+        return None
+
+
 def records(members: DataFrame) -> DataFrame:
     """Folders with a steps file become records: title from the goal file, numbered steps, media of the folder."""
     from ..functions.text import lines
@@ -159,7 +206,9 @@ def read_plan(members: DataFrame, max_gap: int = 16384, max_span: int = 8 << 20)
 
 
 def selection(rows: DataFrame, id_col: str, offset: int = 0, limit: int = 0, only: str | None = None) -> DataFrame:
-    """Rows by id: one of them, or those from an offset on; a limit of 0 means all."""
+    """Rows by id: one of them, or those from an offset on; a limit of 0 means all. A repeated id is an error."""
+    if not rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{id_col} is not unique")
     if only is not None:
         return rows.where(F.col(id_col) == only)
     out = rows.orderBy(id_col).offset(offset)
@@ -189,3 +238,20 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     """Files under a path whose SHA-256 is not the manifest's (name, sha256), or that only one side knows."""
     found = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("found"))
     return manifest.select("name", "sha256").join(found, "name", "full").where(~F.col("sha256").eqNullSafe(F.col("found")))
+
+
+def manifest_differences(table: DataFrame, manifest: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """(name, expected, found) of a one-row manifest's fields that the table does not bear out."""
+    given = manifest.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("expected")) for n in measures])).alias("x")).select("x.*")
+    found = table.agg(*[c.alias(n) for n, c in measures.items()]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("found")) for n in measures])).alias("x")).select("x.*")
+    return given.join(found, "name").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def corpus_violations(docs: DataFrame, id_col: str, text_col: str, sha_col: str, prefix: str = "") -> DataFrame:
+    """(id, reason) of a text corpus whose ids are blank, repeated or of another name space, or whose text is not its hash's."""
+    from ..operators.audit import violations
+
+    own = F.col(id_col).cast("string")
+    rules = {"id": F.length(own) > 0, "name_space": own.startswith(prefix), "text": F.col(text_col).isNotNull(), "hash": F.sha2(F.col(text_col).cast("binary"), 256).eqNullSafe(F.col(sha_col))}
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col, F.lit("repeated").alias("reason"))
+    return violations(docs, id_col, rules).union(repeated)

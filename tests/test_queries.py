@@ -43,3 +43,30 @@ def test_mentions_and_alignment_take_all_rows(spark):
         size[r.day] = size.get(r.day, 0) + 1
     alone = {str(r.event_id) for r in days if size[r.day] == 1 and any(int(r.value // 1) * (k + 3) % 100 > 50 for k in range(3))}
     assert alone and alone <= {r.media for r in rows}
+
+
+def test_queries_away_from_the_repository(folder):
+    """Python workers find the package wherever the driver's working folder is."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+for name in ("q_mentions", "q_mention_rollup", "q_span_check", "q_chunk_pack", "q_chunk_coverage", "q_align_dp", "q_tf_df", "q_normalized_span", "q_json_faults", "q_repaired_names"):
+    assert __spark_entry__.queries()[name](spark, {SMALL!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True, timeout=400)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & {"q_subgraph", "q_span_check", "q_chunk_coverage", "q_bundle_violations", "q_ranking_audit", "q_metric_audit", "q_answer_violations", "q_selection_violations", "q_detail_contract", "q_gold_pairs", "q_gold_exclusions", "q_normalized_span", "q_vector_audit", "q_verified_corpus"}))
+def test_audits_are_not_vacuous(spark, name):
+    assert QUERIES[name](spark, SMALL).count() > 0

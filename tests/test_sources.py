@@ -19,7 +19,7 @@ def test_document(spark, folder):
     recipe = {"id": "r", "name": "n", "ingredients": ["egg", "tofu", "egg"], "seasonings": [], "minutes": None, "tags": [], "steps": ["stir", "stir"], "source": {"id": "s", "title": "t", "url": "u"}, "images": [], "videos": []}
     path = write(f"{folder}/d.json", json.dumps({"schema_version": 1, "dataset": {}, "ingredient_aliases": {"tofu": "bean curd"}, "recipes": [recipe]}, indent=1))
     docs = readers.document(spark, path)
-    row = readers.with_aliases(readers.recipes(docs), docs).first()
+    row = readers.canonical_recipes(docs).first()
     assert row.ingredients == ["egg", "bean curd"] and row.steps == ["stir", "stir"] and row.minutes is None
 
 
