@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.evidence import ranked_at_scale
 from .common import saved
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -22,11 +23,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Sources take the weights by turns in code point order, null last. A target stops at epochs times its
     source's size, and what is over goes to the others by weight until none is above. Only two sums
-    reach the driver in each round. The ranks of sources come from one sort of the (few) source names.
+    reach the driver in each round. Ranks come from ranges of source names, so there may be as many sources as rows.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    ranked = ranked_at_scale(sizes, [], "rank", F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    rows = saved(sizes.withColumn("weight", F.element_at(turn, (rank % len(weights) + 1).cast("int"))))
+    rows = saved(ranked.withColumn("weight", F.element_at(turn, ((F.col("rank") - 1) % len(weights) + 1).cast("int"))).drop("rank"))
     limit = F.lit(float(epochs)) * F.col("source_size")
     total = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
@@ -46,11 +47,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     documents get their words in the order of md5(seed + id), the last one partly, so a source's taken
     words are its target rounded down, and no document exceeds ``epochs`` times its size. Null texts have
     size 0; null sources are one source; rows without id come in one place of the order; equal rows are
-    interchangeable. A single hot source is spread over range partitions of the order.
+    interchangeable; empty docs give no rows; other columns are not read. A single hot source is spread over range partitions of the order.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), key.alias("key"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sized = saved(sized)  # ranges are drawn from a sample: texts are split into words once, not for the sample too
     ranged = sized.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "size").withColumn("part", F.spark_partition_id())
     ranged = saved(ranged)
     by_part = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
