@@ -3,6 +3,8 @@ and ordered rules are matched against a text's sequence of identifiers. DataFram
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,7 @@ RULES = (
     ("Unlicense", "UNLICENSE"),
     ("Public-Domain", "PUBLIC_DOMAIN"),
 )
-_MAY = "(?i)licens|permission|warrant|redistribut|public domain|copyright"
-# Fixed values beyond those that the SQL holds: sentences and rules of further licences, by the same form.
+# Sentences and rules of further licences, by the same form.
 _GNU = "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1} general public license as published by the free software foundation either version {2} of the license or at your option any later version"
 _NAMED = {
     "gnu general public license version 3 0": "GPL3_REF",
@@ -99,6 +100,24 @@ MORE_RULES = (
     ("BSD-2-Clause", "BSD2_REF"),
     ("CC0-1.0", "CC0_REF"),
 )
+# Identifiers that a line "SPDX-License-Identifier: ..." may name; also what says that a work is under them.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 MPL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 CDDL-1.0 Artistic-2.0 WTFPL Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later".split()
+_plain = lambda name: re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+MORE_SENTENCES |= {f"spdx license identifier {_plain(n)}": f"SPDX_{_plain(n).replace(' ', '_').upper()}" for n in SPDX}
+MORE_RULES += tuple((n, f"SPDX_{_plain(n).replace(' ', '_').upper()}") for n in SPDX)
+ALL_SENTENCES, ALL_RULES = {**MORE_SENTENCES, **SENTENCES}, (*RULES, *MORE_RULES)
+
+
+def _prefilter(sentences) -> str:
+    """An expression that finds a word of every sentence: a few words first, then the longest word of what they miss."""
+    words = ["licens", "permission", "warrant", "redistribut", "public", "copyright"]
+    for s in sentences:
+        if not any(w in s for w in words):
+            words.append(max(s.split(), key=len))
+    return "(?i)" + "|".join(words)
+
+
+_MAY = _prefilter(ALL_SENTENCES)
 #: What may stand before a reference: "this project is".
 _SUBJECT = "(?:(?:this|the) (?:[a-z0-9]+ (?:\\x02 )?){1,3}(?:is|are) (?:\\x02 )?)?"
 
@@ -110,7 +129,7 @@ def sentence_ids(text: Column) -> Column:
     semicolons may also stand between its words (written \\x02), blank lines, dashes of lists and other sentence
     ends (\\x01) may not. Marks of comments are no letters and so vanish.
     """
-    all_of = {**MORE_SENTENCES, **SENTENCES}
+    all_of = ALL_SENTENCES
     known = F.create_map(*[F.lit(x) for pair in all_of.items() for x in pair])
     any_of = "|".join(s.replace(" ", " (?:\\x02 )?") for s in sorted(all_of, key=lambda s: (-len(s), s)))
     t = F.regexp_replace(F.regexp_replace(F.lower(text), "\r", ""), r"(?<=[.:!?])\x20+", "\x01")
@@ -128,13 +147,14 @@ def find_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with licence_sentences (identifiers in order), licences (distinct names, sorted) and partly.
 
     Rules are tried at each place in order, and what one has matched is not read again; partly is true if
-    some identifiers fit no rule. Null and empty texts have empty arrays. Columns of these names are replaced.
+    some identifiers fit no rule. Null and empty texts have empty arrays; repeated rows get equal results; empty
+    docs give no rows. Columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("licence_sentences", sentence_ids(text))
     line = F.concat(F.lit("  "), F.array_join("licence_sentences", "  "), F.lit("  "))
     # two blanks between identifiers: one on each side of a match; inside a rule they are written as two
-    rules = {ids.replace(" ", "  "): name for name, ids in (*RULES, *MORE_RULES)}
+    rules = {ids.replace(" ", "  "): name for name, ids in ALL_RULES}
     pattern = "|".join(f"(?<=\\x20){ids}(?=\\x20)" for ids in rules)
     names = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     found = F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))

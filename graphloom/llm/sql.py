@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 
 from .decontaminate import WINDOW
-from .licences import RULES, SENTENCES
+from .licences import _MAY, ALL_RULES, ALL_SENTENCES
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -44,11 +44,11 @@ hit AS (SELECT doc_id, i, dw.m, item FROM dw JOIN g ON dw.m = g.m AND dw.s = g.s
 it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-_RULES = ", ".join(f"('{n}', '{i.replace(' ', '  ')}')" for n, i in RULES)
-_ANY = "|".join(f" {i.replace(' ', '  ')} " for _, i in RULES)
+_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in ALL_SENTENCES.items())
+_RULES = ", ".join(f"('{n}', '{i.replace(' ', '  ')}')" for n, i in ALL_RULES)
+_ANY = "|".join(f" {i.replace(' ', '  ')} " for _, i in ALL_RULES)
 _LICENCES = f"""WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS x(s, id)), n AS (SELECT * FROM (VALUES {_RULES}) AS x(name, ids)),
-t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+')) AS s, generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+'), 1) AS i FROM documents WHERE regexp_matches(text, '(?i)licens|permission|warrant|redistribut|public domain|copyright')),
+t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+')) AS s, generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.:;!?])\\x20+', '\\1' || chr(10), 'g'), '\\n+'), 1) AS i FROM documents WHERE regexp_matches(text, '{_MAY}')),
 m AS (SELECT doc_id, i, id FROM t JOIN k ON k.s = trim(regexp_replace(lower(t.s), '[^a-z0-9]+', ' ', 'g'))), q AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM m GROUP BY 1),
 f AS (SELECT doc_id, ids, regexp_extract_all(' ' || array_to_string(ids, '  ') || ' ', '{_ANY}') AS found FROM q),
 e AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT name) AS n FROM (SELECT doc_id, trim(unnest(found)) AS x FROM f) JOIN n ON x = ids GROUP BY 1)
