@@ -23,7 +23,7 @@ from .textkit import LOWER, U, mix, shingles, span_hashes, word_spans
 TREES, DEPTH, MIN_DEPTH, REGION, NEIGHBOURS = 20, 9, 4, 16, 3
 #: Sets on either side of an exact comparison's block, places on either side of a shingle's, and counters of the
 #: shingles' frequencies (they give an order, never a filter).
-BLOCK, PLACES, COUNTERS = 256, 2048, 1 << 20
+BLOCK, PLACES, COUNTERS = 256, 512, 1 << 20
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TREES * DEPTH, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
