@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import shared_folder, ship_package
+
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 CHUNK_BYTES = 1 << 19
 WORDS_JAVA = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset and the master is local, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -85,20 +73,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package's source to the executors, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_package_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in root.rglob("*.py"):
-            z.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._package_shipped = True
-
-
 class Chunk:
     """Some consecutive rows' texts: one byte array, and where each row begins and ends in it."""
 

@@ -133,7 +133,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, redact: str | None = None) -> DataFrame:
     """docs' columns ``keep`` (all by default) with secrets: array of (kind, start, end).
 
-    Null and empty texts have none. With ``redact``, the column ``redacted`` holds the text with every
+    Null and empty texts have none; repeated rows get equal spans; empty docs give no rows; columns of the new
+    names are replaced. Keywords lead to every kind but hex, whose digits no keyword announces: it is looked for
+    in the whole text. With ``redact``, the column ``redacted`` holds the text with every
     secret replaced by it, overlapping spans as one; null stays null.
     """
 
