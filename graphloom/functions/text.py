@@ -188,3 +188,9 @@ def fenced_json(text: Column) -> Column:
     """The JSON inside a fence of three backticks, or the text itself."""
     inside = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
     return F.when(inside != "", inside).otherwise(F.trim(text))
+
+
+def expanded_query(text: Column, aliases: dict[str, list[str]]) -> Column:
+    """A question followed by the aliases of every name that it contains, in listed order."""
+    more = [F.when(contains_alias(text, name), F.lit(" ".join(others))) for name, others in aliases.items()]
+    return F.concat_ws(" ", text, *more)

@@ -73,3 +73,25 @@ def citations_owned(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     by_answer = found.groupBy("answer_id").agg(F.count_if(F.expr("evidence_id IS NOT NULL AND source IS NULL")).alias("n_unknown"), F.count_if(F.expr("source <> asked")).alias("n_foreign"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("held", F.array().cast("array<string>"))))).alias("held"))
     out = answers.join(by_answer, "answer_id")
     return out.select("answer_id", "n_unknown", "n_foreign", F.size(F.array_except("numbers", "held")).alias("n_unsupported")).withColumn("valid", F.expr("n_unknown = 0 AND n_foreign = 0 AND n_unsupported = 0"))
+
+
+def misplaced(rows: DataFrame, keys: list[str], place: str, order: str) -> DataFrame:
+    """Rows whose place is not their number (from 0) in the order of their keys."""
+    found = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return rows.withColumn("__n", found).where(F.col("__n") != F.col(place)).drop("__n")
+
+
+def changed_values(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, change) of rows that are new, gone or of other values."""
+    mark = lambda df, name: df.select(key, F.xxhash64(*columns).alias(name))
+    both = mark(before, "__a").join(mark(after, "__b"), key, "full")
+    change = F.when(F.col("__a").isNull(), "new").when(F.col("__b").isNull(), "gone").when(F.col("__a") != F.col("__b"), "changed")
+    return both.select(key, change.alias("change")).where("change IS NOT NULL")
+
+
+def scope_proof(nodes: DataFrame, edges: DataFrame, expected: DataFrame, id_col: str) -> DataFrame:
+    """One row: expected, found and missing ids, edges that leave the nodes, and whether all is there and nothing else."""
+    ids = same_ids(expected.select(F.col(id_col).alias("id")), nodes.select("id"), "id")
+    loose = edges.join(nodes.select(F.col("id").alias("start_id")), "start_id", "left_anti").unionByName(edges.join(nodes.select(F.col("id").alias("end_id")), "end_id", "left_anti")).distinct()
+    out = ids.crossJoin(loose.agg(F.count("*").alias("loose_edges")))  # one row each
+    return out.select(F.col("only_a").alias("missing"), F.col("only_b").alias("unexpected"), "loose_edges", (F.col("equal") & (F.col("loose_edges") == 0)).alias("complete"))

@@ -59,6 +59,15 @@ def within_budget(df: DataFrame, keys: list[str], size: str, budget: int, *order
     return df.withColumn("used", F.sum(size).over(upto)).withColumn("__over", F.max((F.col("used") > budget).cast("int")).over(upto)).where("__over = 0").drop("__over")
 
 
+def newest_within(df: DataFrame, keys: list[str], text: str, budget: int, *order: Column) -> DataFrame:
+    """The newest rows (order: newest first) within a budget of characters; the one that passes it is cut to its last characters."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__size", F.length(text)).withColumn("__used", F.sum("__size").over(upto))
+    room = F.lit(budget) - (F.col("__used") - F.col("__size"))
+    kept = rows.where(room > 0).withColumn(text, F.when(F.col("__size") <= room, F.col(text)).otherwise(F.right(F.col(text), room.cast("int"))))
+    return kept.drop("__size", "__used")
+
+
 def numbered(df: DataFrame, keys: list[str], *order: Column, prefix: str = "E") -> DataFrame:
     """evidence_id E1, E2, ... inside each group."""
     return df.withColumn("evidence_id", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("string")))

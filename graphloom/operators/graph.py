@@ -19,6 +19,35 @@ def edges_of(df: DataFrame, start: tuple[str, Column], kind: str, end: tuple[str
     return df.select(ids[0].alias("start_id"), ids[1].alias("end_id"), F.lit(kind).alias("type")).where("start_id IS NOT NULL AND end_id IS NOT NULL").distinct()
 
 
+def text_graph(records: DataFrame, steps: DataFrame, mentions: DataFrame, relations: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of records(record, title), steps(record, step, text) and mentions(record, step, kind, normalized_name).
+
+    A record has its steps; a step has an edge to each name of a kind that it mentions, of the type that
+    ``relations`` gives the kind. Entities are known by kind and name, steps by record and place.
+    """
+    record = uid("record", F.col("record").cast("string"))
+    step = uid("step", F.concat_ws(":", "record", "step"))
+    entity = uid("entity", F.concat_ws(":", "kind", "normalized_name"))
+    kinds = F.create_map(*[F.lit(x) for pair in relations.items() for x in pair])
+    told = mentions.where(F.col("kind").isin(list(relations)) & F.col("normalized_name").isNotNull())
+    nodes = records.select(record.alias("id"), F.lit("Record").alias("label"), F.col("title").alias("name"))
+    nodes = nodes.union(steps.select(step, F.lit("Step"), F.col("text"))).union(told.select(entity, F.initcap("kind"), F.col("normalized_name")).distinct())
+    edges = steps.select(record.alias("start_id"), step.alias("end_id"), F.lit("HAS_STEP").alias("type"))
+    return nodes, edges.union(told.select(step, entity, F.element_at(kinds, F.col("kind"))).distinct())
+
+
+def candidate_index(nodes: DataFrame, edges: DataFrame, owner_label: str, step_type: str) -> DataFrame:
+    """(owner, kind, name): what an owner's own edges and those of its steps lead to, by normalised name, each once."""
+    from ..functions.text import key
+
+    labels = nodes.select("id", "label", "name")
+    owners = labels.where(F.col("label") == owner_label).select(F.col("id").alias("owner"))
+    of_step = edges.where(F.col("type") == step_type).select(F.col("start_id").alias("owner"), F.col("end_id").alias("start_id")).join(owners, "owner", "left_semi")
+    links = edges.where(F.col("type") != step_type)
+    reached = of_step.join(links, "start_id").select("owner", "end_id").union(links.join(owners.withColumnRenamed("owner", "start_id"), "start_id", "left_semi").select(F.col("start_id").alias("owner"), "end_id"))
+    return reached.join(labels.withColumnRenamed("id", "end_id"), "end_id").select("owner", F.col("label").alias("kind"), key(F.col("name")).alias("name")).distinct()
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(start_id, start_name, end_id, end_name) over the edges of one type."""
     a = nodes.select(F.col("id").alias("start_id"), F.col("name").alias("start_name"))

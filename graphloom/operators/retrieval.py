@@ -196,3 +196,12 @@ def covered(graph: DataFrame, scored: DataFrame) -> DataFrame:
     ids = graph.select("id").distinct()
     counts = ids.join(scored.where("dense IS NOT NULL").select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")
     return counts.agg(F.count("*").alias("graph_count"), F.coalesce(F.sum("hit"), F.lit(0)).alias("scored_count")).withColumn("complete", F.col("graph_count") == F.col("scored_count"))
+
+
+def with_evidence(ranked: DataFrame, evidence: DataFrame, allowed: Column, limit: int) -> DataFrame:
+    """The first ``limit`` of ranked(id, rank) that a filter over their evidence(id, ...) leaves; those without evidence stay, marked.
+
+    The filter comes after the search and nothing refills it.
+    """
+    rows = ranked.join(evidence.withColumn("__known", F.lit(True)), "id", "left").withColumn("orphan", F.col("__known").isNull()).drop("__known")
+    return rows.where(F.col("orphan") | F.coalesce(allowed, F.lit(False))).orderBy("rank").limit(limit)

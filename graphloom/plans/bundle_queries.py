@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answers, bundles, constraints, metrics
-from . import retrieval_queries
+from ..operators import answers, audit, bundles, constraints, evidence, graph, metrics, retrieval
+from ..streaming import windows
+from . import retrieval_queries, text_queries
 from .registry import query, table
 
 # Fixed values of the queries: predicates that triples may have, and what ends relationships may have.
@@ -341,3 +342,86 @@ def q_url_quoted(spark, d):
 def q_fenced_json(spark, d):
     fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("see\n```json\n"), "props", F.lit("\n```\nend"))).otherwise(F.col("props"))
     return table(spark, d, "events").select("event_id", F.from_json(text.fenced_json(fenced), "k long").getField("k").alias("k"))
+
+
+_UID = "'{0}:' || substr(sha256({1}), 1, 24)"
+_RECORD, _STEP, _ENTITY = _UID.format("record", "doc_id::VARCHAR"), _UID.format("step", "doc_id || ':' || step"), _UID.format("entity", "kind || ':' || normalized_name")
+
+
+def text_graph(spark, d):
+    docs = table(spark, d, "documents")
+    steps = docs.select(F.col("doc_id").alias("record"), F.posexplode(text.lines(F.col("text"))).alias("step", "text"))
+    mentions = text_queries.document_mentions(spark, d).withColumnRenamed("doc_id", "record")
+    return graph.text_graph(docs.select(F.col("doc_id").alias("record"), F.col("source").alias("title")), steps, mentions, {"tool": "USES_TOOL", "ingredient": "USES", "action": "HAS_ACTION"})
+
+
+@query(text_queries._MENTIONS + f"SELECT {_RECORD} AS start_id, {_STEP} AS end_id, 'HAS_STEP' AS type FROM l UNION ALL SELECT DISTINCT {_STEP}, {_ENTITY}, CASE kind WHEN 'tool' THEN 'USES_TOOL' WHEN 'ingredient' THEN 'USES' ELSE 'HAS_ACTION' END FROM r")
+def q_text_graph_edges(spark, d):
+    return text_graph(spark, d)[1]
+
+
+@query(text_queries._MENTIONS + "SELECT 'Record' AS label, count(*) AS n FROM documents UNION ALL SELECT 'Step', count(*) FROM l UNION ALL SELECT upper(kind[1]) || kind[2:], count(DISTINCT normalized_name) FROM r GROUP BY kind")
+def q_text_graph_nodes(spark, d):
+    return text_graph(spark, d)[0].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(text_queries._MENTIONS + f"SELECT DISTINCT {_RECORD} AS owner, upper(kind[1]) || kind[2:] AS kind, normalized_name AS name FROM r")
+def q_candidate_index(spark, d):
+    return graph.candidate_index(*text_graph(spark, d), "Record", "HAS_STEP")
+
+
+@query(text_queries._MENTIONS + "SELECT 0::BIGINT AS missing, (SELECT count(*) FROM l)::BIGINT + (SELECT count(*) FROM (SELECT DISTINCT kind, normalized_name FROM r))::BIGINT AS unexpected, 0::BIGINT AS loose_edges, false AS complete")
+def q_full_scope(spark, d):
+    """The graph of the texts against their records alone: steps and names are what the list does not expect."""
+    nodes, edges = text_graph(spark, d)
+    return audit.scope_proof(nodes, edges, nodes.where("label = 'Record'"), "id")
+
+
+@query(retrieval_queries._DENSE + "SELECT id, rank, source, orphan FROM (SELECT id, rank, source, doc_id IS NULL AS orphan, lang FROM (SELECT id, row_number() OVER (ORDER BY dense DESC, id) AS rank FROM den ORDER BY dense DESC, id LIMIT 50) LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) ON doc_id = id) WHERE orphan OR lang <> 'de' ORDER BY rank LIMIT 10")
+def q_visual_search(spark, d):
+    """The nearest vectors with what is known of them; a quarter has no evidence, German ones are filtered after the search."""
+    from pyspark.sql import Window
+
+    best = retrieval.seeds(retrieval_queries.dense(spark, d), "dense", positive=False)
+    ranked = best.select("id", F.row_number().over(Window.orderBy(F.desc("dense"), "id")).alias("rank"))  # fifty rows
+    known = table(spark, d, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), "source", "lang")
+    return retrieval.with_evidence(ranked, known, F.col("lang") != "de", 10).select("id", "rank", "source", "orphan")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, md5(text) ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
+SELECT conv_id, turn, role, CASE WHEN used <= 500 THEN text ELSE right(text, (500 - (used - length(text)))::BIGINT) END AS text FROM r WHERE used - length(text) < 500""")
+def q_truncated_history(spark, d):
+    """The newest turns in 500 characters, the oldest of them cut at its beginning."""
+    rows = table(spark, d, "conversations").withColumn("h", F.md5(F.col("text").cast("binary")))
+    return evidence.newest_within(rows, ["conv_id"], "text", 500, F.desc("turn"), F.col("role"), F.col("h")).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000 + l_partkey) - 1 AS n FROM lineitem) WHERE n <> l_linenumber - 1")
+def q_misplaced(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") - 1).alias("place"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("at"))
+    return audit.misplaced(rows, ["l_orderkey"], "place", "at").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 40 = 0 THEN 'new' WHEN vec_id % 50 = 1 THEN 'gone' ELSE 'changed' END AS change FROM embeddings WHERE vec_id % 40 = 0 OR vec_id % 50 = 1 OR vec_id % 60 = 2")
+def q_changed_vectors(spark, d):
+    rows, n = table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id")
+    after = rows.where((n % 50 != 1) | (n % 40 == 0)).withColumn("embedding", F.when(n % 60 == 2, F.transform("embedding", lambda x: x + F.lit(1).cast("float"))).otherwise(F.col("embedding")))
+    return audit.changed_values(rows.where(n % 40 != 0), after, "vec_id", ["embedding"])
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')")
+def q_composite_anti(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    return lines.join(lines.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], "left_anti").select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN regexp_matches(p_name, '\\bcold\\b') THEN ' chilled iced' ELSE '' END || CASE WHEN regexp_matches(p_name, '\\bwidget\\b') THEN ' gadget' ELSE '' END AS asked FROM part")
+def q_expanded_query(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.expanded_query(F.col("p_name"), {"cold": ["chilled", "iced"], "widget": ["gadget"]}).alias("asked"))
+
+
+@query("SELECT user_id, event_type FROM (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1 AND epoch_us(ts) // 1000000 >= 1704067200 + 20 * 86400")
+def q_latest_alive(spark, d):
+    """The last event of each user, where it lies in the ten days before the thirtieth of the month."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_type")
+    return windows.latest_alive(rows, "user_id", "ts", 10 * 86400, 1704067200 + 30 * 86400).select("user_id", "event_type")

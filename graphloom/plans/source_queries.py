@@ -282,3 +282,15 @@ def q_vector_audit(spark, d):
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     own = F.sqrt(F.lit(4.0))
     return audit.violations(rows, "vec_id", {"size": F.size("v") == size, "norm": (F.size("v") != size) | (norm < own)})
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 'plain' ELSE 'packed' END AS origin FROM nation")
+def q_plain_over_packed(spark, d):
+    """A folder with files in both forms; where both are there, the plain one counts."""
+    path = place(spark)
+    rows = table(spark, d, "nation").select("n_nationkey")
+    for name, part, origin, packed in (("a", "n_nationkey < 20", "plain", False), ("a", "n_nationkey < 20", "packed", True), ("b", "n_nationkey >= 20", "packed", True)):
+        out = place(spark)
+        rows.where(part).withColumn("origin", F.lit(origin)).coalesce(1).write.option("compression", "gzip" if packed else "none").json(out)
+        readers.move_single(spark, out, f"{path}/{name}.json{'.gz' if packed else ''}")
+    return readers.newest_form(spark, path, "n_nationkey int, origin string")

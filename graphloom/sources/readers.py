@@ -255,3 +255,15 @@ def corpus_violations(docs: DataFrame, id_col: str, text_col: str, sha_col: str,
     rules = {"id": F.length(own) > 0, "name_space": own.startswith(prefix), "text": F.col(text_col).isNotNull(), "hash": F.sha2(F.col(text_col).cast("binary"), 256).eqNullSafe(F.col(sha_col))}
     repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col, F.lit("repeated").alias("reason"))
     return violations(docs, id_col, rules).union(repeated)
+
+
+def move_single(spark: SparkSession, folder: str, path: str) -> None:
+    """Give the one part file that a folder holds a name of its own."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place, target = jvm.Path(folder), jvm.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in files.listStatus(place) if s.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{len(parts)} part files where one was expected")
+    files.mkdirs(target.getParent())
+    files.rename(parts[0], target)

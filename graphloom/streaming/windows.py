@@ -28,3 +28,9 @@ def sessions(events: DataFrame, at: str, gap: int, by: list[str]) -> DataFrame:
 def late_tolerant(stream: DataFrame, at: str, lateness: str, id_col: str) -> DataFrame:
     """A stream with a watermark, each id once inside it."""
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark([id_col])
+
+
+def latest_alive(rows: DataFrame, key: str, at: str, ttl_seconds: int, now) -> DataFrame:
+    """The last row of each key, where it is not older than its time to live; later rows win, also if they come earlier."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(at)).alias("__r"))
+    return last.select(key, "__r.*").where(F.unix_seconds(F.col(at).cast("timestamp")) >= F.lit(now) - ttl_seconds)
