@@ -6,6 +6,7 @@ import string
 
 from .decontaminate import WINDOW
 from .licences import _MAY, ALL_RULES, ALL_SENTENCES
+from .pii import AFTER, BASE, BEFORE, MORE, SCORES
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -54,4 +55,40 @@ f AS (SELECT doc_id, ids, regexp_extract_all(' ' || array_to_string(ids, '  ') |
 e AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT name) AS n FROM (SELECT doc_id, trim(unnest(found)) AS x FROM f) JOIN n ON x = ids GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(ids, ' '), '') AS sentences, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_licences, coalesce(list_sum(list_transform(found, lambda x: len(string_split(trim(x), '  ')))), 0) < coalesce(len(ids), 0) AS partly FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_near_duplicates": _NEAR, "op5_quality_rules": _QUALITY, "op6_mix_sources": _MIX, "op9_decontamination": _LEAKS, "op10_licences": _LICENCES}
+# The proposals without what must not stand around them, which is looked at afterwards.
+_PROPOSED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+){3}",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "national_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_CONTEXT = "regexp_matches(lower(right(before, {0})), '{2}') OR regexp_matches(lower(left(behind, {1})), '{2}')"
+_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN CASE WHEN {_DIGITS}[i]::INTEGER > 4 THEN {_DIGITS}[i]::INTEGER * 2 - 9 ELSE {_DIGITS}[i]::INTEGER * 2 END ELSE {_DIGITS}[i]::INTEGER END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "iban": "NOT regexp_matches(prev, '[A-Za-z0-9]') AND NOT regexp_matches(next, '[A-Za-z0-9]') AND list_reduce(list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END::BIGINT), lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1",
+    "ssn": "NOT regexp_matches(prev, '[0-9-]') AND NOT regexp_matches(next, '[0-9-]') AND NOT regexp_matches(m, '^(?:000|666|9)') AND ({0})",
+    "national_phone": "NOT regexp_matches(prev, '[0-9+(.-]') AND NOT regexp_matches(next, '[0-9.-]') AND ({0})",
+}
+
+
+def _personal() -> str:
+    """Proposals with their places (what stands before them is summed), then tests; the last two kinds need a context word."""
+    told = {k: _VALID[k].replace("{0}", _CONTEXT.format(BEFORE, AFTER, SCORES[k][2])) if k in ("ssn", "national_phone") else _VALID[k] for k in (*BASE, *MORE)}
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{k}' AS kind, regexp_extract_all(text, '{_PROPOSED[k]}') AS f, regexp_split_to_array(text, '{_PROPOSED[k]}') AS p FROM d" for i, k in enumerate(told))
+    size = "coalesce(list_sum(list_transform({0}, lambda t: length(t))), 0)"
+    counts = ", ".join(f"count_if(kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), r AS ({found}), x AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM r),
+y AS (SELECT doc_id, o, kind, f[i] AS m, p[i] AS before, p[i + 1] AS behind, CASE WHEN p[i] <> '' THEN right(p[i], 1) WHEN i > 1 THEN right(f[i - 1], 1) ELSE '' END AS prev, CASE WHEN p[i + 1] <> '' THEN left(p[i + 1], 1) WHEN i < len(f) THEN left(f[i + 1], 1) ELSE '' END AS next, ({size.format('p[1:i]')} + {size.format('f[1:i - 1]')})::BIGINT AS a FROM x),
+z AS (SELECT doc_id, o, kind, kind || ':' || a || ':' || (a + length(m)) AS s, a FROM y WHERE CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in told.items())} END),
+g AS (SELECT doc_id, {counts}, string_agg(s, ',' ORDER BY o, a) FILTER (o < {len(BASE)}) AS base, string_agg(s, ',' ORDER BY o, a) AS spans FROM z GROUP BY 1)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_near_duplicates": _NEAR, "op2_personal_data": _personal(), "op5_quality_rules": _QUALITY, "op6_mix_sources": _MIX, "op9_decontamination": _LEAKS, "op10_licences": _LICENCES}
