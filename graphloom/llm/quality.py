@@ -17,7 +17,7 @@ from .common import free_name, saved
 from .pii import let
 
 #: The sample: rows, bytes of text, files that it is taken from, seed; and bytes that a rule's timing works on.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_FILES, SEED, TIMED_BYTES = 200, 4 << 20, 64, 7, 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_FILES, SEED, TIMED_BYTES = 200, 4 << 20, 64, 7, 1 << 20
 #: Words of a repeated window.
 WINDOW = 5
 _SPACE = r"[\x20\x09-\x0D]"
