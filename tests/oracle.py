@@ -25,13 +25,21 @@ def _rows(names, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def differences(df, sql, folder):
-    """None where both agree, else a short account."""
+def _connected(folder):
     con = duckdb.connect()
     for t in TABLES:
         path = f"{folder}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
-    result = con.execute(sql)
+    return con
+
+
+def n_rows(sql, folder):
+    return len(_connected(folder).execute(sql).fetchall())
+
+
+def differences(df, sql, folder):
+    """None where both agree, else a short account."""
+    result = _connected(folder).execute(sql)
     names = [c[0] for c in result.description]
     want = _rows(names, result.fetchall())
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
