@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_model, decontaminate, language_id, licences, mixing, near_dedup, pii, quality, secrets, token_counts
+from . import byte_model, decontaminate, importance, language_id, licences, mixing, near_dedup, phrases, pii, quality, secrets, simhash, token_counts
 from .sql import ORACLES
 
 
@@ -93,6 +93,23 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licence_sentences", " ").alias("sentences"), F.array_join("licences", ",").alias("licences"), F.size("licences").cast("long").alias("n_licences"), "partly")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents by three-word shingles, grouped at two differing bits."""
+    found = simhash.near_fingerprints(_documents(spark, sf_dir), size=3, bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents towards the benchmark's texts, and which tenth of the longer ones is drawn."""
+    found = importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_words=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language in all documents."""
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -101,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    numbered = (op1_near_duplicates, op2_personal_data, op3_token_counts, op4_language_model, op5_quality_rules, op6_mix_sources, op7_secrets, op8_language_id, op9_decontamination, op10_licences)
+    numbered = (op1_near_duplicates, op2_personal_data, op3_token_counts, op4_language_model, op5_quality_rules, op6_mix_sources, op7_secrets, op8_language_id, op9_decontamination, op10_licences, op11_simhash, op12_importance_resampling, op13_collocations)
     return {f.__name__: f for f in (*numbered, pipeline)}
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import string
 
 from .decontaminate import WINDOW
+from .importance import BUCKETS, MIN_WORDS, PERCENT
 from .licences import _MAY, ALL_RULES, ALL_SENTENCES
+from .phrases import INSIDE_PERCENT, MAX_WORDS, MIN_COUNT, PER_LANGUAGE, SCALE
 from .pii import AFTER, BASE, BEFORE, MORE, SCORES
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -55,6 +57,60 @@ f AS (SELECT doc_id, ids, regexp_extract_all(' ' || array_to_string(ids, '  ') |
 e AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT name) AS n FROM (SELECT doc_id, trim(unnest(found)) AS x FROM f) JOIN n ON x = ids GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(ids, ' '), '') AS sentences, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_licences, coalesce(list_sum(list_transform(found, lambda x: len(string_split(trim(x), '  ')))), 0) < coalesce(len(ids), 0) AS partly FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)"""
 
+# CRC-32 by its table of bytes, once for each different word.
+_CRC = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT w, hex(encode(w)) AS h FROM {0}),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: (16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM x, tab)"""
+_IMPORTANCE = f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_TOKENS.format(_LOWER)} AS ws FROM documents), b AS (SELECT {_TOKENS.format(_LOWER)} AS ws FROM benchmark),
+dw AS (SELECT i, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b), v AS (SELECT w FROM dw UNION SELECT w FROM bw), {_CRC.format('v')},
+s AS (SELECT crc % {BUCKETS} AS bucket, count(*) AS n FROM dw JOIN crc USING (w) GROUP BY 1), t AS (SELECT crc % {BUCKETS} AS bucket, count(*) AS n FROM bw JOIN crc USING (w) GROUP BY 1),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s)::DOUBLE + {BUCKETS}) / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0)::DOUBLE + {BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+wt AS (SELECT i, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN g ON crc % {BUCKETS} = bucket GROUP BY 1),
+h AS (SELECT i, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, list_reduce(list_transform(range(1, 9), lambda k: (instr('0123456789abcdef', sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[k]) - 1)::BIGINT), lambda a, c: a * 16 + c) AS h FROM d LEFT JOIN wt USING (i)),
+z AS (SELECT i, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+r AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= {MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {PERCENT} * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (i)"""
+
+_PHRASES = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {MAX_WORDS} + 1)) AS m))),
+c AS (SELECT lang, m, s, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE m = 1 GROUP BY 1), o AS (SELECT *, string_split(s, ' ') AS w FROM c WHERE m > 1 AND f >= {MIN_COUNT}),
+x AS (SELECT lang, s, w, f AS a, unnest(range(1, m)) AS k FROM o), j AS (SELECT x.lang AS lang, x.s AS s, x.w AS w, a, k, l.f AS l, r.f AS r, ({SCALE}::HUGEINT * a // (l.f + r.f))::BIGINT AS score FROM x JOIN c l ON l.lang = x.lang AND l.s = array_to_string(x.w[1:k], ' ') JOIN c r ON r.lang = x.lang AND r.s = array_to_string(x.w[k + 1:], ' ')),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[u:u + t - 1], ' ') AS s, max(f) AS longer FROM (SELECT *, unnest(range(1, m - t + 2)) AS u FROM (SELECT *, unnest(range(2, m)) AS t FROM o)) GROUP BY 1, 2),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.s) AS rank FROM b LEFT JOIN i ON b.lang = i.lang AND b.s = i.s WHERE longer IS NULL OR 100::HUGEINT * longer < {INSIDE_PERCENT} * a::HUGEINT)
+SELECT q.lang, rank, s AS phrase, a, l, r, n, score FROM q JOIN n ON q.lang = n.lang WHERE rank <= {PER_LANGUAGE}"""
+
+
+def _simhash() -> str:
+    """XXH64 in integers of 128 bits, once for each different shingle; then counts of bits, and all pairs of fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    low = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    turned = lambda x, n: low(f"(({x}) << {n}) | (({x}) >> {64 - n})")
+    stirred = lambda acc, lane: low(f"{turned(low(f'{acc} + {low(f'{lane} * {p2}')}'), 31)} * {p1}")
+    read = lambda at, n: f"list_reduce(list_reverse(b[{at} + 1:{at} + {n}]), lambda a, c: a * 256::UHUGEINT + c)"
+    lanes = [f"list_reduce(list_prepend({(42 + start) % 2**64}::UHUGEINT, list_transform(range(0, n // 32), lambda i: {read(f'i * 32 + {8 * k}', 8)})), lambda a, c: {stirred('a', 'c')}) AS v{k}" for k, start in enumerate((11400714785074694791 + 14029467366897019727, 14029467366897019727, 0, 2**64 - 11400714785074694791))]
+    merged = low(" + ".join(turned(f"v{k}", n) for k, n in enumerate((1, 7, 12, 18))))
+    steps = [f"SELECT *, CASE WHEN n >= 32 THEN {merged} ELSE {low(f'42::UHUGEINT + {p5}')} END AS h FROM v"]
+    steps += [f"SELECT * REPLACE (CASE WHEN n >= 32 THEN {low(f'xor(h, {stirred('0::UHUGEINT', f'v{k}')}) * {p1} + {p4}')} ELSE h END AS h) FROM {{0}}" for k in range(4)]
+    steps += [f"SELECT * REPLACE ({low('h + n::UHUGEINT')} AS h) FROM {{0}}"]
+    steps += [f"SELECT * REPLACE (list_reduce(list_prepend(h, list_transform(range(n - n % 32, n - n % 8, 8), lambda i: {read('i', 8)})), lambda a, c: {low(f'{turned(f'xor(a, {stirred('0::UHUGEINT', 'c')})', 27)} * {p1} + {p4}')}) AS h) FROM {{0}}"]
+    steps += [f"SELECT * REPLACE (CASE WHEN n % 8 >= 4 THEN {low(f'{turned(f'xor(h, {low(f'{read('(n - n % 8)', 4)} * {p1}')})', 23)} * {p2} + {p3}')} ELSE h END AS h) FROM {{0}}"]
+    steps += [f"SELECT * REPLACE (list_reduce(list_prepend(h, b[n - n % 4 + 1:n]), lambda a, c: {low(f'{turned(f'xor(a, {low(f'c * {p5}')})', 11)} * {p1}')}) AS h) FROM {{0}}"]
+    steps += [f"SELECT * REPLACE ({low(f'xor(h, h >> 33) * {p2}')} AS h) FROM {{0}}", f"SELECT * REPLACE ({low(f'xor(h, h >> 29) * {p3}')} AS h) FROM {{0}}", "SELECT s, xor(h, h >> 32)::UBIGINT AS h FROM {0}"]
+    hashed = ", ".join(f"h{i} AS ({step.format(f'h{i - 1}')})" for i, step in enumerate(steps))
+    counts = ", ".join(f"sum((h >> {k}) & 1) AS c{k}" for k in range(64))
+    bits = " + ".join(f"CASE WHEN 2 * c{k} > n THEN {1 << k}::UHUGEINT ELSE 0 END" for k in range(64))
+    return f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS i, doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT i, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+t AS (SELECT s, strlen(s) AS n, list_transform(range(1, 2 * strlen(s), 2), lambda i: (16 * (instr('0123456789ABCDEF', hex(encode(s))[i]) - 1) + instr('0123456789ABCDEF', hex(encode(s))[i + 1]) - 1)::UHUGEINT) AS b FROM (SELECT DISTINCT s FROM s)),
+v AS (SELECT *, {', '.join(lanes)} FROM t), {hashed},
+c AS (SELECT i, count(*) AS n, {counts} FROM s JOIN h{len(steps) - 1} USING (s) GROUP BY 1), p AS (SELECT doc_id, coalesce({bits}, 0)::UBIGINT AS p FROM w LEFT JOIN c USING (i)),
+f AS (SELECT DISTINCT p FROM p), l AS (SELECT a.p AS a, b.p AS b FROM f a JOIN f b ON bit_count(xor(a.p, b.p)::HUGEINT) <= 2),
+r(a, b) AS (SELECT p, p FROM f UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), e AS (SELECT r.a AS p, min(doc_id) AS component_id FROM r JOIN p ON p.p = r.b GROUP BY 1)
+SELECT doc_id, lpad(lower(hex(p)), 16, '0') AS fingerprint, component_id FROM p JOIN e USING (p)"""
+
+
 # The proposals without what must not stand around them, which is looked at afterwards.
 _PROPOSED = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -91,4 +147,4 @@ g AS (SELECT doc_id, {counts}, string_agg(s, ',' ORDER BY o, a) FILTER (o < {len
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_near_duplicates": _NEAR, "op2_personal_data": _personal(), "op5_quality_rules": _QUALITY, "op6_mix_sources": _MIX, "op9_decontamination": _LEAKS, "op10_licences": _LICENCES}
+ORACLES: dict[str, str] = {"op1_near_duplicates": _NEAR, "op2_personal_data": _personal(), "op5_quality_rules": _QUALITY, "op6_mix_sources": _MIX, "op9_decontamination": _LEAKS, "op10_licences": _LICENCES, "op11_simhash": _simhash(), "op12_importance_resampling": _IMPORTANCE, "op13_collocations": _PHRASES}
