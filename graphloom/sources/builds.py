@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-STATUS = "build_id string, status string, n_rows long, content_hash string, at timestamp"
-
+from ..functions.hashing import content_hash, content_sums
+from .commits import BuildError, Commit, CommitLog
 
-class BuildError(RuntimeError):
-    """A build that may not go on."""
+STATUS = "build_id string, status string, n_rows long, content_hash string, number long, at timestamp"
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -21,9 +23,13 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def export_lines(df: DataFrame, path: str, compressed: bool = False) -> int:
-    """JSON lines; the number of rows that a read-back finds."""
-    df.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
-    return df.sparkSession.read.schema(df.schema).json(path).count()
+    """JSON lines; the number of rows. A read-back must give the rows that were written."""
+    written, columns = Observation(), sorted(df.columns)
+    df.observe(written, *content_sums(columns)).write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
+    back = content_hash(df.sparkSession.read.schema(df.schema).json(path), columns).first()
+    if back.asDict() != written.get:
+        raise BuildError(f"{path} reads back differently")
+    return back.n_rows
 
 
 def _one_payload(incoming: DataFrame, key: str, payload: list[str]) -> None:
@@ -71,54 +77,70 @@ def todo(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 class Builds:
-    """Tables under <path>/<build_id>, and a log of status rows; the newest verified one is active."""
+    """Tables of named builds over a log of commits; the newest verified build is active.
+
+    A name is reserved by a commit, so of several publishers of one name one goes on and all others are refused.
+    A build's tables are named by one commit only after all were read back, so they appear together or not at all.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.log = spark, CommitLog(spark, path)
 
-    def _log(self, build_id: str, status: str, n_rows: int | None = None, content_hash: str | None = None) -> None:
-        row = self.spark.createDataFrame([(build_id, status, n_rows, content_hash, None)], STATUS).withColumn("at", F.current_timestamp())
-        row.write.mode("append").json(f"{self.path}/_status")
+    def _state(self, log: list[Commit]) -> dict[str, Commit]:
+        """The last commit of each build."""
+        return {c.name: c for c in log if c.action in ("importing", "failed", "verified")}
 
     def status(self) -> DataFrame:
-        """The last status of each build."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            log = self.spark.read.schema(STATUS).json(f"{self.path}/_status")
-        except AnalysisException:
-            return self.spark.createDataFrame([], STATUS)
-        return log.groupBy("build_id").agg(F.max_by(F.struct("status", "n_rows", "content_hash", "at"), "at").alias("s")).select("build_id", "s.*")
+        """The last status of each build; rows and hash are those of its table, or of its tables together."""
+        rows = []
+        for name, c in self._state(self.log.commits()).items():
+            tables = [c.tables[k] for k in sorted(c.tables)]
+            hashes = "+".join(t["content_hash"] for t in tables)
+            rows.append((name, c.action, sum(t["n_rows"] for t in tables) if tables else None, hashes or None, c.number, datetime.fromtimestamp(c.at)))
+        return self.spark.createDataFrame(rows, STATUS)
 
     def active(self) -> str:
-        """The verified build that is newest; none is an error."""
-        rows = self.status().where("status = 'verified'").orderBy(F.desc("at"), "build_id").limit(1).collect()
-        if not rows:
+        """The verified build that is newest by its commit; none is an error."""
+        found = [c for c in self._state(self.log.commits()).values() if c.action == "verified"]
+        if not found:
             raise BuildError("no build is active")
-        return rows[0].build_id
+        return max(found, key=lambda c: c.number).name
 
-    def publish(self, build_id: str, df: DataFrame) -> None:
-        """Reserve, write, read back and activate. An unequal read-back marks the build as failed."""
-        from ..functions.hashing import content_hash, content_sums
+    def publish(self, build_id: str, tables: DataFrame | dict[str, DataFrame]) -> None:
+        """Reserve, write, read back and activate: one table, or several by name. What fails marks the build as failed.
 
-        if not self.status().where(F.col("build_id") == build_id).where("status <> 'failed'").isEmpty():
+        A failed build's name may be used again; one that was left while importing (its writer died) by ``abandon``.
+        """
+        tables = tables if isinstance(tables, dict) else {"rows": tables}
+        writer = uuid.uuid4().hex
+        free = lambda log: (c := self._state(log).get(build_id)) is None or c.action == "failed"
+        if not self.log.append(Commit("importing", build_id, writer), free):
             raise BuildError(f"build {build_id} exists")
-        self._log(build_id, "importing")
-        columns = sorted(df.columns)
-        written = Observation()  # of the rows that are written, not of another evaluation
-        df.observe(written, *content_sums(columns)).write.mode("overwrite").parquet(f"{self.path}/{build_id}")
-        found = content_hash(self.read(build_id), columns).first()
-        if found.asDict() != written.get:
-            self._log(build_id, "failed")
-            raise BuildError(f"build {build_id} reads back differently")
-        self._log(build_id, "verified", found.n_rows, found.content_hash)
+        mine = lambda log: (c := self._state(log).get(build_id)) is not None and c.writer == writer and c.action == "importing"
+        try:
+            staged = self.log.staged(tables)
+        except Exception:
+            self.log.append(Commit("failed", build_id, writer), mine)
+            raise
+        if not self.log.append(Commit("verified", build_id, writer, staged), mine):
+            self.log.drop(staged)
+            raise BuildError(f"build {build_id} was abandoned while it was written")
+
+    def abandon(self, build_id: str) -> None:
+        """Mark a build that is still importing as failed; should its writer live, it can no longer activate it."""
+        if not self.log.append(Commit("failed", build_id), lambda log: (c := self._state(log).get(build_id)) is not None and c.action == "importing"):
+            raise BuildError(f"build {build_id} is not importing")
 
     def only(self) -> str:
         """The one verified build; none or several are an error."""
-        rows = self.status().where("status = 'verified'").limit(2).collect()
-        if len(rows) != 1:
-            raise BuildError(f"{len(rows) or 'no'} verified builds where one was expected")
-        return rows[0].build_id
-
-    def read(self, build_id: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{build_id or self.active()}")
+        found = [c.name for c in self._state(self.log.commits()).values() if c.action == "verified"]
+        if len(found) != 1:
+            raise BuildError(f"{len(found) or 'no'} verified builds where one was expected")
+        return found[0]
+
+    def read(self, build_id: str | None = None, table: str = "rows") -> DataFrame:
+        """A table of a verified build, of the active one by default."""
+        found = self._state(self.log.commits()).get(build_id or self.active())
+        if found is None or found.action != "verified" or table not in found.tables:
+            raise BuildError(f"no verified table {table} of build {build_id}")
+        return self.log.read(found.tables[table])
