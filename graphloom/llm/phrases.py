@@ -25,7 +25,7 @@ from .textkit import _LANES, LOWER, U, mix, span_hashes, word_spans
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, PER_LANGUAGE, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Bytes of text of a shard (a longer text is one of its own), entries of bitmaps that are extended at once, and
 #: bits of the filter of frequent phrases (it only saves work: what is frequent always passes).
-SHARD_BYTES, ENTRIES, FILTER_BITS = 4 << 20, 1 << 18, 1 << 26
+SHARD_BYTES, ENTRIES, FILTER_BITS = 2 << 20, 1 << 16, 1 << 26
 #: Languages' rows are ranked in so many parts first.
 PARTS = 64
 
