@@ -15,28 +15,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Chunk, map_texts, saved
+from .common import Chunk, free_name, map_texts, saved
 from .textkit import ALNUM, LOWER, U, mix, span_hashes, word_spans
 
 #: Words of a window, and bytes of benchmark text that one compiled search may hold.
 WINDOW, SHARD_BYTES = 10, 16 << 20
-_BITS, _LANE = 18, 128
+_LANE = 128
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
-class Search:
-    """Shift table and buckets for windows of one length."""
+class Words:
+    """The alphanumeric words of some texts, lower-cased, each with one space behind it in ``joined``."""
+
+    def __init__(self, chunk: Chunk):
+        lowered = LOWER[chunk.data]
+        starts, ends, self.first = word_spans(lowered, chunk.offsets, ALNUM)
+        self.hashes = span_hashes(lowered, starts, ends)
+        length = ends - starts
+        self.at = np.concatenate([[0], np.cumsum(length + 1)])
+        inside = lowered[ALNUM[lowered]]
+        joined = np.full(self.at[-1], 0x20, np.uint8)
+        joined[np.arange(len(inside)) + np.repeat(np.arange(len(starts)), length)] = inside
+        self.joined = joined.tobytes()
+
+    def run(self, begin: int, n: int) -> bytes:
+        return self.joined[self.at[begin] : self.at[begin + n] - 1]
 
-    def __init__(self, m: int, windows: dict[tuple[bytes, ...], list[str]], hashes: np.ndarray):
-        self.m, self.block = m, min(2, m)
-        self.words = [b" ".join(w) for w in windows]
-        self.items = list(windows.values())
-        self.shift = np.full(1 << _BITS, m - self.block + 1, np.uint8)
+
+class Search:
+    """Shift table and buckets for windows of one length: numbers of first words in ``words``, no window twice."""
+
+    def __init__(self, m: int, words: Words, first: np.ndarray, items: np.ndarray):
+        """first: first words of the windows; items: number of the item that each window is of."""
+        self.m, self.block, self.words = m, min(2, m), words
+        whole = np.zeros(len(first), U)
+        for j in range(m):
+            whole = mix(whole * _A + words.hashes[first + j])
+        order = np.lexsort((items, whole))
+        first, items, whole = first[order], items[order], whole[order]
+        new = np.append(True, whole[1:] != whole[:-1])
+        for i in np.flatnonzero(~new):  # equal hashes: one window if the words are equal too
+            new[i] = words.run(first[i], m) != words.run(first[i - 1], m)
+        owner = np.cumsum(new) - 1
+        first = first[new]
+        pairs = np.unique(np.stack([owner, items], axis=1), axis=0)
+        self.owners, self.items = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1].astype(np.uint32)
+        self.bits = min(26, max(12, int(len(first) * m).bit_length() + 2))
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.uint8)
+        h = words.hashes
         for j in range(self.block - 1, m):
-            np.minimum.at(self.shift, self._blocks(hashes[:, j - 1] if self.block > 1 else None, hashes[:, j]) >> U(64 - _BITS), np.uint8(m - 1 - j))
-        last = self._blocks(hashes[:, -2] if self.block > 1 else None, hashes[:, -1])
+            np.minimum.at(self.shift, self._blocks(h[first + j - 1] if self.block > 1 else None, h[first + j]) >> U(64 - self.bits), np.uint8(m - 1 - j))
+        last = self._blocks(h[first + m - 2] if self.block > 1 else None, h[first + m - 1])
         order = np.argsort(last, kind="stable")
-        self.suffix, self.pattern, self.hashes = last[order], order, hashes[order]
+        self.suffix, self.pattern, self.first = last[order], order, first
+
+    def owned(self, k: int) -> np.ndarray:
+        return self.items[self.owners[k] : self.owners[k + 1]]
 
     @staticmethod
     def _blocks(before, at):
@@ -52,7 +86,7 @@ class Search:
         stop = np.minimum(at + _LANE, first[1:][row])
         found = []
         while len(at):
-            step = self.shift[self._blocks(words[at - 1] if self.block > 1 else None, words[at]) >> U(64 - _BITS)]
+            step = self.shift[self._blocks(words[at - 1] if self.block > 1 else None, words[at]) >> U(64 - self.bits)]
             found.append(at[step == 0])
             at = at + np.maximum(step, 1)
             alive = at < stop
@@ -65,55 +99,43 @@ class Search:
         entry = np.repeat(lo, size) + np.arange(len(ends)) - np.repeat(np.cumsum(size) - size, size)
         same = np.ones(len(ends), bool)
         for j in range(self.m):
-            same &= words[ends - self.m + 1 + j] == self.hashes[entry, j]
+            same &= words[ends - self.m + 1 + j] == self.words.hashes[self.first[self.pattern[entry]] + j]
         return ends[same], self.pattern[entry[same]]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray):
-    lowered = LOWER[data]
-    starts, ends, first = word_spans(lowered, offsets, ALNUM)
-    return lowered, starts, ends, first, span_hashes(lowered, starts, ends)
-
-
-def compiled(items: list[tuple[str, str]], window: int) -> list[Search]:
-    """Searches for the windows of (item_id, text) rows, one for each window length."""
-    if not items:
-        return []
-    chunk = Chunk(pa.array([t for _, t in items], pa.string()))
-    lowered, starts, ends, first, hashes = _words(chunk.data, chunk.offsets)
-    raw = lowered.tobytes()
-    windows: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(dict)
-    where: dict[int, list[int]] = defaultdict(list)
-    for i, (item, _) in enumerate(items):
-        words = [raw[a:b] for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])]
-        m = min(window, len(words))
-        for at in range(len(words) - m + 1 if m else 0):
-            owners = windows[m].setdefault(tuple(words[at : at + m]), [])
-            if not owners:
-                where[m].append(first[i] + at)
-            if item not in owners:
-                owners.append(item)
-    return [Search(m, w, np.stack([hashes[np.array(where[m]) + j] for j in range(m)], axis=1)) for m, w in sorted(windows.items())]
-
-
-def _scan(searches: list[Search]):
+class Compiled:
+    """The searches of some items, one for each window length. About 60 bytes for each word of theirs."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.names)}
+        words = Words(Chunk(pa.array([t for _, t in items], pa.string())))
+        size = np.diff(words.first)
+        length = np.minimum(size, window)
+        self.searches = []
+        for m in np.unique(length[length > 0]).tolist():
+            mine = np.flatnonzero(length == m)
+            n = size[mine] - m + 1
+            first = np.repeat(words.first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.searches.append(Search(m, words, first, np.repeat(np.array([number[items[i][0]] for i in mine]), n)))
+
+
+def _scan(compiled: Compiled):
     def step(chunk, rows):
-        lowered, starts, ends, first, words = _words(chunk.data, chunk.offsets)
-        raw = None
-        depth = np.zeros(len(words) + 1, np.int64)
-        items: dict[int, set[str]] = defaultdict(set)
-        for search in searches:
-            for end, k in zip(*search.find(words, first)):
-                raw = raw or lowered.tobytes()
+        words = Words(chunk)
+        first, depth = words.first, np.zeros(len(words.hashes) + 1, np.int64)
+        items: dict[int, set[int]] = defaultdict(set)
+        for search in compiled.searches:
+            for end, k in zip(*search.find(words.hashes, first)):
                 begin = end - search.m + 1
-                if b" ".join(raw[starts[j] : ends[j]] for j in range(begin, end + 1)) == search.words[k]:
+                if words.run(begin, search.m) == search.words.run(search.first[k], search.m):
                     depth[begin] += 1
                     depth[end + 1] -= 1
-                    items[int(np.searchsorted(first, begin, "right")) - 1].update(search.items[k])
+                    items[int(np.searchsorted(first, begin, "right")) - 1].update(search.owned(k).tolist())
         covered = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
         at = np.searchsorted(covered, first)
         hits = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(covered - np.repeat(first[:-1], np.diff(at))))
-        return {"n_words": np.diff(first), "hit_words": hits, "items": pa.array([sorted(items[i]) if i in items else [] for i in range(len(chunk))], pa.list_(pa.string()))}
+        return {"n_words": np.diff(first), "hit_words": hits, "items": pa.array([[compiled.names[x] for x in sorted(items[i])] if i in items else [] for i in range(len(chunk))], pa.list_(pa.string()))}
 
     return step
 
@@ -124,27 +146,41 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     hit_words: positions of the words inside any occurrence of a benchmark window, ascending; items: ids
     (as strings, sorted) whose windows occur. Null or wordless texts have 0 words and no hits; items
     without words give no window; an item without id counts as ''. Repeated rows are scanned each on
-    their own. A compiled search is broadcast and holds at most about shard_bytes of benchmark text
-    (or one item); a larger benchmark is searched in shards whose hits are merged row by row.
+    their own; a kept column of a new one's name, letter case aside, is replaced, all others are kept under
+    any name. A compiled search is broadcast and holds at most about shard_bytes of benchmark text
+    (or one item), some ten times that in memory; a larger benchmark is searched in shards, one after the
+    other, whose hits are merged row by row: the columns and rows are the same for any number of shards.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    bench = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in schema.names]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("int").alias(free_name(docs, "none"))).alias("row")
+    packed = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = [*[F.col(f"row.`{c}`").alias(c) for c in kept], *schema.names]
 
     def scanned(rows, shard, keep):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast(compiled(sorted((r.item, r.text) for r in part.collect()), window))
-        return map_texts(rows, text_col, lambda: _scan(shared.value), schema, keep)
+        shared = spark.sparkContext.broadcast(Compiled(sorted((r.item, r.text) for r in part.collect()), window))  # shard_bytes of text
+        return map_texts(rows, "text", lambda: _scan(shared.value), schema, keep), shared
 
     if shards == 1:
-        return scanned(docs, 0, keep)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in schema.names]
-    tagged = saved(docs.select(*{*keep, text_col}).withColumn("__row", F.monotonically_increasing_id()))
-    hits = None
+        return scanned(packed, 0, ["row"])[0].select(*out)
+    tagged = saved(packed.withColumn("id", F.monotonically_increasing_id()))
+    sizes = hits = None
     for shard in range(shards):
-        part = scanned(tagged, shard, ["__row"])
-        hits = part if hits is None else hits.union(part)
-    merged = hits.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return tagged.select("__row", *keep).join(merged, "__row").drop("__row")
+        part, shared = scanned(tagged, shard, ["id"])
+        if sizes is None:
+            part = sizes = saved(part)
+        else:
+            part = saved(part.where(F.size("hit_words") > 0))
+        found = part.where(F.size("hit_words") > 0).select("id", "hit_words", "items")
+        hits = found if hits is None else hits.union(found)
+        shared.destroy()
+    once = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = hits.groupBy("id").agg(*[once(c).alias(c) for c in ("hit_words", "items")])
+    all_rows = tagged.select("id", "row").join(sizes.select("id", "n_words"), "id").join(merged, "id", "left")
+    none = [F.coalesce(F.col(c), F.array().cast(schema[c].dataType)).alias(c) for c in ("hit_words", "items")]
+    return all_rows.select("row", "n_words", *none).select(*out)

@@ -505,6 +505,7 @@ def test_bundles_do_not_depend_on_blocks(monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(language_id.bundled(text, grams, n, 8, project), want[1]))
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 40])
 def test_decontamination(spark, folder, shard_bytes):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -516,6 +517,32 @@ def test_decontamination(spark, folder, shard_bytes):
     assert Counter((r.doc_id, r.n_words, len(r.hit_words), len(r["items"]), brute.sha(",".join(r["items"]))) for r in found) == Counter(want)
 
 
+def test_shards_keep_all_columns(spark):
+    """Any number of shards gives the same columns in the same order, whatever the names that docs has."""
+    rows = [(i, f"{i} alpha beta gamma", f"row {i}", 7, i, "t", 1.5) for i in range(20)] + [(None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "id long, body string, `__row` string, `N_Words` int, `none` long, text string, `a.b` double")
+    bench = spark.createDataFrame([(k, f"item {k} alpha beta") for k in range(6)] + [(9, "alpha beta gamma")], "item_id long, text string")
+    found = [decontaminate.contaminated_words(docs, bench, window=3, text_col="body", shard_bytes=b) for b in (1 << 24, 40, 1)]
+    assert all(f.columns == ["id", "body", "__row", "none", "text", "a.b", "n_words", "hit_words", "items"] for f in found)
+    got = [sorted(map(repr, f.collect())) for f in found]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 21
+    assert {(r["__row"], r["none"]) for r in found[1].collect()} == {(f"row {i}", i) for i in range(20)} | {(None, None)}
+
+
+def test_compiled_searches_are_compact():
+    """Twenty bytes of memory for each byte of benchmark text, and windows that many items share are held once."""
+    import pickle
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join("w%x" % rng.getrandbits(20) for _ in range(400)) for _ in range(400)]
+    made = decontaminate.Compiled([(str(i), t) for i, t in enumerate(texts)], 10)
+    assert len(pickle.dumps(made)) < 20 * sum(map(len, texts))
+    made = decontaminate.Compiled([(str(i), "one two three four") for i in range(50)] + [("x", "one two three five")], 3)
+    (search,) = made.searches
+    assert len(search.first) == 3 and sorted(len(search.owned(k)) for k in range(3)) == [1, 50, 51]
+
+
 def test_decontamination_query(spark, folder):
     items = [(r.item_id if r.item_id is not None else "", r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     got = rows(catalogue.op9_decontamination(spark, folder), "doc_id", "n_words", "n_hit", "n_items", "items_sha256")
