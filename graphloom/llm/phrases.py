@@ -25,7 +25,7 @@ from .textkit import _LANES, LOWER, U, mix, span_hashes, word_spans
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, PER_LANGUAGE, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Bytes of text of a shard (a longer text is one of its own), entries of bitmaps that are extended at once, and
 #: bits of the filter of frequent phrases (it only saves work: what is frequent always passes).
-SHARD_BYTES, ENTRIES, FILTER_BITS = 2 << 20, 1 << 16, 1 << 26
+SHARD_BYTES, ENTRIES, FILTER_BITS = 2 << 20, 1 << 15, 1 << 25
 #: Languages' rows are ranked in so many parts first.
 PARTS = 64
 
@@ -259,7 +259,9 @@ def _counted(docs: DataFrame, filters: list[Broadcast]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(lang[batch.words[:, 0]])), joined, pa.array(batch.counts())], names=["lang", "phrase", "f"])
 
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a shard has a phrase once, so to sum before the shuffle would only fill memory: rows are dealt as they come
+    counted = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _parts(phrase: str, n: int, first: int, last: int):
