@@ -28,6 +28,8 @@ from .common import map_texts
 
 #: Pieces and runs that a worker remembers; beyond them it starts anew (speed only).
 CACHE = 700_000
+#: Letters with more marks than this are counted by blocks of marks.
+FEW_MARKS = 12
 _SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 _NEVER = 1 << 60
@@ -187,7 +189,11 @@ class PrefixTables:
             low = piece.lower()
             return low, [(m[0], m.start(), m.end()) for m in self.ascii_runs.finditer(low)]
         low = self.normalize(piece)
-        return low, [(run, *place) for run, place in self.split_runs(low)]
+        return low, self._runs_of(low)
+
+    def _runs_of(self, low: str) -> list[tuple[str, int, int]]:
+        """Runs of a normalised text; to normalise it again might order its marks anew (a lower-cased letter may bring one)."""
+        return [(run, *place) for run, place in self.split_runs(low)]
 
     def _plain_total(self, piece: str) -> int:
         return sum(self.run_total(run) for run, _, _ in self._normal_runs(piece)[1])
@@ -225,34 +231,39 @@ class PrefixTables:
         """Where letters combine: at clusters' ends the table's own counts, inside them those of what the cut leaves."""
         out, at, k, states = [], 0, -1, None
         starts = [start for _, start, _ in runs]
+
+        def behind(tail: str) -> tuple[int, str]:
+            """Tokens of the text before the cluster with ``tail`` behind it, and the letters of its last run."""
+            nonlocal k, states
+            run = bisect_left(starts, at) - 1  # the run behind which the cluster stands
+            if run < 0 or runs[run][2] < at:
+                parts = self._runs_of(tail)
+                return (table[at - 1] if at else 0) + sum(self.run_total(r) for r, _, _ in parts), parts[-1][0] if parts else ""
+            letters, start, _ = runs[run]
+            near = max(start, at - 4)  # enough to tell what the runs are
+            parts = self._runs_of(low[near:at] + tail)
+            n = (table[start - 1] if start else 0) + sum(self.run_total(r) for r, _, _ in parts[1:])
+            if near == start:
+                return n + self.run_total(parts[0][0]), parts[-1][0]
+            if run != k:
+                k, states = run, ([0], [0])
+                self._grown(letters, 0, *states)
+            done = len(low[start:at].encode())
+            more = parts[0][0][len(low[near:at].encode()) :]
+            since = max(0, done - self.longest)
+            closed = self._grown(letters[since:done] + more, done - since, states[0][since : done + 1], states[1][since : done + 1], not since)
+            n += closed[-1] if more else self.run_table(letters)[done - 1]
+            return n, letters[:done] + more if len(parts) == 1 else parts[-1][0]
+
         begin = 0
         while begin < len(piece):
             end = begin + 1
             while end < len(piece) and (unicodedata.combining(piece[end]) or self.normalize(piece[begin : end + 1]) != self.normalize(piece[begin:end]) + self._letter(piece[end])):
                 end += 1
-            for cut in range(begin + 1, end):
-                tail = self.normalize(piece[begin:cut])
-                run = bisect_left(starts, at) - 1  # the run behind which the cluster stands
-                if run < 0 or runs[run][2] < at:
-                    out.append((table[at - 1] if at else 0) + self._plain_total(tail))
-                    continue
-                letters, start, _ = runs[run]
-                near = max(start, at - 4)  # enough to tell what the runs are
-                parts = self._normal_runs(low[near:at] + tail)[1]
-                n = (table[start - 1] if start else 0) + sum(self.run_total(r) for r, _, _ in parts[1:])
-                if near == start:
-                    n += self.run_total(parts[0][0])
-                else:
-                    if run != k:
-                        k, states = run, ([0], [0])
-                        self._grown(letters, 0, *states)
-                    done = len(low[start:at].encode())
-                    more = parts[0][0][len(low[near:at].encode()) :]
-                    since = max(0, done - self.longest)
-                    closed = self._grown(letters[since:done] + more, done - since, states[0][since : done + 1], states[1][since : done + 1], not since)
-                    n += closed[-1] if more else self.run_table(letters)[done - 1]
-                out.append(n)
-            at += len(self.normalize(piece[begin:end]))
+            cluster = piece[begin:end]
+            inside = Cluster(self, cluster, behind).counts() if len(cluster) > FEW_MARKS else None
+            out += inside if inside is not None else [behind(self.normalize(cluster[:cut]))[0] for cut in range(1, len(cluster))]
+            at += len(self.normalize(cluster))
             out.append(table[at - 1])
             begin = end
         return out
@@ -295,15 +306,178 @@ class PrefixTables:
         return out
 
 
-_tables: dict[int, PrefixTables] = {}
+class Block:
+    """Letters of a run that grow at their end, with the last token and the tokens so far behind each.
+
+    Counts from ``since`` on are stored without ``more``, so that all of them change at once.
+    """
+
+    def __init__(self):
+        self.letters, self.last, self.stored, self.since, self.more = [], [], [], 0, 0
+
+    def count(self, i: int) -> int:
+        return self.stored[i] + (self.more if i >= self.since else 0)
+
+    def put(self, i: int, last: int, count: int) -> None:
+        self.last[i], self.stored[i] = last, count - (self.more if i >= self.since else 0)
+
+
+class Cluster:
+    """Counts of the prefixes of a letter and its marks, which a normal form orders by class and combines.
+
+    The marks of one class keep their order, so the last run of a prefix is made of blocks that only grow at their
+    ends: one for what stands before the marks, and one for each class. A mark changes its own block's end, and
+    in the blocks behind it as many states as differ until they follow from equal ones. The first marks of each
+    class tell which of them the letter takes up. What is composed this way is compared with the library's
+    normal form; where Unicode's tables differ, ``counts`` is None and each prefix is counted by itself.
+    """
+
+    #: No letter takes up more marks of a class.
+    TAKEN = 8
+
+    def __init__(self, tables: PrefixTables, cluster: str, behind):
+        self.tables, self.cluster, self.behind = tables, cluster, behind
+        self.span = tables.longest
+        plain = unicodedata.normalize("NFD", cluster[0])
+        n = max((i + 1 for i, c in enumerate(plain) if not unicodedata.combining(c)), default=0)
+        self.base, self.marks = plain[:n], {}
+        for c in plain[n:]:
+            self.marks.setdefault(unicodedata.combining(c), []).append(c)
+        self.blocks, self.head, self.of_mark = None, None, {}
+
+    def counts(self) -> list[int] | None:
+        out = []
+        for k in range(1, len(self.cluster)):
+            if k > 1 and not self._added(self.cluster[k - 1]):
+                return None
+            if k & (k - 1) == 0 and self._composed() != self.tables.normalize(self.cluster[:k]):
+                return None
+            out.append(self._count(k))
+        return out if self._added(self.cluster[-1]) and self._composed() == self.tables.normalize(self.cluster) else None
+
+    def _letters(self, mark: str) -> str | None:
+        """A mark as the run's letters; None for one that is no mark of the tokenizer's."""
+        found = self.of_mark.get(mark)
+        if found is None:
+            parts = self.tables._normal_runs(mark)[1]
+            found = self.of_mark[mark] = parts[0][0] if len(parts) == 1 and self.tables._letter(mark) == mark else ""
+        return found or None
+
+    def _taken(self) -> tuple[str, dict[int, int]]:
+        """The letter with what it takes up, and how many marks of each class that are."""
+        few = {c: self.marks[c][: self.TAKEN] for c in sorted(self.marks)}
+        form = unicodedata.normalize("NFC", self.base + "".join("".join(m) for m in few.values()))
+        n = next((i for i, c in enumerate(form) if unicodedata.combining(c)), len(form))
+        left = [unicodedata.combining(c) for c in form[n:]]
+        return "".join(map(self.tables._letter, form[:n])), {c: len(m) - left.count(c) for c, m in few.items()}
+
+    def _composed(self) -> str:
+        head, taken = self._taken()
+        return head + "".join("".join(self.marks[c][taken[c] :]) for c in sorted(self.marks))
+
+    def _added(self, mark: str) -> bool:
+        for c in unicodedata.normalize("NFD", mark):
+            group = unicodedata.combining(c)
+            letters = self._letters(c)
+            if not group or not letters:
+                return False
+            self.marks.setdefault(group, []).append(c)
+            if len(self.marks[group]) <= self.TAKEN:
+                self.blocks = None if self._taken() != self.head else self.blocks
+            if self.blocks is not None:
+                self._insert(group, letters)
+        return True
+
+    def _count(self, k: int) -> int:
+        if self.blocks is None:
+            self.head = self._taken()
+            head, taken = self.head
+            left = {c: self.marks[c][taken[c] :] for c in sorted(self.marks) if len(self.marks[c]) > taken[c]}
+            if not left:
+                return self.behind(head)[0]
+            first = next(iter(left.values()))[0]
+            n, run = self.behind(head + first)
+            before = run[: len(run) - len(self._letters(first))]
+            self.blocks = {-1: Block()}
+            self._grow(-1, before)
+            for c, marks in left.items():
+                self._grow(c, "".join(map(self._letters, marks)))
+            self.rest = n - self.tables.run_total(run)
+        return self.rest + self._closed()
+
+    def _context(self, order: list[int]) -> tuple[list[str], list[int], list[int], bool]:
+        """The last letters of some blocks with the states around them; whether they reach back to the run's start."""
+        letters, last, count = [], [], []
+        for c in reversed(order):
+            block = self.blocks[c]
+            lo = max(0, len(block.letters) - (self.span + 1 - len(letters)))
+            letters[:0], last[:0] = block.letters[lo:], block.last[lo:]
+            count[:0] = [block.count(i) for i in range(lo, len(block.letters))]
+            if len(letters) > self.span:
+                return letters[1:], last, count, False
+        return letters, [0, *last], [0, *count], True
+
+    def _grow(self, group: int, letters: str) -> None:
+        """Letters more at a block's end; the blocks behind it are left as they are."""
+        block = self.blocks.get(group)
+        if block is None:
+            block = self.blocks[group] = Block()
+            self.blocks = dict(sorted(self.blocks.items()))
+        before, last, count, whole = self._context([c for c in self.blocks if c <= group])
+        run = "".join(before) + letters
+        self.tables._grown(run, len(before), last, count, whole, len(run) + 1)
+        for i in range(len(letters)):
+            block.letters.append(letters[i])
+            block.last.append(0)
+            block.stored.append(0)
+            block.put(len(block.letters) - 1, last[len(before) + 1 + i], count[len(before) + 1 + i])
+
+    def _insert(self, group: int, letters: str) -> None:
+        self._grow(group, letters)
+        for c in [c for c in self.blocks if c > group]:
+            self._follow(c)
+
+    def _follow(self, group: int) -> None:
+        """A block behind other states: its own are made anew until ``span`` of them differ by one number only."""
+        block, at, same, by = self.blocks[group], 0, 0, None
+        before, last, count, whole = self._context([c for c in self.blocks if c < group])
+        while at < len(block.letters) and same < self.span:
+            part = block.letters[at : at + self.span]
+            run = "".join(before) + "".join(part)
+            self.tables._grown(run, len(before), last, count, whole, len(run) + 1)
+            for i in range(len(part)):
+                new_last, new_count = last[len(before) + 1 + i], count[len(before) + 1 + i]
+                apart = new_count - block.count(at + i)
+                same = same + 1 if block.last[at + i] == new_last and apart == by else int(block.last[at + i] == new_last)
+                by = apart
+                block.put(at + i, new_last, new_count)
+            at += len(part)
+            before = [*before, *part]
+            if len(before) > self.span:
+                cut = len(before) - self.span
+                before, last, count, whole = before[cut:], last[cut:], count[cut:], False
+        if at < len(block.letters) and by:
+            for i in range(at, block.since):
+                block.stored[i] += by
+            for i in range(block.since, at):
+                block.stored[i] += block.more
+            block.since = max(block.since, at)
+            block.more += by
+
+    def _closed(self) -> int:
+        """Tokens of the whole run, its end closed."""
+        letters, last, count, whole = self._context(list(self.blocks))
+        return self.tables._grown("".join(letters), len(letters) - 1, last[:-1], count[:-1], whole, len(letters))[-1]
+
+
+_tables: dict[str, PrefixTables] = {}
 
 
 def prefix_tables(tokenizer_json: str) -> PrefixTables:
     """The worker's tables of a tokenizer."""
-    key = hash(tokenizer_json)
-    if key not in _tables:
-        _tables[key] = PrefixTables(tokenizer_json)
-    return _tables[key]
+    if tokenizer_json not in _tables:
+        _tables[tokenizer_json] = PrefixTables(tokenizer_json)
+    return _tables[tokenizer_json]
 
 
 def _cut(tables: PrefixTables, text: bytes, sums: np.ndarray, limit: int) -> int:
