@@ -260,3 +260,41 @@ def flagship(spark, d):
     best = retrieval.pool_rrf(lexical(spark, d), dense(spark, d), graph_ids(spark, d), not_german(spark, d))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.get(text.lines(F.col("text")), F.lit(0)).alias("title"))
     return docs.join(F.broadcast(best), "id").select("position", "id", "title", "from_graph", "rrf")  # ten rows
+
+
+_NEAREST = """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v),
+s AS (SELECT a.id AS query, b.id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.n * b.n), 9) AS score FROM u a JOIN u b ON a.id % 50 = 0 WHERE a.n > 0 AND b.n > 0), r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) """
+
+
+def _vector_index(spark, d):
+    from ..operators.vector_index import VectorIndex
+    from .source_queries import place
+
+    rows = table(spark, d, "embeddings")
+    return VectorIndex.build(rows, "vec_id", "embedding", place(spark)), rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(_NEAREST + "SELECT query, rank, id, score FROM r WHERE rank <= 10")
+def q_nearest_vectors(spark, d):
+    """The ten nearest of every fiftieth vector, all lists of the inverted file."""
+    index, queries = _vector_index(spark, d)
+    return index.search_all(queries, 10, None)
+
+
+@query(_NEAREST + "SELECT query, max(score) AS best, count(*) AS n, true AS enough FROM r WHERE rank <= 10 GROUP BY 1")
+def q_probed_vectors(spark, d):
+    """As many lists probed as it takes: each query's best score, and whether recall at 10 is at least 0.9 on the average."""
+    index, queries = _vector_index(spark, d)
+    probes = index.probes_for(queries, 10, 0.92)
+    enough = index.recall(queries, 10, probes).first().recall >= 0.9
+    return index.search_all(queries, 10, probes).groupBy("query").agg(F.max("score").alias("best"), F.count("*").alias("n")).withColumn("enough", F.lit(enough))
+
+
+@query(_BM25 + "SELECT id, round(bm25, 6) AS bm25 FROM lex WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, id LIMIT 50")
+def q_impact_top(spark, d):
+    """The 50 best texts from postings in order of impact."""
+    from ..operators.impact_index import ImpactIndex
+    from .source_queries import place
+
+    found, _ = ImpactIndex.build(table(spark, d, "documents"), "doc_id", "text", place(spark)).top(TERMS)
+    return found.select("id", F.round("bm25", 6).alias("bm25"))
