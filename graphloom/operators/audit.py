@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Ranges, plain
+
 
 def exactly_once(owners: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     """Owners that are used any other number of times than once, with that number."""
@@ -55,8 +57,7 @@ def span_matches(text: Column, start: Column, end: Column, name: Column) -> Colu
 
 def coverage_gaps(fragments: DataFrame, owner: str, start: str, end: str, length: str) -> DataFrame:
     """Owners whose fragments leave a gap, overlap or stop short of the whole length."""
-    w = Window.partitionBy(owner).orderBy(start, end)
-    gaps = fragments.withColumn("__before", F.coalesce(F.lag(end).over(w), F.lit(0))).groupBy(owner)
+    gaps = Ranges(fragments, [owner], start, end).neighbour(F.col(end), "__before").withColumn("__before", F.coalesce("__before", F.lit(0))).groupBy(owner)
     out = gaps.agg(F.count_if(F.col(start) > F.col("__before")).alias("n_gaps"), F.count_if(F.col(start) < F.col("__before")).alias("n_overlaps"), F.max(end).alias("covered"), F.max(length).alias("length"))
     return out.where("n_gaps > 0 OR n_overlaps > 0 OR covered <> length")
 
@@ -77,8 +78,7 @@ def citations_owned(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def misplaced(rows: DataFrame, keys: list[str], place: str, order: str) -> DataFrame:
     """Rows whose place is not their number (from 0) in the order of their keys."""
-    found = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return rows.withColumn("__n", found).where(F.col("__n") != F.col(place)).drop("__n")
+    return plain(Ranges(rows, keys, order).numbered("__n").where(F.col("__n") - 1 != F.col(place)).drop("__n"))
 
 
 def changed_values(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Ranges, plain
+
 
 def ordered_list(order: list[str], *columns: str) -> Column:
     """Aggregate: the group's rows as structs, sorted by ``order``."""
@@ -32,19 +34,7 @@ def ranked_at_scale(df: DataFrame, keys: list[str], rank: str, *order: Column) -
 
     Rows are dealt by ranges of keys and order (which should end with an id); counts of the ranges give offsets.
     """
-    from ..runtime import saved
-
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = saved(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__before")
-    same = F.col("__part") == F.col("__p")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    out = ranged.join(offsets, same).withColumn(rank, (F.col("__before") + inside).cast("long"))
-    return out.drop("__part", "__p", "__before", *[f"__{k}" for k in keys])
+    return plain(Ranges(df, keys, *order).numbered(rank))
 
 
 def capped(df: DataFrame, keys: list[str], kind: str, caps: dict[str, int], *order: Column) -> DataFrame:
@@ -55,36 +45,38 @@ def capped(df: DataFrame, keys: list[str], kind: str, caps: dict[str, int], *ord
 
 def within_budget(df: DataFrame, keys: list[str], size: str, budget: int, *order: Column) -> DataFrame:
     """The longest prefix of each group whose running size stays in the budget, with that size as used."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(upto)).withColumn("__over", F.max((F.col("used") > budget).cast("int")).over(upto)).where("__over = 0").drop("__over")
+    ranges = Ranges(df, keys, *order)
+    ranges = ranges.kept(ranges.summed(F.col(size), "used"))
+    return plain(ranges.greatest((F.col("used") > budget).cast("int"), "__over").where("__over = 0").drop("__over"))
 
 
 def newest_within(df: DataFrame, keys: list[str], text: str, budget: int, *order: Column) -> DataFrame:
     """The newest rows (order: newest first) within a budget of characters; the one that passes it is cut to its last characters."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__size", F.length(text)).withColumn("__used", F.sum("__size").over(upto))
-    room = F.lit(budget) - (F.col("__used") - F.col("__size"))
+    rows = Ranges(df, keys, *order).summed(F.length(text), "__used", inclusive=False).withColumn("__size", F.length(text))
+    room = F.lit(budget) - F.col("__used")
     kept = rows.where(room > 0).withColumn(text, F.when(F.col("__size") <= room, F.col(text)).otherwise(F.right(F.col(text), room.cast("int"))))
-    return kept.drop("__size", "__used")
+    return plain(kept.drop("__size", "__used"))
 
 
 def numbered(df: DataFrame, keys: list[str], *order: Column, prefix: str = "E") -> DataFrame:
     """evidence_id E1, E2, ... inside each group."""
-    return df.withColumn("evidence_id", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("string")))
+    return ranked_at_scale(df, keys, "__n", *order).withColumn("evidence_id", F.concat(F.lit(prefix), F.col("__n").cast("string"))).drop("__n")
 
 
 def linked(df: DataFrame, keys: list[str], value: str, *order: Column) -> DataFrame:
     """Previous and next value of each row in its group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"previous": F.lag(value).over(w), "next": F.lead(value).over(w)})
+    ranges = Ranges(df, keys, *order)
+    ranges = ranges.kept(ranges.neighbour(F.col(value), "previous"))
+    return plain(ranges.neighbour(F.col(value), "next", previous=False))
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column, *order: Column) -> DataFrame:
     """island number: a new one begins where start lies further than gap behind every end before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
-    return df.withColumn("__new", begins).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    ranges = Ranges(df, keys, *order)
+    reach = ranges.greatest(F.col(end), "__reach", inclusive=False)
+    begins = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + gap), 1).otherwise(0)
+    ranges = ranges.kept(reach.withColumn("__new", begins).drop("__reach"))
+    return plain(ranges.summed(F.col("__new"), "island").drop("__new"))
 
 
 def in_listed_order(rows: DataFrame, key: str, listed: list) -> DataFrame:
