@@ -171,12 +171,13 @@ def _frequencies(members: DataFrame) -> np.ndarray:
 
 
 def _rarest(members: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, root, size, at): of each set the rarest shingles, one of which a linked set must share, and their places.
+    """(shingle, node, root, size, at, short): of each set the rarest shingles, one of which a linked set must share, and their places.
 
-    Shingles come in one order for all sets, by frequency and then by value.
+    Shingles come in one order for all sets, by frequency and then by value. short: a larger set that is linked must
+    share one of these few, since the common part is then as large as a link of two sets of this size needs.
     """
     shared = members.sparkSession.sparkContext.broadcast(_frequencies(members))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shingle", "node", "root", "size", "at")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shingle", "node", "root", "size", "at")] + [T.StructField("short", T.BooleanType())])
 
     def run(batches):
         often = shared.value
@@ -189,11 +190,16 @@ def _rarest(members: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(values)) - offsets[:-1][row]
             chosen = np.flatnonzero(place <= size[row] - -(-percent * size[row] // 100))
             row = row[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(values[order][chosen]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row]), pa.array(place[chosen])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][chosen]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row]), pa.array(place[chosen]), pa.array(place[chosen] <= _short(size[row], percent))], names=schema.names)
 
     return members.select("node", "root", "members").mapInArrow(run, schema)
 
 
+def _short(size: np.ndarray, percent: int) -> np.ndarray:
+    """The last place among a set's rarest shingles at which it can meet a larger set first."""
+    return size - -(-2 * percent * size // (100 + percent))
+
+
 def _may_link(size: np.ndarray, at: np.ndarray, root: np.ndarray, asking: np.ndarray, given: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sets that meet at a shingle could be linked across components, were it the first that they share.
 
@@ -204,27 +210,43 @@ def _may_link(size: np.ndarray, at: np.ndarray, root: np.ndarray, asking: np.nda
     rest = np.minimum((size - at)[asking][:, None], (size - at)[given][None, :])
     needed = -(-percent * (sx + sy) // (100 + percent))
     smaller = np.where(sx <= sy, at[asking][:, None], at[given][None, :])
-    short = smaller <= np.minimum(sx, sy) - -(-2 * percent * np.minimum(sx, sy) // (100 + percent))
+    short = smaller <= _short(np.minimum(sx, sy), percent)
     return (root[asking][:, None] != root[given][None, :]) & (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & (rest >= needed) & short
 
 
-def _alive(members: DataFrame, percent: int) -> DataFrame:
-    """Nodes that share a rare shingle with a set of another component that they could be linked with.
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """(place, node, root, size, at, asks): the rare rows, dealt to where those that could be linked meet.
 
-    The sets outside a shingle's largest component ask, all are asked, in blocks of PLACES, and what comes out of
-    a block is a list of nodes, not of pairs.
+    The sets outside a shingle's largest component ask. Of two sets that meet, the smaller one must have the shingle
+    among its short ones, so short rows that ask meet all rows, the others that ask meet short rows, both in blocks of
+    PLACES; a shingle that is short for no set, as those of a template that all its pages share, is dealt nowhere.
     """
     rare = saved(_rarest(members, percent))
-    by_root = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    stats = saved(by_root.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("k > 1").drop("k"))
-    rows = split_join(rare, stats, "shingle", "total")
-    rows = rows.select("shingle", "node", "root", "size", "at", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("total") / PLACES).alias("n_refs"), F.ceil((F.col("total") - F.col("most")) / PLACES).alias("n_asks"))
+    by_root = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.count_if("short").alias("s"))
+    largest = F.struct("n", "root")
+    stats = by_root.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", largest).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.sum("s").alias("shorts"), F.max_by("s", largest).alias("main_shorts"))
+    stats = saved(stats.where("k > 1 AND shorts > 0").drop("k"))
+    columns = ["shingle", "node", "root", "size", "at"]
+    rows = split_join(rare, stats, "shingle", "total").withColumn("asks", F.col("root") != F.col("main"))
+    blocks = lambda n: F.ceil(n / PLACES)
+    asking = F.col("shorts") - F.col("main_shorts")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["shingle", "node", "root", "size", "at"]
-    refs = rows.select(*columns, F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
-    asks = rows.where("asks").select(*columns, "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
-    met = refs.union(asks).select(F.xxhash64("shingle", "block", "ask_block").alias("place"), "node", "root", "size", "at", "asks")
+    out = None
+    for kind, refs, asks, n_refs, n_asks in (("short", F.lit(True), F.col("asks") & F.col("short"), F.col("total"), asking), ("other", F.col("short"), F.col("asks") & ~F.col("short"), F.col("shorts"), F.col("total") - F.col("most") - asking)):
+        counted = rows.withColumns({"n_refs": blocks(n_refs), "n_asks": blocks(n_asks)}).where("n_asks > 0")
+        given = counted.where(refs).select(*columns, F.lit(False).alias("asks"), deal("n_refs").alias("block"), every("n_asks").alias("ask_block"))
+        asked = counted.where(asks).select(*columns, "asks", every("n_refs").alias("block"), deal("n_asks").alias("ask_block"))
+        part = given.union(asked).select(F.xxhash64("shingle", "block", "ask_block", F.lit(kind)).alias("place"), "node", "root", "size", "at", "asks")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _alive(members: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share a rare shingle with a set of another component that they could be linked with.
+
+    What comes out of a block is a list of nodes, not of pairs.
+    """
 
     def run(batches):
         held = None
@@ -247,7 +269,7 @@ def _alive(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["node"])
             held = held.slice(cut) if cut < len(place) else None
 
-    return met.repartition("place").sortWithinPartitions("place").mapInArrow(run, "node long").distinct()
+    return _met(members, percent).repartition("place").sortWithinPartitions("place").mapInArrow(run, "node long").distinct()
 
 
 def _across(around: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

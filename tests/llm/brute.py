@@ -148,3 +148,93 @@ def contamination(docs, items, size=10):
                     found |= owners
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found)))))
     return out
+
+
+def simhashes(docs, size=3, bits=2):
+    """[(doc_id, fingerprint, component_id)], comparing all pairs of fingerprints."""
+    import xxhash
+
+    prints = []
+    for _, text in docs:
+        w = words(text)
+        hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + size]).encode(), seed=42) for i in range(max(1, len(w) - size + 1))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    root = components(prints, bits)
+    least = {}
+    for (d, _), p in zip(docs, prints):
+        known = [x for x in (least.get(root[p]), d) if x is not None]
+        least[root[p]] = min(known) if known else None
+    return [(d, f"{p:016x}", least[root[p]]) for (d, _), p in zip(docs, prints)]
+
+
+def components(prints, bits):
+    """{fingerprint: the smallest that links reach}"""
+    kinds, root = sorted(set(prints)), {}
+    for p in kinds:
+        if p in root:
+            continue
+        root[p], queue = p, [p]
+        while queue:
+            a = queue.pop()
+            for b in kinds:
+                if b not in root and (a ^ b).bit_count() <= bits:
+                    root[b] = p
+                    queue.append(b)
+    return root
+
+
+def resampled(docs, target, max_words=1, n_buckets=10_000, min_words=20, percent=10, seed=2024):
+    """[(doc_id, n_features, weight, score, rank)]"""
+
+    def features(text):
+        w = words(text, ALNUM_WORD)
+        return Counter(zlib.crc32(" ".join(w[i : i + k]).encode()) % n_buckets for k in range(1, max_words + 1) for i in range(len(w) - k + 1)), len(w)
+
+    mine = [features(t) for _, t in docs]
+    s, t = Counter(), Counter()
+    for f, _ in mine:
+        s.update(f)
+    for text in target:
+        t.update(features(text)[0])
+    s_all, t_all = float(s.total()), float(t.total())
+    gain = {b: math.floor(1000 * math.log((float(t[b]) + 1) * (s_all + n_buckets) / ((float(s[b]) + 1) * (t_all + n_buckets)))) for b in s}
+    out = []
+    for (d, _), (f, n) in zip(docs, mine):
+        h = int(sha(f"{seed}:{'' if d is None else d}")[:8], 16)
+        weight = sum(gain[b] * c for b, c in f.items())
+        out.append((d, f.total(), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((i for i, r in enumerate(out) if r[4] >= min_words), key=lambda i: (-out[i][3], out[i][0] is not None, out[i][0] or 0, out[i][1], out[i][2]))
+    rank = {i: k for k, i in enumerate(able[: percent * len(able) // 100], 1)}
+    return [(*r[:4], rank.get(i)) for i, r in enumerate(out)]
+
+
+def phrase_counts(texts, max_words=4):
+    """{lang: {words: occurrences}} of (lang, text) rows."""
+    counts = defaultdict(Counter)
+    for lang, text in texts:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, max_words + 1):
+                counts["und" if lang is None else lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    return counts
+
+
+def collocations(texts, max_words=4, min_count=30, percent=80, most=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)]"""
+    out = []
+    for lang, f in phrase_counts(texts, max_words).items():
+        n = sum(c for w, c in f.items() if len(w) == 1)
+        good = {w: a for w, a in f.items() if len(w) > 1 and a >= min_count}
+        longer = Counter()
+        for w, a in good.items():
+            for m in range(2, len(w)):
+                for i in range(len(w) - m + 1):
+                    longer[w[i : i + m]] = max(longer[w[i : i + m]], a)
+        found = []
+        for w, a in good.items():
+            if w in longer and 100 * longer[w] >= percent * a:
+                continue
+            score, k = min((2_000_000 * a // (f[w[:k]] + f[w[k:]]), k) for k in range(1, len(w)))
+            found.append((-score, -a, " ".join(w).encode(), f[w[:k]], f[w[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, n, -score) for i, (score, a, p, left, right) in enumerate(sorted(found)[:most], 1)]
+    return out

@@ -55,6 +55,23 @@ def test_near_duplicates_in_dense_regions(spark):
     assert got == brute.near_duplicates(docs, 5)
 
 
+def test_template_of_similar_pages(spark):
+    """Pages that share 167 of 197 shingles (similarity 0.74, each a component): what is dealt grows with the pages."""
+    import random
+
+    dealt = []
+    for n in (300, 1200):
+        rng = random.Random(n)
+        common = [rng.getrandbits(62) for _ in range(167)]
+        pages = [(i, i, [*common, *(rng.getrandbits(62) for _ in range(30))]) for i in range(n)]
+        pages += [(n + k, n + k, [*pages[k][2][:167], *pages[k][2][167:190], *(rng.getrandbits(62) for _ in range(7))]) for k in range(5)]
+        members = spark.createDataFrame([(a, b, sorted(c)) for a, b, c in pages], "node long, root long, members array<long>")
+        dealt.append(near_dedup._met(members, 80).count())
+        alive = {r.node for r in near_dedup._alive(members, 80).collect()}
+        assert {*range(5), *range(n, n + 5)} <= alive and len(alive) < 40
+    assert dealt[1] <= 5 * max(dealt[0], 40)
+
+
 def test_no_pairs_of_one_template(spark, monkeypatch):
     """Pages of one template (similarity 0.6) are sifted by their rare shingles; real links among them are found."""
     import random
@@ -543,6 +560,59 @@ def test_compiled_searches_are_compact():
     assert len(search.first) == 3 and sorted(len(search.owned(k)) for k in range(3)) == [1, 50, 51]
 
 
+_MARKS = "\u0334\u0338\u093c\u3099\u05b4\u05b0\u0e38\u0327\u0323\u1dca\u0331\u0301\u0300\u0308\u0304\u0340\u0344\u0307\u0345"
+
+
+@pytest.mark.parametrize("few", [1, 3, 12])
+def test_marks_are_counted_by_blocks(monkeypatch, few):
+    """Letters with many marks of several classes: every prefix has the library's count, also where marks are taken up or reordered."""
+    import random
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "FEW_MARKS", few)
+    used, real = Counter(), token_counts.Cluster.counts
+
+    def counts(self):
+        found = real(self)
+        used[found is None] += 1
+        return found
+
+    monkeypatch.setattr(token_counts.Cluster, "counts", counts)
+    spec = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    tables, library, rng = token_counts.prefix_tables(spec), Tokenizer.from_str(spec), random.Random(few)
+    letters = ["a", "e", "\xe9", "\u0130", "I", "!", "'", "\u6f22", "\u1ea1", "\ud55c", "\u304b", "x1", "#", "\u1100", "", "q'", "ABC", "...", "\u0958", "\u212b", "S", "\u03a3"]
+    for _ in range(150):
+        some = rng.sample(_MARKS, rng.randrange(1, 5))
+        piece = "".join(rng.choice(letters) + "".join(rng.choice(some) for _ in range(rng.choice([0, 3, 14, 40]))) for _ in range(rng.randrange(1, 4)))
+        if piece:
+            want = [len(library.encode(piece[: i + 1], add_special_tokens=False).ids) for i in range(len(piece))]
+            assert tables.piece_table(piece) == want, ascii(piece)
+    assert used[False] > 100 and not used[True]
+
+
+def test_many_marks_take_seconds(spark):
+    """A letter with 30,000 marks, crossing the limit inside of them: the cut is exact and found in seconds."""
+    import time
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    text = "one two a" + "\u0301" * 30_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = token_counts.token_counts(df, spec, 2048).first()
+    assert time.perf_counter() - began < 60
+    library = Tokenizer.from_str(spec)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    inside = text.encode()[: row.cut_bytes].decode()
+    assert row.n_tokens == size(text) and size(inside) <= 2048 < size(text[: len(inside) + 1])
+
+
 def test_decontamination_query(spark, folder):
     items = [(r.item_id if r.item_id is not None else "", r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     got = rows(catalogue.op9_decontamination(spark, folder), "doc_id", "n_words", "n_hit", "n_items", "items_sha256")
