@@ -140,7 +140,7 @@ def _compared(rows: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
             held = held.slice(cut) if cut < len(cell) else None
 
-    return rows.select("cell", "print").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return rows.select("cell", "print").repartition("cell").sortWithinPartitions("cell", "print").mapInArrow(run, "a long, b long")
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:

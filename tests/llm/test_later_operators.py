@@ -81,14 +81,15 @@ def test_dense_fingerprints(spark, monkeypatch, cell):
 
 
 def test_links_grow_with_the_fingerprints(spark, monkeypatch):
-    """Fingerprints of six of twelve bits, each two bits from 36 others: not a row for each pair, however cells are cut."""
+    """Fingerprints with many neighbours each: at most a row for each cell that one is dealt to, not one for each pair."""
     import itertools
 
-    prints = [sum(1 << b for b in bits) for bits in itertools.combinations(range(12), 6)]
-    df = spark.createDataFrame([(p,) for p in prints], "print long")
-    for cell in (128, 5):
-        monkeypatch.setattr(simhash, "CELL", cell)
-        assert simhash.links(df).count() <= 13 * len(prints)  # 18 * 924 pairs are linked
+    for m, k, pairs in ((12, 6, 18 * 924), (64, 2, 62 * 2016)):
+        prints = [sum(1 << b for b in bits) for bits in itertools.combinations(range(m), k)]
+        df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
+        for cell in (128, 5):
+            monkeypatch.setattr(simhash, "CELL", cell)
+            assert simhash.links(df).count() < min(0.75 * pairs, 65 * len(prints))
 
 
 def test_many_copies_of_one_text(spark):
