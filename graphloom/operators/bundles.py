@@ -112,17 +112,15 @@ def bundle_violations(nodes: DataFrame, relationships: DataFrame, base: DataFram
 def entity_candidates(observations: DataFrame, id_col: str, text_cols: list[str], entities: DataFrame) -> DataFrame:
     """(id, entity_id, alias) where a text names an alias of entities(entity_id, alias) as whole words, ideographs anywhere.
 
-    Aliases meet texts by their first word, not by a comparison with every text.
+    Aliases go out in automata of bounded size; no word of a text is dealt by, however many texts hold it.
     """
-    from ..functions.text import key, tokens
+    from ..functions.text import key
+    from .matching import named
 
     texts = observations.select(id_col, F.explode(F.array(*[key(F.col(c)) for c in text_cols])).alias("__t")).where("__t IS NOT NULL")
-    words = texts.select(id_col, "__t", F.explode(F.array_distinct(tokens(F.col("__t")))).alias("__w"))
-    names = entities.select("entity_id", "alias", key(F.col("alias")).alias("__a")).withColumn("__w", F.get(tokens(F.col("__a")), F.lit(0)))
-    met = words.join(names, "__w")
-    whole = F.concat(F.lit(" "), F.regexp_replace("__t", r"[^\p{L}\p{N}'’-]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("__a"), F.lit(" ")))
-    inside = F.col("__a").rlike("[一-鿿]") & F.col("__t").contains(F.col("__a"))
-    return met.where(whole | inside).select(id_col, "entity_id", "alias").distinct()
+    names = entities.select("entity_id", "alias", key(F.col("alias")).alias("__a"))
+    whole = F.regexp_replace("__t", r"[^\p{L}\p{N}'’-]+", " ")
+    return named(names, "__a", ["entity_id", "alias"], texts, id_col, whole, F.col("__t"), F.col("__a").rlike("[一-鿿]")).distinct()
 
 
 def visual_triples(observations: DataFrame, id_col: str, fields: dict[str, str], usable: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import audit, constraints, evidence, graph, timeline
+from ..operators import audit, constraints, evidence, graph, matching, timeline
 from .registry import query, table
 
 COLOURS = ("red", "blue")
@@ -156,25 +156,15 @@ def q_unique_candidate_fallback(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))")
 def q_containment_join(spark, d):
-    """Passages meet the texts that hold their inner words, by a join on the hash of up to three of them, and are then looked for."""
-    squeezed = lambda c: text.squeeze(F.lower(c))
-    passages = table(spark, d, "benchmark").select("item_id", squeezed(F.col("text")).alias("p")).withColumn("w", F.split("p", " "))
-    docs = table(spark, d, "documents").select("doc_id", squeezed(F.col("text")).alias("t"))
-    # a passage's inner words stand whole in a text that contains it
-    inner = passages.where("size(w) >= 3").withColumn("m", F.least(F.lit(3), F.size("w") - 2))
-    keyed = inner.select("item_id", "p", F.xxhash64(F.expr("slice(w, 2, m)")).alias("k"), "m")
-    words = docs.select("doc_id", F.split("t", " ").alias("w"))
-    held = None
-    for m in sorted(r.m for r in keyed.select("m").distinct().collect()):  # 1, 2 or 3
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.slice("w", i, m))))  # noqa: B023
-        own = keyed.where(F.col("m") == m).select("item_id", "k")
-        part = words.where(F.size("w") >= m).select("doc_id", F.explode(grams).alias("k")).join(own, "k").select("item_id", "doc_id")
-        held = part if held is None else held.union(part)
-    short = passages.where("size(w) < 3").join(docs, F.col("t").contains(F.col("p")))  # one or two words may begin anywhere
-    if held is None:
-        return short.select("item_id", "doc_id")
-    found = held.distinct().join(inner.select("item_id", "p"), "item_id").join(docs, "doc_id").where(F.col("t").contains(F.col("p")))
-    return found.select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
+    """Passages meet the texts that hold the rarest of their inner words, short ones are found by an automaton."""
+    return matching.contained(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT page_id, p_partkey FROM pages JOIN (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part) ON contains(trim(regexp_replace(lower(html), '\\s+', ' ', 'g')), w)")
+def q_short_passages(spark, d):
+    """One-word passages in all pages, by automaton: they may begin and end inside of words."""
+    words = table(spark, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w"))
+    return matching.contained(words, "p_partkey", "w", table(spark, d, "pages"), "page_id", "html").select("page_id", "p_partkey")
 
 
 _RANGE = "WITH p AS (SELECT user_id, event_id, epoch(ts) AS at FROM events), r AS (SELECT user_id, event_id AS purchase_id, epoch(ts) - 3600 AS lo, epoch(ts) AS hi FROM events WHERE event_type = 'purchase') "
