@@ -425,3 +425,37 @@ def q_latest_alive(spark, d):
     """The last event of each user, where it lies in the ten days before the thirtieth of the month."""
     rows = table(spark, d, "events").select("user_id", "ts", "event_type")
     return windows.latest_alive(rows, "user_id", "ts", 10 * 86400, 1704067200 + 30 * 86400).select("user_id", "event_type")
+
+
+@query("""WITH n AS (SELECT event_id AS i, event_id % 12 AS k, ['VisualObservation', 'Frame', 'VideoClip', 'VisualObject'][event_id % 4 + 1] AS label FROM events)
+SELECT 'n' || i AS id, r AS reason FROM (SELECT i, unnest(list_filter([CASE WHEN k = 5 THEN 'evidence' END, CASE WHEN k = 6 THEN 'evidence_binding' END, CASE WHEN k = 7 THEN 'verified' END, CASE WHEN k = 8 THEN 'confidence' END, CASE WHEN k = 8 AND label = 'VisualObservation' THEN 'embedding' END,
+CASE WHEN k = 9 THEN 'similarity' END, CASE WHEN k = 9 AND label = 'Frame' THEN 'frame_time' END, CASE WHEN k = 10 THEN 'evidence_archive' END, CASE WHEN k = 10 AND label = 'VideoClip' THEN 'clip_times' END, CASE WHEN k = 11 THEN 'properties' END, CASE WHEN k = 4 THEN 'semantics' END, CASE WHEN k = 4 AND label = 'VisualObservation' THEN 'raw_output' END,
+CASE WHEN k = 3 THEN 'source' END], lambda x: x IS NOT NULL)) AS r FROM n)""")
+def q_evidence_json(spark, d):
+    """Nodes of all events with their evidence as JSON, each twelfth spoilt in its own way."""
+    from ..operators.embedded import evidence_violations
+
+    scope = {"build_id": "b", "split": "test", "dataset_revision": "r"}
+    k, user = F.col("event_id") % 12, F.col("user_id").cast("string")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("VisualObservation", "Frame", "VideoClip", "VisualObject")]), (F.col("event_id") % 4 + 1).cast("int"))
+    spoilt = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
+    medium, source = F.concat(F.lit("v"), user), F.concat(F.lit("s"), user)
+    evidence = F.concat(F.lit('{"source_media_id": "'), F.when(k == 6, F.lit("other")).otherwise(medium), F.lit('", "source_id": "'), F.when(k == 3, F.lit("s-none")).otherwise(source), F.lit('", "split": "test", "archive": "'), spoilt(10, "b.zip", "a.zip"), F.lit('"}'))
+    fields = {
+        "source_media_id": F.concat(F.lit('"'), medium, F.lit('"')), "source_id": F.when(k == 3, F.lit('"s-none"')).otherwise(F.concat(F.lit('"'), source, F.lit('"'))),
+        "evidence_json": F.when(k == 5, F.lit('"[1]"')).otherwise(F.concat(F.lit('"'), F.replace(evidence, F.lit('"'), F.lit('\\"')), F.lit('"'))),
+        "verified": spoilt(7, '"false"', "false"), "confidence": spoilt(8, "0.5", "null"), "similarity_score": spoilt(9, "1.5", "0.25"), "semantics": spoilt(4, '"fact"', '"model_candidate"'), "model": F.lit('"m"'),
+        "embedding": spoilt(8, "[1, true, 2]", "[0, 0.5, 2]"), "embedding_model": F.lit('"e"'), "raw_json": spoilt(4, '"[]"', '"{}"'),
+        "timestamp_seconds": spoilt(9, '"1"', "1.5"), "start_seconds": F.lit("1"), "end_seconds": spoilt(10, "1", "2.5"),
+    }
+    parts = []
+    for name, value in fields.items():
+        parts += [F.lit(f'{", " if parts else ""}"{name}": '), value]
+    json = F.when(k == 11, F.lit("{broken")).otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
+    events = table(spark, d, "events")
+    nodes = events.select(F.concat(F.lit("n"), "event_id").alias("id"), label.alias("label"), json.alias("properties_json"))
+    users = events.select(user.alias("u")).distinct()
+    media = users.select(F.concat(F.lit("v"), "u").alias("id"), F.lit("Video").alias("label"), F.concat(F.lit("s"), "u").alias("source_id"))
+    none = F.lit(None).cast("string")
+    sources = users.select(F.concat(F.lit("s"), "u").alias("id"), F.lit("a.zip").alias("archive"), F.concat(F.lit("m/"), "u").alias("member"), none.alias("artifact_path"), none.alias("url"), *[F.lit(v).alias(c) for c, v in scope.items()])
+    return evidence_violations(nodes, media, sources, scope, dimensions=3)
