@@ -85,3 +85,19 @@ def q_read_spans(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("size"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
     rows = lines.select(F.col("l_orderkey").alias("archive"), start.alias("header_offset"), (start + 100 + F.col("size").cast("long") * 18).alias("entry_end"), "flag", "status")
     return archives.read_spans(rows, F.col("flag") != "R", F.col("status") == "F", 700, 2600)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, split_part(p_name, ' ', 2) AS w, p_size AS n FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN w WHEN 1 THEN 'rope' WHEN 2 THEN 'rope' WHEN 3 THEN 'rope' ELSE '' END AS available, CASE WHEN k = 1 THEN w ELSE '' END AS excluded, CASE WHEN k IN (2, 4) THEN w ELSE '' END AS unavailable,
+CASE WHEN k = 0 THEN n::DOUBLE WHEN k = 1 THEN 60.0 WHEN k = 3 THEN 30.0 END AS at_most, k = 4 AS allow_missing FROM p""")
+def q_question_plans(spark, d):
+    """A question for each part, in five forms: wished, excluded, out of stock, wished besides what is owned, missing."""
+    from ..operators import questions
+
+    word, k = F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 5
+    forms = [F.concat(F.lit("Make something of "), word, F.lit(" in "), F.col("p_size"), F.lit(" minutes")), F.concat(F.lit("I have a rope, without "), word, F.lit(", within 1 hour")), F.concat(F.lit("我有绳子，"), word, F.lit("还没买")), F.concat(F.lit("I have rope, want a "), word, F.lit(" in half an hour")), F.concat(F.lit("We are out of "), word, F.lit("; we may buy it"))]
+    asked = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*forms), (k + 1).cast("int")).alias("question"))
+    aliases = {w: w for w in ("widget", "bolt", "gear", "valve", "panel", "bracket", "nut", "screw", "pipe", "rope")} | {"绳子": "rope"}
+    aliases |= {r.w: r.w for r in table(spark, d, "part").select(word.alias("w")).distinct().collect() if r.w}  # the kinds of parts: a few
+    joined = lambda c: F.array_join(F.col(f"plan.{c}"), ",").alias(c)
+    return questions.planned(asked, "question", aliases).select("p_partkey", joined("available"), joined("excluded"), joined("unavailable"), "plan.at_most", "plan.allow_missing")

@@ -82,3 +82,25 @@ def test_questions():
     assert (c.available, c.excluded, c.at_most, c.required_tags) == (("egg", "tofu"), ("onion",), 30.0, ("quick",))
     d = c.tightened(parse("no egg, 1 hour", aliases))
     assert d.excluded == ("onion", "egg") and d.at_most == 30.0
+
+
+def test_question_plans(spark):
+    from graphloom.operators.questions import numeral, plan, planned
+
+    aliases = {"番茄": "番茄", "西红柿": "番茄", "鸡蛋": "鸡蛋", "辣椒": "辣椒", "盐": "盐", "egg": "egg", "eggs": "egg", "tomato": "tomato", "salt": "salt"}
+    tags = {"不辣": ["不辣", "不吃辣"], "素食": ["素食", "吃素"]}
+    get = lambda text: plan(text, aliases, tags)
+    for text, available, excluded, unavailable in (
+        ("我有番茄和鸡蛋，不吃鸡蛋", ["番茄", "鸡蛋"], ["鸡蛋"], []), ("我有番茄，不吃鸡蛋和辣椒", ["番茄"], ["鸡蛋", "辣椒"], []), ("我只有番茄，没有鸡蛋", ["番茄"], [], ["鸡蛋"]),
+        ("我有番茄，鸡蛋还没买", ["番茄"], [], ["鸡蛋"]), ("我有番茄，想用鸡蛋做菜", ["番茄"], [], []), ("我有西红柿和鸡蛋，但不能吃鸡蛋", ["番茄", "鸡蛋"], ["鸡蛋"], []), ("番茄炒鸡蛋怎么做", ["番茄", "鸡蛋"], [], []),
+        ("有番茄和鸡蛋，十分钟以内做菜", ["番茄", "鸡蛋"], [], []), ("没有主料，推荐番茄", ["番茄"], [], []), ("I have eggs and salt, without tomato", ["egg", "salt"], ["tomato"], []), ("I'm out of eggs; tomato please", ["tomato"], [], ["egg"]), ("", [], [], []),
+    ):
+        found = get(text)
+        assert (found["available"], found["excluded"], found["unavailable"]) == (available, excluded, unavailable), text
+    found = get("我有番茄和鸡蛋，二十分钟内，1小时，不吃辣，不放盐")
+    assert (found["at_most"], found["tags"], found["excluded"], found["allow_missing"]) == (20.0, ["不辣"], ["盐"], False)
+    assert get("我有番茄和蘑菇")["unknown"] == ["蘑菇"] and get("半小时")["at_most"] == 30.0 and get("99999 分钟")["at_most"] is None
+    assert get('find "pan fried" eggs, not salt')["lexical_query"] == "pan fried find pan fried eggs egg" and get("可以补买吗")["allow_missing"]
+    assert [numeral(x) for x in ("三十五", "十", "一百零五", "12", "两")] == [35, 10, 105, 12, 2]
+    rows = planned(spark.createDataFrame([(1, "I have eggs"), (2, None)], "i long, q string"), "q", aliases).collect()
+    assert rows[0].plan.available == ["egg"] and rows[1].plan is None
