@@ -102,3 +102,21 @@ def changes(a: DataFrame, b: DataFrame, scores_a: DataFrame, scores_b: DataFrame
     lists = contrast(a, b, 10).agg(F.count_if("changed_sequence").alias("changed_rankings"), F.sum("n_new").alias("new_members"))
     moved = metric_differences(scores_a, scores_b, ["query_id"], names).select("query_id").distinct().agg(F.count("*").alias("changed_metrics"))
     return lists.crossJoin(moved)  # one row each
+
+
+def functional(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """(kind, total, passed, pass_rate, candidate_set_accuracy, median_ms) of cases(case_id, kind, status, ids) by their
+    results(case_id, status, candidate_ids, recommended_ids, top_k, valid, ms); kind 'all' is over all of them.
+
+    A case passes if its status is the expected one, its candidates are the expected set, the recommended ones are among
+    them and no more than top_k, and its validation passed. A case without a result fails; null lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c).cast("array<string>"), none)))
+    rows = cases.select("case_id", "kind", F.col("status").alias("__status"), listed("ids").alias("__ids")).join(results.withColumn("__there", F.lit(True)), "case_id", "left")
+    match = F.coalesce(F.col("__there"), F.lit(False)) & (listed("candidate_ids") == F.col("__ids"))
+    recommended = F.coalesce(F.col("recommended_ids").cast("array<string>"), none)
+    fits = (F.size(F.array_except(recommended, "__ids")) == 0) & (F.size(recommended) <= F.col("top_k"))
+    passed = match & F.coalesce((F.col("status") == F.col("__status")) & fits & F.col("valid"), F.lit(False))
+    judged = rows.select(F.explode(F.array("kind", F.lit("all"))).alias("kind"), match.cast("int").alias("__match"), passed.cast("int").alias("__passed"), "ms")
+    return judged.groupBy("kind").agg(F.count("*").alias("total"), F.sum("__passed").alias("passed"), F.round(F.avg("__passed"), 4).alias("pass_rate"), F.round(F.avg("__match"), 4).alias("candidate_set_accuracy"), F.median("ms").alias("median_ms"))
