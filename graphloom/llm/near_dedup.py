@@ -96,17 +96,12 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = saved(split_join(orders, regions, "region", "n"))
     dense = rows.where(F.col("n") > REGION)
     shared = saved(dense.groupBy("region", "label").agg(F.count("*").alias("sharing")))
-    central = split_join(dense, shared, ["region", "label"], "sharing").groupBy("node").agg(F.sum("sharing").alias("central"))
+    placed = saved(split_join(dense.drop("n"), _deepened(shared), ["region", "label"], "sharing"))
+    central = placed.groupBy("node").agg(F.sum("sharing").alias("central"))
     hubs = saved(dense.drop("n").join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("central", "copies", -F.col("node"))).alias("hub"), F.count("*").alias("n")))
-    depths = F.array(*[F.struct(F.lit(d).alias("d"), F.xxhash64("region", F.substring("label", 1, 4 * d)).alias("part")) for d in range(1, DEPTH - MIN_DEPTH + 1)])
-    deeper = dense.select("node", "region", "label", F.explode(depths).alias("x")).select("node", "region", "label", "x.*")
-    counts = saved(deeper.groupBy("part").agg(F.count("*").alias("m")))
-    deepest = DEPTH - MIN_DEPTH
-    fits = split_join(deeper, counts, "part", "m").where((F.col("m") <= REGION) | (F.col("d") == deepest))
-    chosen = fits.groupBy("node", "region", "label").agg(F.min_by(F.struct("part", "m"), "d").alias("x"))
     # equal whole labels: parts of about REGION sets, dealt differently in each order; the hub joins the parts
-    salt = F.when(F.col("x.m") > REGION, F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("x.m") / REGION))).otherwise(F.lit(0))
-    near = chosen.select(F.xxhash64("x.part", salt).alias("region"), "label", "node")
+    salt = F.when(F.col("m") > REGION, F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("m") / REGION))).otherwise(F.lit(0))
+    near = placed.select(F.xxhash64("part", salt).alias("region"), "label", "node")
     pairs = _pairs(rows.where(F.col("n") <= REGION).select("region", "label", "node"), REGION)
     pairs = pairs.union(_pairs(near, NEIGHBOURS))
     around = saved(split_join(dense.select("region", "node"), hubs, "region", "n").select("hub", "node").distinct())
@@ -114,6 +109,20 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.union(star).groupBy("a", "b").agg(F.count("*").alias("orders")), around
 
 
+def _deepened(shared: DataFrame) -> DataFrame:
+    """(region, label, sharing, part, m): of each label the shortest prefix that at most REGION sets have, else all of it, and its m sets.
+
+    shared tells for the labels of dense regions how many sets have them. Sets of one label are in the same parts, so
+    prefixes are made once for each label, not for each set: DEPTH - MIN_DEPTH rows, in proportion to the labels.
+    """
+    deepest = DEPTH - MIN_DEPTH
+    depths = F.array(*[F.struct(F.lit(d).alias("d"), F.xxhash64("region", F.substring("label", 1, 4 * d)).alias("part")) for d in range(1, deepest + 1)])
+    deeper = saved(shared.select("region", "label", "sharing", F.explode(depths).alias("x")).select("region", "label", "sharing", "x.*"))
+    counts = saved(deeper.groupBy("part").agg(F.sum("sharing").alias("m"), F.count("*").alias("labels")))
+    fits = split_join(deeper, counts, "part", "labels").where((F.col("m") <= REGION) | (F.col("d") == deepest))
+    return saved(fits.groupBy("region", "label", "sharing").agg(F.min_by(F.struct("part", "m"), "d").alias("x")).select("region", "label", "sharing", "x.*"))
+
+
 def _pairs(rows: DataFrame, reach: int) -> DataFrame:
     """Each set of a small region with the next ``reach`` in label order."""
     groups = rows.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("label", "node"))).alias("g")).where("size(g) > 1")

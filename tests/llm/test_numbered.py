@@ -55,6 +55,40 @@ def test_near_duplicates_in_dense_regions(spark):
     assert got == brute.near_duplicates(docs, 5)
 
 
+def test_prefixes_are_made_for_labels(spark, monkeypatch):
+    """Parts of a dense region by a plain version; sets of one label share its prefixes, so these grow with the labels."""
+    import random
+    import numpy as np
+
+    depth, trees, limit = near_dedup.DEPTH - near_dedup.MIN_DEPTH, near_dedup.TREES, near_dedup.REGION
+    rng = random.Random(5)
+    labels = [[rng.randrange(3) for _ in range(depth)] for _ in range(40)]
+    made = []
+    split_join = near_dedup.split_join
+    monkeypatch.setattr(near_dedup, "split_join", lambda rows, *a: (a[1] == "part" and made.append(rows.count())) or split_join(rows, *a))
+    for n in (400, 1600):
+        own = [labels[min(i, rng.randrange(i + 1), 39)] for i in range(n)]
+        sig = [(np.array([[t] * near_dedup.MIN_DEPTH + x for t in range(trees)], np.uint32)).tobytes() for x in own]
+        classes = spark.createDataFrame([(i, 1, s) for i, s in enumerate(sig)], "node long, copies long, sig binary")
+        pairs, around = near_dedup._candidates(classes)
+        got = {(r.a, r.b) for r in pairs.collect()}
+        have = Counter(tuple(x[:d]) for x in own for d in range(1, depth + 1))
+        part = [next((tuple(x[:d]) for d in range(1, depth) if have[tuple(x[:d])] <= limit), tuple(x)) for x in own]
+        hubs = {r.hub for r in around.collect()}
+        assert {(h, i) for h in hubs for i in range(n)} == {(r.hub, r.node) for r in around.collect()}
+        for a, b in got:
+            assert part[a] == part[b] or a in hubs or b in hubs
+        groups = defaultdict(list)
+        for i, p in enumerate(part):
+            groups[p].append((np.array(own[i], np.uint32).tobytes(), i))
+        for g in groups.values():
+            if len(g) <= limit:
+                g.sort()
+                assert {(min(x[1], y[1]), max(x[1], y[1])) for i, x in enumerate(g) for y in g[i + 1 : i + 1 + near_dedup.NEIGHBOURS]} <= got
+        assert all((min(h, i), max(h, i)) in got for h in hubs for i in range(n) if i != h)
+    assert made[0] <= 40 * depth * trees and made[1] <= 40 * depth * trees
+
+
 def test_template_of_similar_pages(spark):
     """Pages that share 167 of 197 shingles (similarity 0.74, each a component): what is dealt grows with the pages."""
     import random
