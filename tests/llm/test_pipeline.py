@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, secrets
+from graphloom.llm import language_id, near_dedup, secrets
 
 from . import brute
 from .conftest import SMALL
@@ -77,6 +77,32 @@ def test_one_document_of_each_group(spark, empty_dir):
     assert {r.doc_id for r in got if r.text == long(3)} == {7} and len(got) == 7
 
 
+def test_prefixes_of_near_copies(spark, empty_dir, monkeypatch):
+    """The stage makes prefixes for the labels of near copies, and keeps one of them."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "w" + str(rng.randrange(10**7))
+    base = [word() for _ in range(200)]
+    rows = [(i, " ".join([*base[:k], word(), *base[k + 1 :]]), "en", "a") for i in range(300) for k in [rng.randrange(200)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    made, labels = [], []
+    split_join = near_dedup.split_join
+
+    def seen(table, per_key, key, *more):
+        if key == "part":
+            made.append(table.count())
+        elif key == ["region", "label"]:
+            labels.append((per_key.count(), table.count()))
+        return split_join(table, per_key, key, *more)
+
+    monkeypatch.setattr(near_dedup, "split_join", seen)
+    kept = corpus_pipeline.near_duplicates(spark, docs, empty_dir)
+    assert [r.doc_id for r in kept.collect()] == [0]
+    (few, sets), (rows_made,) = labels[0], made
+    assert sets > 2 * few and rows_made == (near_dedup.DEPTH - near_dedup.MIN_DEPTH) * few
+
+
 def test_language_stage_decides(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     foreign = ["Это русский текст о погоде и людях, который стоит здесь", "这是一个中文句子没有空格而且很长", "0x1f a"]
