@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answers, audit, bundles, constraints, evidence, graph, metrics, retrieval
+from ..runtime import saved
 from ..streaming import windows
 from . import retrieval_queries, text_queries
 from .registry import query, table
@@ -247,8 +248,8 @@ def q_gold_exclusions(spark, d):
 @query(retrieval_queries._RANKS + """, l AS (SELECT method, query_id, list(id ORDER BY rank) AS ids FROM rk WHERE rank <= 10 GROUP BY 1, 2), m AS (SELECT method, query_id, hits, coalesce(1.0::DOUBLE / first, 0) AS rr FROM pq JOIN nr USING (query_id))
 SELECT count_if(a.ids <> b.ids) AS changed_rankings, sum(len(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x))))::BIGINT AS new_members, (SELECT count(*) FROM m x JOIN m y USING (query_id) WHERE x.method = 'plain' AND y.method = 'damped' AND (x.hits <> y.hits OR x.rr <> y.rr)) AS changed_metrics FROM l a JOIN l b USING (query_id) WHERE a.method = 'plain' AND b.method = 'damped'""")
 def q_method_changes(spark, d):
-    ranked, qrels = retrieval_queries.rankings(spark, d)
-    scores = metrics.per_query(ranked, qrels, 10, ["method"])
+    ranked, sizes = retrieval_queries.marked_rankings(spark, d, 10)
+    scores = saved(metrics.of_marked(ranked, sizes, 10, ["method"]))
     of = lambda df, m: df.where(F.col("method") == m).drop("method")
     return metrics.changes(of(ranked, "plain"), of(ranked, "damped"), of(scores, "plain"), of(scores, "damped"), ["precision", "recall", "rr"])
 
