@@ -218,7 +218,7 @@ def q_ranking_audit(spark, d):
 @query(retrieval_queries._RANKS + "SELECT method, query_id, 'precision' AS name, round(hits / 10.0::DOUBLE + 0.1, 6) AS saved, round(hits / 10.0::DOUBLE, 6) AS recomputed FROM pq JOIN nr USING (query_id) WHERE query_id % 100 = 0")
 def q_metric_audit(spark, d):
     """Per-query metrics as they were saved (every second one of them wrong) against those of the rankings."""
-    scores = metrics.per_query(*retrieval_queries.rankings(spark, d), 10, ["method"])
+    scores = saved(metrics.of_marked(*retrieval_queries.marked_rankings(spark, d, 10), 10, ["method"]))
     old = scores.withColumn("precision", F.col("precision") + F.when(F.col("query_id") % 100 == 0, 0.1).otherwise(0.0))
     out = metrics.metric_differences(old, scores, ["method", "query_id"], ["precision", "recall", "rr"])
     return out.withColumns({c: F.round(c, 6) for c in ("saved", "recomputed")})
