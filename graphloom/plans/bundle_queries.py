@@ -206,7 +206,7 @@ def q_ranking_audit(spark, d):
 
     from ..operators import retrieval
 
-    ranked, _ = retrieval_queries.rankings(spark, d)
+    ranked, _ = retrieval_queries.marked_rankings(spark, d, 50)
     of = lambda m, out: ranked.where(F.col("method") == m).select("query_id", "id", F.col("rank").alias(out))
     rows = of("plain", "bm25_rank").join(of("damped", "dense_rank"), ["query_id", "id"], "full")
     rows = rows.withColumn("rrf", retrieval.reciprocal("bm25_rank") + retrieval.reciprocal("dense_rank"))
