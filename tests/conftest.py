@@ -18,3 +18,23 @@ def spark():
 @pytest.fixture
 def folder(tmp_path):
     return str(tmp_path)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that a function's stages write for shuffles."""
+
+    def run(act):
+        context = spark.sparkContext
+        store, empty = context._jsc.sc().statusStore(), context._jvm.java.util.ArrayList
+
+        def total():
+            context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            stages = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), empty())
+            return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+        before = total()
+        act()
+        return sum(n for stage, n in total().items() if stage not in before)
+
+    return run

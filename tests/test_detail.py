@@ -30,3 +30,36 @@ def test_nested_detail(spark):
     assert (bare.steps, bare.sources, bare.ingredient_mentions, bare.visual_evidence, bare.media.images, bare.media.inventory) == ([], [], [], [], 0, [])
     empty = [t.limit(0) for t in tables]
     assert [len(x.steps) for x in detail.recipe_detail(recipes, *empty).collect()] == [0, 0] and detail.recipe_detail(recipes.limit(0), *tables).count() == 0
+
+
+def test_lines_are_dealt_few_times(spark, shuffled, folder):
+    """Links are dealt by their ends and by recipe, not once more for each list; alignments of other runs are not dealt."""
+    from graphloom.plans.catalogue import QUERIES
+
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        dealt = shuffled(lambda: QUERIES["q_recipe_detail"](spark, "/root/testdata/sf0.01").write.parquet(f"{folder}/out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt < 250 * lines
+
+
+def test_many_recipes_and_repeated_media(spark, monkeypatch):
+    """The same rows whether tables go out whole or are dealt; a step of two recipes, one medium under two kinds of links."""
+    frame = spark.createDataFrame
+    recipes = frame([(f"r{i}",) for i in range(40)], "id string")
+    link = lambda *x: (*x, *[None] * (7 - len(x)))
+    made = [link(f"r{i}", f"s{(i + j) % 50}", "HAS_STEP") for i in range(45) for j in range(3)] + [link(f"r{i}", f"m{i % 7}", kind) for i in range(45) for kind in ("HAS_IMAGE", "HAS_VIDEO")]
+    made += [link(f"m{i % 7}", f"s{i}", "ALIGNED_WITH", None, None, run, i / 64) for i in range(50) for run in ("a", "b") for _ in range(2)]
+    links = frame(made, "start_id string, end_id string, type string, role string, method string, run_id string, score double")
+    steps = frame([(f"s{i}", i % 3, "t", "q") for i in range(50)], "id string, order int, text string, source_id string")
+    media = frame([(f"m{i}", "image" if i % 2 else "video", "q", True, "local", "done") for i in range(7)], "id string, kind string, source_id string, downloaded boolean, storage string, recognition string")
+    seen = frame([(f"o{i}", f"m{i % 7}", "q" if i % 3 else "x", "a" if i % 2 else "b", "c") for i in range(30)], "id string, media_id string, source_id string, run_id string, caption string")
+    tables = [links, steps, frame([("q", "zip")], "id string, archive string"), frame([("i", "leek")], "id string, name string"), media, seen, frame([("a", 1), ("b", 2)], "run_id string, finished_at int")]
+    rows = sorted(detail.recipe_detail(recipes, *tables).collect())
+    monkeypatch.setattr(detail, "FEW", 1)
+    assert sorted(detail.recipe_detail(recipes, *tables).collect()) == rows and len(rows) == 40
+    one = next(r for r in rows if r.id == "r1")
+    assert [x.media_id for x in one.visual_evidence] == ["m1"] * len(one.visual_evidence) and {x.run_id for x in one.visual_evidence} == {"b"}
+    assert [(x.step_id, x.score) for x in one.visual_evidence] == [(None, None)] or all(int(x.step_id[1:]) % 7 == 1 for x in one.visual_evidence)
