@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..runtime import ship_package
 
 #: Bytes of patterns that go out together; an automaton takes some fifty times that in each worker.
 SHARD_BYTES = 2 << 20
+#: Ids of passages that go out together, those that meet rows at once, and rows that leave a task at once.
+ROWS, BLOCK, PAIRS = 1 << 22, 1 << 12, 1 << 16
 
 
 def shards(patterns: DataFrame, pattern_col: str, shard_bytes: int = SHARD_BYTES) -> Iterator[DataFrame]:
@@ -85,44 +88,87 @@ def _found(texts: DataFrame, id_col: str, columns: list[str], schema: T.StructTy
     return texts.select(id_col, *columns).mapInArrow(run, schema)
 
 
+def _of_rows(patterns: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The patterns in parts of about so many rows, by hash of all columns: equal patterns may go to several."""
+    n = max(1, -(-patterns.count() // most))
+    for i in range(n):
+        yield patterns.where(F.pmod(F.xxhash64(*patterns.columns), F.lit(n)) == i) if n > 1 else patterns
+
+
+def _by_pattern(table: pa.Table) -> tuple[dict[str, tuple[int, int]], pa.Array]:
+    """Where each pattern's ids stand, and all ids, of (pattern, id)."""
+    names = table.column(0).combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(names.dictionary)))
+    return {p: (int(b - n), int(b)) for p, b, n in zip(names.dictionary.to_pylist(), ends, np.diff(ends, prepend=0))}, table.column(1).combine_chunks().take(pa.array(order))
+
+
+def _pairs(found: dict[str, list[int]], places: dict[str, tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with each id of the patterns found in it, as places, some PAIRS at a time.
+
+    The ids of one pattern come in blocks, each with all its rows: neighbours share their values, which files store well.
+    """
+    held, n = [], 0
+    for p, rows in found.items():
+        rows, (lo, hi) = np.array(rows), places[p]
+        for begin in range(lo, hi, BLOCK):
+            ids = np.arange(begin, min(begin + BLOCK, hi))
+            step = max(1, PAIRS // len(ids))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                held.append((np.repeat(some, len(ids)), np.tile(ids, len(some))))
+                n += len(some) * len(ids)
+                if n >= PAIRS:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def contained(passages: DataFrame, passage_id: str, passage_col: str, texts: DataFrame, text_id: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(passage id, text id) where a text contains a passage, both in lower case with single blanks; words may be cut at a passage's ends.
 
     A passage of three words or more is looked for in the texts that hold the one of its inner words that fewest
     texts hold, which is measured; shorter ones by an automaton. Null texts and passages contain nothing and are
-    contained in nothing; an empty passage is contained in every text. Repeated rows give a row each.
+    contained in nothing; an empty passage is contained in every text. Repeated rows give a row each: texts are searched
+    for distinct passages, and what is found meets the ids of a passage in parts of bounded size.
     """
     squeezed = lambda df, i, c: df.select(F.col(i), text.squeeze(F.lower(F.col(c))).alias("__t")).where("__t IS NOT NULL")
     patterns, rows = squeezed(passages, passage_id, passage_col), squeezed(texts, text_id, text_col)
     schema = T.StructType([T.StructField(text_id, rows.schema[text_id].dataType), T.StructField(passage_id, patterns.schema[passage_id].dataType)])
     parts = []
-    for shard in shards(patterns, "__t", shard_bytes):
-        held: dict[str, list] = defaultdict(list)
-        for r in shard.collect():  # shard_bytes of passages
-            held[r["__t"]].append(r[passage_id])
+    for shard in (part for whole in shards(patterns, "__t", shard_bytes) for part in _of_rows(whole, ROWS)):
+        held, ids = _by_pattern(shard.select("__t", passage_id).toArrow())  # shard_bytes of passages, ROWS ids
         often = word_frequencies(rows, "__t", {w for p in held for w in _inner(p)}) if any(map(_inner, held)) else {}
         anchors: dict[str, list[str]] = defaultdict(list)
         for p in held:
             words = _inner(p)
             if words and all(w in often for w in words):  # else no text holds them all
                 anchors[min(words, key=lambda w: (often[w], w))].append(p)
-        shared = texts.sparkSession.sparkContext.broadcast((dict(held), dict(anchors), [p for p in held if p and not _inner(p)]))
+        shared = texts.sparkSession.sparkContext.broadcast((held, ids, dict(anchors), [p for p in held if p and not _inner(p)]))
 
-        def make(shared=shared):
-            ids, by_word, short = shared.value
+        def run(batches, shared=shared):
+            places, numbers, by_word, short = shared.value
             machine = automaton(short)
 
             def look(t: str):
-                hits = [p for w in by_word.keys() & set(t.split(" ")) for p in by_word[w] if p in t]
+                yield from (p for w in by_word.keys() & set(t.split(" ")) for p in by_word[w] if p in t)
                 if machine is not None:
-                    hits += {p for _, p in machine.iter(t)}
-                if "" in ids:
-                    hits.append("")
-                return [(i,) for p in hits for i in ids[p]]
-
-            return look
-
-        parts.append(_found(rows, text_id, ["__t"], schema, make))
+                    yield from {p for _, p in machine.iter(t)}
+                if "" in places:
+                    yield ""
+
+            for batch in batches:
+                found: dict[str, list[int]] = defaultdict(list)
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    for p in look(t):
+                        found[p].append(i)
+                for at, of in _pairs(found, places):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), numbers.take(pa.array(of))], names=schema.names)
+
+        ship_package(texts.sparkSession)
+        parts.append(rows.mapInArrow(run, schema))
     return reduce(DataFrame.union, parts).select(passage_id, text_id)
 
 

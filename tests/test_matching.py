@@ -37,3 +37,16 @@ def test_names_in_texts(spark):
         owners.setdefault(a, []).append(e)
     want = {(i, e) for i in range(50) for e in owners[aliases[i][1]]} | {(100, "fish"), (102, "tofu"), (104, "salt"), (104, "salt2")}
     assert got == want
+
+
+def test_passages_that_repeat(spark, monkeypatch):
+    """One word is the passage of very many rows: what leaves a task at once, and what goes out at once, stays small."""
+    monkeypatch.setattr(matching, "PAIRS", 1000)
+    monkeypatch.setattr(matching, "BLOCK", 64)
+    sizes = [len(at) for at, _ in matching._pairs({"a": list(range(50)), "b": [3], "c": list(range(2000))}, {"a": (0, 900), "b": (900, 901), "c": (901, 902)})]
+    assert sum(sizes) == 50 * 900 + 1 + 2000 and max(sizes) <= 2000
+    monkeypatch.setattr(matching, "ROWS", 700)
+    passages = spark.range(3000).selectExpr("id AS item", "concat('w', id % 3) AS p")
+    texts = spark.createDataFrame([(i, f"xw{i % 4}y z") for i in range(40)], "doc long, text string")
+    got = Counter((r.item, r.doc) for r in matching.contained(passages, "item", "p", texts, "doc", "text").collect())
+    assert got == Counter((i, d) for i in range(3000) for d in range(40) if i % 3 == d % 4)
