@@ -1,8 +1,8 @@
 """ZIP archives as a source that many tasks read: each partition is a span of an archive's members, read by seek.
 
 The planner reads only the end record and the central directory, cuts the members, in the order in which they lie
-in the file, into spans, and gives each task the bytes of the directory that describe its span. A task reads these
-entries and the span's bytes, so neither an archive's size nor its number of members is bounded by a task's memory.
+in the file, into spans, and gives each task the bytes of the directory that describe its spans, of which it has several
+where there are very many. A task reads these entries and a span's bytes, span by span, so neither an archive's size nor its number of members is bounded by a task's memory.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ..runtime import ship_package
 
 MEMBERS = "archive string, member string, size long, compressed_size long, crc string, compression int, flags int, header_offset long, entry_end long, content binary, fault string"
 SPAN_BYTES, MAX_GAP, MEMBER_BYTES = 32 << 20, 16384, 1 << 30
+#: Most tasks that read archives; longer lists of spans are dealt to so many.
+MOST_TASKS = 2048
 #: Signatures and lengths of a ZIP file's records, and what archivers add beside the members.
 _END, _END64, _LOCATOR, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _ENTRY_SIZE, _LOCAL_SIZE, _END_SIZE = 46, 30, 22
@@ -65,16 +67,17 @@ def directory(file) -> tuple[int, int, int]:
         raise ArchiveError("no end record")
     n, length, offset = struct.unpack("<HII", tail[at + 10 : at + 20])
     end = size - len(tail) + at
-    if 0xFFFF == n or 0xFFFFFFFF in (length, offset):
-        file.seek(end - 20)
-        locator = file.read(20)
-        if locator[:4] == _LOCATOR:
-            end = struct.unpack("<Q", locator[8:16])[0]
-            file.seek(end)
-            record = file.read(56)
-            if record[:4] != _END64:
-                raise ArchiveError("no end record of 64 bits")
+    file.seek(max(0, end - 20))
+    locator = file.read(20)
+    if locator[:4] == _LOCATOR:  # also of archives whose numbers fit the short record, as those of 2 to 4 GB
+        place = struct.unpack("<Q", locator[8:16])[0]
+        file.seek(min(place, size))
+        record = file.read(56)
+        if record[:4] == _END64:
+            end = place
             length, offset = struct.unpack("<QQ", record[40:56])
+        elif 0xFFFF == n or 0xFFFFFFFF in (length, offset):
+            raise ArchiveError("no end record of 64 bits")
     start = end - length
     if start < offset:
         raise ArchiveError("the directory does not fit into the file")
@@ -139,13 +142,20 @@ def cut(first: np.ndarray, last: np.ndarray, apart: np.ndarray, max_gap: int, ma
     return np.cumsum(out) - 1
 
 
-class Span(InputPartition):
+class Span:
     """Members of one archive: the parts of its directory that describe them, in file order, and where the last one ends."""
 
     def __init__(self, archive: str, parts: list[tuple[int, int]], end: int, shift: int):
         self.archive, self.parts, self.end, self.shift = archive, parts, end, shift
 
 
+class Spans(InputPartition):
+    """What a task reads, span by span."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+
+
 def spans(archive: str, max_gap: int, max_span: int) -> list[Span]:
     with _opened(archive) as file:
         start, end, shift = directory(file)
@@ -209,11 +219,16 @@ class _Reader(DataSourceReader):
         self.most = int(options.get("memberBytes", MEMBER_BYTES))
 
     def partitions(self):
-        return [s for archive in listed(self.path) for s in spans(archive, self.max_gap, self.max_span)]
+        """Neighbouring spans go to one task where they are many: the driver keeps some kilobytes for each task."""
+        found = [s for archive in listed(self.path) for s in spans(archive, self.max_gap, self.max_span)]
+        n = min(len(found), MOST_TASKS)
+        return [Spans(found[len(found) * i // n : len(found) * (i + 1) // n]) for i in range(n)]
 
     def read(self, partition):
-        if partition is None:  # no archive has a member
-            return
+        for span in partition.spans if partition is not None else []:  # None: no archive has a member
+            yield from self._read(span)
+
+    def _read(self, partition: Span):
         wanted = re.compile(self.pattern)
         with _opened(partition.archive) as file:
             found = [e for a, b in partition.parts for e in _walked(file, a, b, partition.shift)]
@@ -248,7 +263,7 @@ class ZipMembers(DataSource):
     """``spark.read.format("zip_members")``: a row for each member of the ZIP files under a path.
 
     Options: content (expression of the lower-cased names whose bytes are read; all by default), spanBytes and maxGap
-    (how members are dealt to tasks), memberBytes (a larger member has the fault 'too large' in place of content).
+    (how members are cut into spans, which are dealt to MOST_TASKS tasks at most), memberBytes (a larger member has the fault 'too large' in place of content).
     """
 
     @classmethod

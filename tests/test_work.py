@@ -209,6 +209,26 @@ def test_archive_behind_five_gigabytes(spark, folder):
     assert {r.member: bytes(r.content or b"") for r in rows} == want and min(r.header_offset for r in rows) >= 5 << 30
 
 
+def test_archive_whose_numbers_fit_the_short_record(folder):
+    """From 2 GB on archivers write the record of 64 bits, though the short one still holds the numbers."""
+    with open(f"{folder}/big.zip", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    sample(f"{folder}/big.zip", 20, "a")
+    found = archives.spans(f"{folder}/big.zip", 0, 100_000)
+    with open(f"{folder}/big.zip", "rb") as f, zipfile.ZipFile(f) as z:
+        f.seek(found[0].parts[0][0])
+        assert f.read(4) == b"PK\x01\x02" and z.start_dir == min(a for s in found for a, _ in s.parts)
+
+
+def test_many_spans_are_few_tasks(spark, folder, monkeypatch):
+    """The driver holds something of each task, so spans of any size are dealt to a bounded number of them."""
+    want = sample(f"{folder}/x.zip", 2500)
+    rows = archives.members(spark, folder, content=".", span_bytes=30)
+    n = len(archives.spans(f"{folder}/x.zip", archives.MAX_GAP, 30))
+    assert rows.rdd.getNumPartitions() == 2048 < n
+    assert {r.member: bytes(r.content or b"") for r in rows.coalesce(4).collect()} == want
+
+
 def test_damaged_archives(spark, folder):
     sample(f"{folder}/x.zip", 40)
     blob = bytearray(open(f"{folder}/x.zip", "rb").read())
