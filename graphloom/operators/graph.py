@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uid
+from ..runtime import saved
+
+#: Ends of so many ids are looked up where the nodes are; more are dealt.
+FEW = 1 << 16
 
 
 def nodes_of(df: DataFrame, label: str, key: Column) -> DataFrame:
@@ -23,13 +27,15 @@ def text_graph(records: DataFrame, steps: DataFrame, mentions: DataFrame, relati
     """(nodes, edges) of records(record, title), steps(record, step, text) and mentions(record, step, kind, normalized_name).
 
     A record has its steps; a step has an edge to each name of a kind that it mentions, of the type that
-    ``relations`` gives the kind. Entities are known by kind and name, steps by record and place.
+    ``relations`` gives the kind. Entities are known by kind and name, steps by record and place. What the mentions tell is
+    written once, for the nodes and the edges that come of it.
     """
     record = uid("record", F.col("record").cast("string"))
     step = uid("step", F.concat_ws(":", "record", "step"))
     entity = uid("entity", F.concat_ws(":", "kind", "normalized_name"))
     kinds = F.create_map(*[F.lit(x) for pair in relations.items() for x in pair])
     told = mentions.where(F.col("kind").isin(list(relations)) & F.col("normalized_name").isNotNull())
+    told = saved(told.select("record", "step", "kind", "normalized_name").distinct())  # texts are read for mentions once, whatever uses the graph
     nodes = records.select(record.alias("id"), F.lit("Record").alias("label"), F.col("title").alias("name"))
     nodes = nodes.union(steps.select(step, F.lit("Step"), F.col("text"))).union(told.select(entity, F.initcap("kind"), F.col("normalized_name")).distinct())
     edges = steps.select(record.alias("start_id"), step.alias("end_id"), F.lit("HAS_STEP").alias("type"))
@@ -40,12 +46,17 @@ def candidate_index(nodes: DataFrame, edges: DataFrame, owner_label: str, step_t
     """(owner, kind, name): what an owner's own edges and those of its steps lead to, by normalised name, each once."""
     from ..functions.text import key
 
-    labels = nodes.select("id", "label", "name")
-    owners = labels.where(F.col("label") == owner_label).select(F.col("id").alias("owner"))
-    of_step = edges.where(F.col("type") == step_type).select(F.col("start_id").alias("owner"), F.col("end_id").alias("start_id")).join(owners, "owner", "left_semi")
-    links = edges.where(F.col("type") != step_type)
-    reached = of_step.join(links, "start_id").select("owner", "end_id").union(links.join(owners.withColumnRenamed("owner", "start_id"), "start_id", "left_semi").select(F.col("start_id").alias("owner"), "end_id"))
-    return reached.join(labels.withColumnRenamed("id", "end_id"), "end_id").select("owner", F.col("label").alias("kind"), key(F.col("name")).alias("name")).distinct()
+    owners = nodes.where(F.col("label") == owner_label).select(F.col("id").alias("owner"))
+    links = edges.where(F.col("type") != step_type).select("start_id", "end_id")
+    of_step = edges.where(F.col("type") == step_type).select(F.col("start_id").alias("owner"), F.col("end_id").alias("start_id"))
+    # Each start's ends travel together, so a step that leads nowhere is left out by one join and an owner's ends are made one row each once.
+    ends = links.groupBy("start_id").agg(F.collect_set("end_id").alias("ends"))
+    reached = of_step.join(ends, "start_id").select("owner", "ends").union(ends.select(F.col("start_id").alias("owner"), "ends"))
+    reached = saved(reached.select("owner", F.explode("ends").alias("end_id")).distinct().join(owners.distinct(), "owner", "left_semi"))
+    asked = reached.select("end_id").distinct()
+    small = asked.limit(FEW + 1).count() <= FEW
+    named = nodes.join(F.broadcast(asked) if small else asked, F.col("id") == F.col("end_id"), "left_semi").select(F.col("id").alias("end_id"), F.col("label").alias("kind"), key(F.col("name")).alias("name")).distinct()
+    return reached.join(F.broadcast(named) if small else named, "end_id").select("owner", "kind", "name").distinct()
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,38 @@ def test_equal_pieces_for_any_counter():
     for text in (words, "x" * 500, "", "a b"):
         for cuts in (chunking.word_cuts(text, 7), chunking.counted_cuts(text, 7, chunking.count_words), chunking.counted_cuts(text, 7, len)):
             assert "".join(text[a:b] for a, b, _ in cuts) == text and all(n <= 7 or n == 1 for *_, n in cuts)
+
+
+@pytest.mark.parametrize("use", ["candidates", "scope"])
+def test_mentions_are_made_once(spark, use):
+    """A graph of texts is used by several joins; what its texts mention is made once, and the rows are right."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    records = spark.createDataFrame([("a", "A"), ("b", "B"), ("bare", "C")], "record string, title string")
+    steps = spark.createDataFrame([("a", 0, "cut leek"), ("a", 1, "cut"), ("b", 0, "leek, Leek"), ("bare", 0, "rest")], "record string, step int, text string")
+    told = [("a", 0, "action", "cut"), ("a", 0, "ingredient", "leek"), ("a", 1, "action", "cut"), ("b", 0, "ingredient", "leek"), ("b", 0, "ingredient", "leek"), ("b", 0, "duration", "1 h")]
+    found = spark.createDataFrame(told, "record string, step int, kind string, normalized_name string").mapInArrow(counted, "record string, step int, kind string, normalized_name string")
+    nodes, edges = graph.text_graph(records, steps, found, {"action": "DOES", "ingredient": "USES"})
+    if use == "candidates":
+        names = {r.id: r.name for r in nodes.where("label = 'Record'").collect()}
+        got = sorted((names[r.owner], r.kind, r.name) for r in graph.candidate_index(nodes, edges, "Record", "HAS_STEP").collect())
+        assert got == [("A", "Action", "cut"), ("A", "Ingredient", "leek"), ("B", "Ingredient", "leek")]
+    else:
+        row = audit.scope_proof(nodes, edges, nodes.where("label = 'Record'"), "id").first()
+        assert (row.missing, row.unexpected, row.loose_edges, row.complete) == (0, 6, 0, False)
+    assert made.value == len(told)
+
+
+def test_aliases_by_letter_find_the_same():
+    rng = random.Random(4)
+    aliases = sorted({"".join(rng.choices("abk", k=rng.randrange(1, 4))) + rng.choice(["", " a", " b"]) for _ in range(40)})
+    table = mentions.lexicon([("action", a, []) for a in aliases])
+    flat = re.compile(rf"(?<![A-Za-z0-9_])(?:{table.alternatives('action')})(?![A-Za-z0-9_])", re.IGNORECASE)
+    for _ in range(300):
+        text = "".join(rng.choices("abkABKK -_.", k=40))
+        assert [m.span() for m in flat.finditer(text)] == [m.span() for m in table.patterns()[0][1].finditer(text)]
