@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import saved
 from .scans import Ranges, plain
 
+#: Unknown ids that are looked up where the edges are; more are dealt.
+FEW = 1 << 16
+
 
 def exactly_once(owners: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     """Owners that are used any other number of times than once, with that number."""
@@ -92,6 +96,13 @@ def changed_values(before: DataFrame, after: DataFrame, key: str, columns: list[
 def scope_proof(nodes: DataFrame, edges: DataFrame, expected: DataFrame, id_col: str) -> DataFrame:
     """One row: expected, found and missing ids, edges that leave the nodes, and whether all is there and nothing else."""
     ids = same_ids(expected.select(F.col(id_col).alias("id")), nodes.select("id"), "id")
-    loose = edges.join(nodes.select(F.col("id").alias("start_id")), "start_id", "left_anti").unionByName(edges.join(nodes.select(F.col("id").alias("end_id")), "end_id", "left_anti")).distinct()
+    known = nodes.select("id").distinct()
+    # An id is looked up once, however many edges name it; only the edges of unknown ids are made again.
+    named = edges.select(F.explode(F.array("start_id", "end_id")).alias("id")).distinct()
+    unknown = saved(named.where("id IS NOT NULL").join(known, "id", "left_anti"))
+    small = unknown.limit(FEW + 1).count() <= FEW
+    of = lambda end: F.broadcast(unknown.withColumnRenamed("id", end)) if small else unknown.withColumnRenamed("id", end)
+    at = [edges.join(of(end), end, "left_semi") for end in ("start_id", "end_id")]
+    loose = at[0].unionByName(at[1]).unionByName(edges.where("start_id IS NULL OR end_id IS NULL")).distinct()
     out = ids.crossJoin(loose.agg(F.count("*").alias("loose_edges")))  # one row each
     return out.select(F.col("only_a").alias("missing"), F.col("only_b").alias("unexpected"), "loose_edges", (F.col("equal") & (F.col("loose_edges") == 0)).alias("complete"))

@@ -245,3 +245,12 @@ def test_aliases_by_letter_find_the_same():
     for _ in range(300):
         text = "".join(rng.choices("abkABKK -_.", k=40))
         assert [m.span() for m in flat.finditer(text)] == [m.span() for m in table.patterns()[0][1].finditer(text)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_scope_counts_loose_edges(spark, few, monkeypatch):
+    monkeypatch.setattr(audit, "FEW", few)
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "T"), ("a", "x", "T"), ("a", "x", "T"), ("x", "y", "T"), ("y", "b", "U"), (None, "b", "U")], "start_id string, end_id string, type string")
+    row = audit.scope_proof(nodes, edges, spark.createDataFrame([("a",), ("c",)], "id string"), "id").first()
+    assert (row.missing, row.unexpected, row.loose_edges, row.complete) == (1, 1, 4, False)
