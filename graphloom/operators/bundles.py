@@ -11,6 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import saved
+
+#: Tables of so many rows go out to all tasks.
+FEW = 1 << 18
+
 
 def adjacent_pairs(rows: DataFrame, key: str, at: str, id_col: str) -> DataFrame:
     """(key, before, after): every row with every row of the next later time of its key; rows of one time are not paired."""
@@ -80,30 +85,43 @@ def bundle_violations(nodes: DataFrame, relationships: DataFrame, base: DataFram
     spark = nodes.sparkSession
     out = []
     broken = lambda df, test, reason: out.append(df.where(test).select("id", F.lit(reason).alias("reason")))
+    # Both are made once for all rules. What relationships are joined by carries their number; ids come back for those that break a rule.
+    nodes = saved(nodes)
+    relationships = saved(relationships.withColumn("__no", F.monotonically_increasing_id()))
     for df, what in ((nodes, "node"), (relationships, "relationship")):
-        broken(df.groupBy("id").agg(F.count("*").alias("n")), (F.col("n") > 1) | F.col("id").isNull(), f"repeated_{what}")
+        twice = saved(df.where("id IS NOT NULL").groupBy(F.xxhash64("id").alias("__h")).agg(F.count("*").alias("n")).where("n > 1").select("__h"))
+        few = F.broadcast(twice) if twice.limit(FEW + 1).count() <= FEW else twice
+        broken(df, F.col("id").isNull(), f"repeated_{what}")
+        maybe = df.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("__h")).join(few, "__h", "left_semi")
+        broken(maybe.groupBy("id").agg(F.count("*").alias("n")), F.col("n") > 1, f"repeated_{what}")
     broken(nodes, ~F.col("label").isin(*labels, *reference_labels) | (F.col("reference") != F.col("label").isin(*reference_labels)), "label")
     known = nodes.join(base.select("id", F.col("label").alias("base_label")), "id", "left")
     broken(known, F.col("reference") & ~F.coalesce(F.col("base_label") == F.col("label"), F.lit(False)), "unknown_reference")
     broken(known, ~F.col("reference") & F.col("base_label").isNotNull(), "existing_id")
     one = nodes.groupBy("id").agg(F.first("label").alias("label"), F.first("owner").alias("owner"), F.first("reference").alias("reference"))
-    ends = relationships
+    faults = []
+    ends = relationships.select("__no", "start_id", "end_id", "type", "owner")
     for end in ("start", "end"):
         ends = ends.join(one.select(F.col("id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"), F.col("owner").alias(f"{end}_owner"), F.col("reference").alias(f"{end}_reference")), f"{end}_id", "left")
     rules = spark.createDataFrame([(t, a, b) for t, (x, y) in endpoints.items() for a in x for b in y], "type string, start_label string, end_label string").withColumn("allowed", F.lit(True))
     ends = ends.join(F.broadcast(rules), ["type", "start_label", "end_label"], "left")
     both = F.col("start_label").isNotNull() & F.col("end_label").isNotNull()
-    broken(ends, ~F.col("type").isin(*endpoints), "type")
-    broken(ends, ~both, "dangling")
-    broken(ends, F.col("start_id") == F.col("end_id"), "self_loop")
-    broken(ends, both & F.col("type").isin(*endpoints) & F.col("allowed").isNull(), "endpoint_label")
+    faults.append((~F.col("type").isin(*endpoints), "type"))
+    faults.append((~both, "dangling"))
+    faults.append((F.col("start_id") == F.col("end_id"), "self_loop"))
+    faults.append((both & F.col("type").isin(*endpoints) & F.col("allowed").isNull(), "endpoint_label"))
     foreign = lambda end: ~F.col(f"{end}_owner").eqNullSafe(F.col("owner"))
-    broken(ends, both & (foreign("start") | foreign("end")), "owner")
+    faults.append((both & (foreign("start") | foreign("end")), "owner"))
+    reasons = F.filter(F.array(*[F.when(test, F.lit(reason)) for test, reason in faults]), lambda x: x.isNotNull())
+    met = ends.select("__no", reasons.alias("__r")).where(F.size("__r") > 0).select("__no", F.explode("__r").alias("reason"))
     if times is not None:
-        timed = ends.where("type = 'BEFORE'")
+        timed = relationships.where("type = 'BEFORE'").select("__no", "start_id", "end_id")
         for end in ("start", "end"):
             timed = timed.join(times.select(F.col("id").alias(f"{end}_id"), F.col("at").alias(f"{end}_at")), f"{end}_id", "left")
-        broken(timed, ~F.coalesce(F.col("start_at") < F.col("end_at"), F.lit(False)), "order")
+        met = met.union(timed.where(~F.coalesce(F.col("start_at") < F.col("end_at"), F.lit(False))).select("__no", F.lit("order")))
+    met = saved(met)
+    found = F.broadcast(met) if met.limit(FEW + 1).count() <= FEW else met
+    out.append(relationships.select("id", "__no").join(found, "__no").select("id", "reason"))
     used = relationships.select(F.explode(F.array("start_id", "end_id")).alias("id")).distinct()
     broken(nodes.where("NOT reference").select("id").join(used, "id", "left_anti"), F.lit(True), "unattached")
     return reduce(DataFrame.union, out).distinct()
